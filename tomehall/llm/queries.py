@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -18,7 +23,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_best_fit_packing, op8_token_counts)}
 
 #: SQL for the queries that it can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
