@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
-from .pretokens import IdPieces
+from .pretokens import Encoder
 
 #: The id that ends each document.
 END = b"\0\0\0\0"
@@ -24,12 +24,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        worker, part = IdPieces(tokenizer), TaskContext.get().partitionId()
+        worker, part = Encoder(tokenizer), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in slices(batches):
             at, rows = [], []
-            for i, values in enumerate(worker.of(["" if t is None else t for t in batch.column("text").to_pylist()])):
-                ids = b"".join(values) + END
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = worker.id_bytes(text or "") + END
                 n = len(ids) // 4
                 first = n % room or room
                 for k, start in enumerate([0, *range(first, n, room)]):

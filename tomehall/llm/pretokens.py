@@ -1,18 +1,23 @@
-"""Byte-level BPE through pieces between spaces, each encoded once per worker.
+"""Byte-level BPE: whole texts, or pieces between spaces that are each encoded once per worker.
 
-The tokenizer's own pattern never lets a token run from a character that isn't white space into white
-space, and puts one space before the token that follows it. So a text may be cut before a space
-whenever the character to its left isn't white space or the one to its right isn't: the library gives
-the same tokens for the parts. Texts with a space between other white space, or with a special
-string, go to the library whole.
+The library's file gives vocabulary and merges. Where every merge's result has the next id, merging by
+lowest id is the same as merging by the file's order, and the compiled rank encoder gives the library's
+ids; texts with a special string, and files of another kind, go to the library itself.
+
+The pattern that splits texts before merges never lets a token run from a character that isn't white
+space into white space, and puts one space before the token that follows it. So a text may be cut before
+a space whenever the character to its left isn't white space or the one to its right isn't: the parts
+give the same tokens.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import public_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -22,59 +27,88 @@ TIED = re.compile(r"\s (?=\s|\Z)")
 LONGEST = 64
 
 
-class Pieces:
-    """value() of each piece from a table, else from the library; what the library gave is kept, up to `room` pieces."""
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in vocabulary files: itself if printable, else from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def in_rank_order(path: str):
+    """The rank encoder for a library file, or None where its merges aren't in the order of ids."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    vocab, letters = model["vocab"], byte_letters()
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class Encoder:
+    """The library's ids of texts, without added tokens."""
 
-    def __init__(self, path: str, known: dict | None = None, room: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranks = in_rank_order(path)
+
+    def plain(self, text: str) -> bool:
+        return not any(s in text for s in self.special)
+
+    def ids(self, text: str) -> list[int]:
+        if self.ranks is not None and self.plain(text):
+            try:
+                return self.ranks.encode_ordinary(text)
+            except Exception:  # a run that its pattern engine gives up on; the library takes it
+                pass
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def id_bytes(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return np.asarray(self.ids(text), "<u4").tobytes()
+
+
+class Pieces:
+    """Numbers of tokens by pieces from a table, else from the encoder; what that gave is kept, up to `room` pieces."""
+
+    def __init__(self, path: str, known: dict[str, int] | None = None, room: int = 400_000):
+        self.encoder = Encoder(path)
         self.known, self.room = known or {}, room
         self.held = dict(self.known)
         self.asked = 0
 
-    def encode(self, texts: list[str]) -> list:
-        self.asked += len(texts)
-        return [self.value(x) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def value(self, encoding):
-        return len(encoding.ids)
-
-    def whole(self, text: str) -> bool:
-        return TIED.search(text) is not None or any(s in text for s in self.special)
-
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces in order."""
-        out: list = [None] * len(texts)
-        alone = [i for i, t in enumerate(texts) if self.whole(t)]
-        for i, v in zip(alone, self.encode([texts[i] for i in alone]), strict=True):
-            out[i] = [v]
-        open_: list[tuple[int, list[str], list]] = []
-        need: dict[str, None] = {}
-        get = self.held.get
-        for i, t in enumerate(texts):
-            if out[i] is not None:
-                continue
-            first, *rest = t.split(" ")
-            values = list(map(get, rest))
-            if None in values:
-                need.update(dict.fromkeys(p for p, v in zip(rest, values, strict=True) if v is None))
-            open_.append((i, [first, *rest], values))
-        new = dict(zip(need, self.encode([" " + p for p in need]), strict=True)) if need else {}
-        heads = self.encode([pieces[0] for _, pieces, _ in open_])
-        for (i, pieces, values), head in zip(open_, heads, strict=True):
-            out[i] = [head, *(new[p] if v is None else v for p, v in zip(pieces[1:], values, strict=True))] if None in values else [head, *values]
-        if len(self.held) + len(new) > self.room:
-            self.held = dict(self.known)
-        self.held.update((p, v) for p, v in new.items() if len(p) <= LONGEST)
-        return out
-
-
-class IdPieces(Pieces):
-    """The value of a piece is its ids as little-endian unsigned 32-bit bytes."""
-
-    def value(self, encoding):
-        return np.asarray(encoding.ids, "<u4").tobytes()
+    def encode(self, text: str) -> int:
+        self.asked += 1
+        return len(self.encoder.ids(text))
+
+    def count(self, text: str) -> int:
+        if TIED.search(text) or not self.encoder.plain(text):
+            return self.encode(text)
+        first, *rest = text.split(" ")
+        values = list(map(self.held.get, rest))
+        if None in values:
+            for k, v in enumerate(values):
+                if v is None:
+                    p = rest[k]
+                    v = self.held.get(p)
+                    if v is None:
+                        v = self.encode(" " + p)
+                        if len(p) <= LONGEST:
+                            if len(self.held) >= self.room:
+                                self.held = dict(self.known)
+                            self.held[p] = v
+                    values[k] = v
+        return self.encode(first) + sum(values)

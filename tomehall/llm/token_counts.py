@@ -43,14 +43,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, size: int =
     an empty table gives an empty one."""
     known = {}
     if pieces := frequent(docs, size):
-        known = dict(zip(pieces, Pieces(tokenizer).encode([" " + p for p in pieces]), strict=True))
+        encoder = Pieces(tokenizer)
+        known = {p: encoder.encode(" " + p) for p in pieces}
     table = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         worker = Pieces(tokenizer, table.value)
         for piece in slices(batches):
             texts = piece.column("text")
-            n = [sum(x) for x in worker.of(["" if t is None else t for t in texts.to_pylist()])]
+            n = [worker.count(t or "") for t in texts.to_pylist()]
             size = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
