@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import contaminated
 from .jaccard_join import link
 from .packing import pack
 from .substring_dedup import remove_repeats
@@ -28,6 +29,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op8_token_counts)}
 
 #: SQL for the queries that it can express; the others are tested against brute force.
