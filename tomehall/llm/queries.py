@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contaminated
 from .jaccard_join import link
+from .language_id import identify
 from .packing import pack
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -17,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_ngram_jaccard_join, op6_best_fit_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op8_token_counts)}
 
 #: SQL for the queries that it can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
