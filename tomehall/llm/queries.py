@@ -10,6 +10,7 @@ from .decontamination import contaminated
 from .jaccard_join import link
 from .language_id import identify
 from .packing import pack
+from .quality import rate
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
@@ -34,6 +35,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
