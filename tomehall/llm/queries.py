@@ -10,6 +10,7 @@ from .decontamination import contaminated
 from .jaccard_join import link
 from .language_id import identify
 from .packing import pack
+from .pii import detect
 from .quality import rate
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -31,6 +32,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,7 +48,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op7_pii, op8_token_counts)}
 
 #: SQL for the queries that it can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
