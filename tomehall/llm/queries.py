@@ -9,6 +9,7 @@ from .common import table
 from .decontamination import contaminated
 from .jaccard_join import link
 from .language_id import identify
+from .lm_score import score_folds
 from .packing import pack
 from .pii import detect
 from .quality import rate
@@ -24,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_folds(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_language_id, op5_ngram_jaccard_join, op6_best_fit_packing, op7_pii, op8_token_counts)}
+#: In the order of the list of operators.
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op3_language_id,
+        op4_lm_score,
+        op5_ngram_jaccard_join,
+        op6_best_fit_packing,
+        op7_pii,
+        op8_token_counts,
+        op9_quality_classifier,
+        op10_benchmark_decontamination,
+    )
+}
 
 #: SQL for the queries that it can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {}
