@@ -10,6 +10,7 @@ from .decontamination import contaminated
 from .jaccard_join import link
 from .language_id import identify
 from .lm_score import score_folds
+from .media import inspect, store
 from .packing import pack
 from .pii import detect
 from .quality import rate
@@ -21,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect(store(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_media_columns,
         op3_language_id,
         op4_lm_score,
         op5_ngram_jaccard_join,
