@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; longer texts make a slice of their own.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 400_000
 
 U64 = np.uint64
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,15 +38,13 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table and reads it back; frees the shuffle files that it needed."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        schema = df.schema
-        del df
-        self.release()
-        return self.spark.read.schema(schema).parquet(path)
-
-    def release(self) -> None:
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")  # nothing reads these shuffle files again
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before) if before is not None else self.spark.conf.unset(CLEAN)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -99,6 +98,63 @@ def pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * U64(0x9E3779B97F4A7C15) + (b ^ U64(salt)) * U64(0xD1B54A32D192ED03) + U64(salt))
 
 
+#: ASCII white space, by byte.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte; names of words are sums of these times powers, so they follow from the bytes alone.
+BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+BYTE_LOWER = BYTE.copy()
+BYTE_LOWER[65:91] = BYTE[97:123]
+BASE = 0x2545F4914F6CDD1B
+#: Longer words are hashed one by one: sums of powers tell very long strings apart less well.
+LONG_WORD = 64
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """1, base, base^2 ... modulo 2^64, n of them at least."""
+    got = _powers.get(base)
+    if got is None or len(got) < n:
+        got = np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, SLICE_BYTES), base & (1 << 64) - 1, U64)]), dtype=U64)
+        if n <= 4 * SLICE_BYTES:
+            _powers[base] = got
+    return got
+
+
+def inverse(n: int, base: int = BASE) -> np.ndarray:
+    return powers(n, pow(base, -1, 1 << 64))
+
+
+class Words:
+    """The words of a column of texts, runs of bytes other than ASCII white space, without a Python object for each.
+
+    names: a 64-bit name of each; start, end: its bytes in data; count: words of each text."""
+
+    def __init__(self, texts: pa.Array, lower: bool = False):
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        n = len(self.data)
+        filled = ~SPACE[self.data]
+        cut = np.zeros(n + 1, bool)
+        cut[self.offsets] = True
+        before = np.ones(n, bool)
+        before[1:] = ~filled[:-1]
+        self.start = np.flatnonzero(filled & (before | cut[:n]))
+        after = np.ones(n, bool)
+        after[:-1] = ~filled[1:]
+        self.end = np.flatnonzero(filled & (after | cut[1:])) + 1
+        self.count = np.diff(np.searchsorted(self.start, self.offsets))
+        total = np.zeros(n + 1, U64)
+        np.cumsum((BYTE_LOWER if lower else BYTE)[self.data] * powers(n)[:n], out=total[1:])
+        size = self.end - self.start
+        self.names = mix((total[self.end] - total[self.start]) * inverse(n)[self.start] + size.astype(U64))
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            word = self.data[self.start[k] : self.end[k]].tobytes()
+            self.names[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
