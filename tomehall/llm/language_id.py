@@ -153,6 +153,28 @@ def train(docs: DataFrame, sample: int = 3000, least: int = 60) -> Model | None:
     return model
 
 
+def judged(m: Model | None, texts: pa.Array) -> list[tuple[str, float]]:
+    """Language and probability of each text."""
+    out = []
+    for t, (at, count) in zip(texts.to_pylist(), features(texts), strict=True):
+        if m is None or not t or not any(map(str.isalpha, t)):
+            out.append(("und", 0.0))
+        else:
+            p = m.probabilities(m.scores(at, count))
+            out.append((m.languages[int(p.argmax())], float(p.max())))
+    return out
+
+
+def recognised(docs: DataFrame, model: Model | None, sure: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is told with a probability of `sure` at least; each row by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(b):
+        return b.filter(pa.array([lang != "und" and p >= sure for lang, p in judged(shared.value, b.column("text"))], pa.bool_()))
+
+    return on_texts(docs, run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs(doc_id, text); other columns aren't read.
 
@@ -161,16 +183,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(b):
-        m, langs, scores = shared.value, [], []
-        for t, (at, count) in zip(b.column("text").to_pylist(), features(b.column("text")), strict=True):
-            if m is None or not t or not any(map(str.isalpha, t)):
-                langs.append("und")
-                scores.append(0.0)
-            else:
-                p = m.probabilities(m.scores(at, count))
-                langs.append(m.languages[int(p.argmax())])
-                scores.append(float(p.max()))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        found = judged(shared.value, b.column("text"))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return on_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
