@@ -73,7 +73,7 @@ def follow_leader(model: Model, rows: list, classes: np.ndarray, epochs: int = 6
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((1 + np.sqrt(n[at])) / alpha + l2))
 
     rng = np.random.default_rng(seed)
-    vectors = [(np.append(at, len(model.weight)), np.append(model.vector(at, c), 1.0)) for at, c in rows]  # the last coordinate is the bias
+    vectors = [(np.append(at, len(model.weight)), np.append(model.vector(at, c), 1.0).astype(np.float32)) for at, c in rows]  # the last coordinate is the bias
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, v = vectors[i]
@@ -104,7 +104,7 @@ def temperature(model: Model, scores: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, sample: int = 3000, least: int = 60) -> Model | None:
+def train(docs: DataFrame, sample: int = 1600, least: int = 60) -> Model | None:
     """A model of docs(doc_id, text, lang), null without a labelled text.
 
     `sample` bounds the rows that weights are fitted to: those of the smallest hashes of doc_id, so many of each
@@ -140,10 +140,10 @@ def train(docs: DataFrame, sample: int = 3000, least: int = 60) -> Model | None:
 
     def described(b):
         f = list(features(b.column("text")))
-        return pa.RecordBatch.from_arrays([b.column("lang"), pa.array([at for at, _ in f], pa.list_(pa.int64())), pa.array([c for _, c in f], pa.list_(pa.int64()))], names=["lang", "at", "times"])
+        return pa.RecordBatch.from_arrays([b.column("lang"), pa.array([at for at, _ in f], pa.list_(pa.int32())), pa.array([c for _, c in f], pa.list_(pa.int32()))], names=["lang", "at", "times"])
 
-    picked = on_texts(known.where(chosen).select("text", "lang", order.alias("h")).orderBy("h").limit(each * len(languages)), described, "lang string, at array<long>, times array<long>").toPandas()
-    rows = [(np.array(at, np.int64), np.array(c, np.int64), languages.index(x)) for x, at, c in zip(picked["lang"], picked["at"], picked["times"], strict=True)]
+    picked = on_texts(known.where(chosen).select("text", "lang", order.alias("h")).orderBy("h").limit(each * len(languages)), described, "lang string, at array<int>, times array<int>").toArrow()
+    rows = [(np.asarray(at.values), np.asarray(c.values), languages.index(x.as_py())) for x, at, c in zip(*(picked.column(c) for c in ("lang", "at", "times")), strict=True)]
     apart = [i for i in range(len(rows)) if i % 5 == 4]
     fit = [i for i in range(len(rows)) if i % 5 != 4]
     classes = np.array([c for _, _, c in rows])
