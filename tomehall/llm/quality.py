@@ -12,22 +12,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text_rule, raw
+from .common import U64, by_text_rule, hashed, mix, raw, slices
 
 BUCKETS, SIZE = 1 << 16, 16
 
 
-def units(word: bytes, shortest: int = 2, longest: int = 4) -> list[int]:
-    """Buckets of the word and of its character n-grams, with marks at its ends."""
-    w = "<" + word.decode("utf-8", "replace") + ">"
-    if len(w) > 64:  # a long run: its ends and its length stand for it, so no word costs more than another
-        w = f"{w[:32]}{len(w).bit_length()}{w[-32:]}"
-    h = xxhash.xxh3_64_intdigest
-    return [h(word) % BUCKETS, *(h(w[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in range(shortest, longest + 1) for i in range(len(w) - n + 1))]
+def units(words: list[bytes], shortest: int = 2, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its n-grams of bytes, with marks at its ends, and the word of each bucket."""
+    marked = [b"<" + w + b">" for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(U64)
+    own = np.repeat(np.arange(len(words)), [len(w) for w in marked])
+    bucket, word = [hashed(words) >> U64(48)], [np.arange(len(words))]
+    name = data
+    for n in range(2, longest + 1):
+        name = name[:-1] << U64(8) | data[n - 1 :] if len(name) else name
+        if n >= shortest:
+            at = np.flatnonzero(own[: len(name)] == own[n - 1 :])
+            bucket.append(mix(name[at] + U64(n << 40)) >> U64(48))
+            word.append(own[at])
+    return np.concatenate(bucket).astype(np.int64), np.concatenate(word)
 
 
 @dataclass
@@ -35,28 +41,26 @@ class Model:
     vectors: np.ndarray  # BUCKETS x SIZE
     weight: np.ndarray  # SIZE x 2
     bias: np.ndarray
+    lean: np.ndarray | None = None
 
-    def share(self, word: bytes) -> float:
-        """What the word adds to the difference of the classes' scores, before the mean."""
-        return float(self.vectors[units(word)].mean(axis=0) @ (self.weight[:, 1] - self.weight[:, 0]))
+    def shares(self, words: list[bytes]) -> list[float]:
+        """What each word adds to the difference of the classes' scores, before the mean."""
+        if self.lean is None:
+            self.lean = self.vectors @ (self.weight[:, 1] - self.weight[:, 0])
+        bucket, word = units(words)
+        return (np.bincount(word, self.lean[bucket], len(words)) / np.bincount(word, minlength=len(words))).tolist()
 
 
 def fit(texts: list[dict[bytes, int]], classes: np.ndarray, epochs: int = 8, rate: float = 0.5, seed: int = 11) -> Model:
     """Stochastic gradient descent over texts as counts of words; both classes weigh alike."""
     rng = np.random.default_rng(seed)
     m = Model((rng.random((BUCKETS, SIZE)) - 0.5) / SIZE, np.zeros((SIZE, 2)), np.zeros(2))
-    ids: dict[bytes, np.ndarray] = {}
     rows = []
     for t in texts:
-        total = max(1, sum(t.values()))
-        at, how = [], []
-        for w, n in t.items():
-            if w not in ids:
-                ids[w] = np.array(units(w))
-            at.append(ids[w])
-            how.append(np.full(len(ids[w]), n / total / len(ids[w])))
-        a, inv = np.unique(np.concatenate(at) if at else np.empty(0, np.int64), return_inverse=True)
-        rows.append((a, np.bincount(inv, np.concatenate(how), len(a)) if at else np.empty(0)))
+        bucket, word = units(list(t))
+        times = np.array(list(t.values()), np.float64) / max(1, sum(t.values()))
+        at, inverse = np.unique(bucket, return_inverse=True)
+        rows.append((at, np.bincount(inverse, (times / np.maximum(1, np.bincount(word, minlength=len(t))))[word], len(at))))
     balance = len(classes) / (2 * np.maximum(1, np.bincount(classes, minlength=2)))
     steps, k = epochs * len(rows), 0
     for _ in range(epochs):
@@ -125,27 +129,20 @@ def score(docs: DataFrame, model: Model | None, room: int = 400_000) -> DataFram
 
     def run(batches):
         m, held = shared.value, {}
-        for b in batches:
-            out = []
-            for t in raw(b):
-                words = words_of(t)
-                if m is None:
-                    out.append(0.5)
-                    continue
-                shares = list(map(held.get, words))
-                if None in shares:
-                    for k, v in enumerate(shares):
-                        if v is None:
-                            w = words[k]
-                            if (v := held.get(w)) is None:
-                                if len(held) >= room:
-                                    held.clear()
-                                v = m.share(w)
-                                if len(w) <= 64:
-                                    held[w] = v
-                            shares[k] = v
-                x = sum(shares) / len(shares) if shares else 0.0
-                out.append(float(1 / (1 + np.exp(-np.clip(x + m.bias[1] - m.bias[0], -500, 500)))))
+        for b in slices(batches):
+            lists = [words_of(t) for t in raw(b)]
+            if m is None:
+                out = [0.5] * len(lists)
+            else:
+                got = [list(map(held.get, words)) for words in lists]
+                new = list({w for words, s in zip(lists, got, strict=True) if None in s for w, v in zip(words, s, strict=True) if v is None})
+                found = dict(zip(new, m.shares(new), strict=True)) if new else {}
+                if len(held) + len(found) > room:
+                    held.clear()
+                held.update((w, v) for w, v in found.items() if len(w) <= 64)
+                tilt = float(m.bias[1] - m.bias[0])
+                x = np.array([sum(found[w] if v is None else v for w, v in zip(words, s, strict=True)) / len(words) if None in s else sum(s) / max(1, len(s)) for words, s in zip(lists, got, strict=True)])
+                out = (1 / (1 + np.exp(-np.clip(x + tilt, -500, 500)))).tolist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
