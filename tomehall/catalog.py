@@ -10,7 +10,7 @@ from .functions.validate import is_identifier
 from .operators.index import build, postings
 from .operators.literal import last_wins, literal_search
 from .operators.ranked import fuzzy, scored
-from .plans.grammar import parse
+from .plans.grammar import named_terms, parse
 from .plans.search import literal_plan, merged, ranked_plan
 from .sources import tables
 
@@ -185,7 +185,8 @@ def fieldnorm(spark, d):
 
 
 def ranked(spark, d, text: str, category: str | None = None) -> DataFrame:
-    found = scored(build(tables.documents(spark, d)), parse(text), category)
+    tree = parse(text)
+    found = scored(build(tables.documents(spark, d), named_terms(tree)), tree, category)
     return found.select("corpus_ord", "doc_ord", F.round("score", 6).alias("score"))
 
 
@@ -296,7 +297,7 @@ def bm25_category(spark, d):
 
 @query(f"SELECT path, score FROM ({ranked_sql(both(0, 'de') + both(1, 'in'), 'true')}) JOIN (SELECT doc_id AS doc_ord, source || '/' || doc_id || '.md' AS path FROM documents) USING (doc_ord) ORDER BY score DESC, corpus_ord, doc_ord LIMIT 10")
 def bm25_multi_corpus_topk(spark, d):
-    index = build(tables.documents(spark, d))
+    index = build(tables.documents(spark, d), ["de", "in"])
     return merged([ranked_plan(index, "de in", limit=10).withColumn("score", F.round("score", 6))], 10).select("path", "score")
 
 
@@ -348,7 +349,7 @@ SELECT corpus_ord, path, line_number, score FROM mixed ORDER BY score DESC NULLS
 def auto_mixed(spark, d):
     """The first corpus has an index, the others don't."""
     files, docs = tables.files(spark, d), tables.documents(spark, d)
-    parts = [ranked_plan(build(docs.where("corpus_ord = 0")), "ertion", limit=20).withColumn("score", F.round("score", 6)), literal_plan(files.where("corpus_ord > 0"), docs.drop("content"), "ertion", limit=20)]
+    parts = [ranked_plan(build(docs.where("corpus_ord = 0"), ["ertion"]), "ertion", limit=20).withColumn("score", F.round("score", 6)), literal_plan(files.where("corpus_ord > 0"), docs.drop("content"), "ertion", limit=20)]
     return merged(parts, 20).select("corpus_ord", "path", "line_number", "score")
 
 

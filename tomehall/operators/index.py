@@ -24,21 +24,23 @@ class Index:
     stats: DataFrame
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """One row for each term of a field of a document; all of a document's terms are gathered from its own row, without a shuffle of tokens."""
+def postings(documents: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """One row for each term of a field of a document; with `terms`, for these alone, which are picked out before anything is spread or shuffled."""
     parts = []
     for field in FIELDS:
         spread = documents.select("corpus_ord", "doc_ord", F.lit(field).alias("field"), tokens(F.coalesce(F.col(field), F.lit(""))).alias("t"))
         sized = spread.withColumn("length", F.size("t").cast("long"))
+        if terms is not None:
+            sized = sized.withColumn("t", F.filter("t", lambda x: x["term"].isin(terms)))
         parts.append(sized.select("corpus_ord", "doc_ord", "field", "length", F.explode("t").alias("t")))
     flat = parts[0].unionByName(parts[1])
     grouped = flat.groupBy("corpus_ord", "doc_ord", "field", F.col("t.term").alias("term"), "length")
     return grouped.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
 
 
-def build(documents: DataFrame) -> Index:
-    """An index of documents(corpus_ord, doc_ord, path, title, category, tags, content), as plans."""
-    post = postings(documents)
+def build(documents: DataFrame, terms: list[str] | None = None) -> Index:
+    """An index of documents(corpus_ord, doc_ord, path, title, category, tags, content), as plans; with `terms`, of these, with statistics of all."""
+    post = postings(documents, terms)
     terms = post.groupBy("corpus_ord", "field", "term").agg(F.count(F.lit(1)).alias("df"))
     sizes = [documents.select("corpus_ord", F.lit(f).alias("field"), F.size(tokens(F.coalesce(F.col(f), F.lit("")))).cast("long").alias("length")) for f in FIELDS]
     stats = sizes[0].unionByName(sizes[1]).groupBy("corpus_ord", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("total"))
