@@ -83,6 +83,22 @@ def test_ranked_routing_and_staleness(engine):
     assert set(titles(engine.search("lambda", backend=Backend.RANKED))) == {"Lambda Patterns", "Lambda Two"}
 
 
+def test_index_modes(spark, tmp_path):
+    from tomehall.backends import LiteralBackend, RankedBackend
+    from tomehall.model import IndexMissing, IndexMode, Manifest, ReadOnlyIndex, SearchOptions
+
+    root = corpus(tmp_path / "c")
+    with pytest.raises(IndexMissing):
+        RankedBackend(spark, root, Manifest(), IndexMode.READ_ONLY)
+    new = RankedBackend(spark, root, Manifest(), IndexMode.READ_WRITE)
+    with pytest.raises(IndexMissing):
+        new.search("x", SearchOptions())
+    assert new.needs_indexing() and not LiteralBackend(spark, root, Manifest()).needs_indexing()
+    new.index()
+    with pytest.raises(ReadOnlyIndex):
+        RankedBackend(spark, root, Manifest(), IndexMode.READ_ONLY).index()
+
+
 def test_corpora_and_errors(spark, tmp_path):
     one, two = corpus(tmp_path / "one"), corpus(tmp_path / "two", {"cat/doc.md": ("Doc", "cat", [], "for all")})
     assert len(titles(Engine(spark, Config([one, two, str(tmp_path / "none")])).search("for"))) == 3

@@ -4,38 +4,22 @@ from __future__ import annotations
 
 import logging
 import os
-import shutil
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import config as configuration
+from .backends import LiteralBackend, RankedBackend, SearchBackend, index_exists
 from .functions import validate
 from .functions.text import parse_tag_list, slugify
-from .model import HIT, AlreadyExists, Backend, Document, IndexMissing, InvalidInput, Manifest, NotFound, SearchOptions, TomehallError
-from .operators.index import build, load, save
-from .plans.search import DEFAULT_LIMIT, literal_plan, merged, ranked_plan
-from .sources.files import listed_documents, manifest_rows, missing_documents, text_files
-from .store import INDEX, LocalStorage, replace_file
+from .model import HIT, AlreadyExists, Backend, Document, IndexMode, InvalidInput, Manifest, NotFound, SearchOptions, TomehallError
+from .plans.search import DEFAULT_LIMIT, merged
+from .sources.files import manifest_rows
+from .store import LocalStorage
 
 log = logging.getLogger(__name__)
 SHOWN = ("path", "title", "matched_line", "line_number", "score")
 
 
-def index_exists(root: str) -> bool:
-    return os.path.isdir(os.path.join(root, INDEX))
-
-
-def index_path(root: str) -> str:
-    """The snapshot that the pointer names."""
-    pointer = os.path.join(root, INDEX, "current")
-    if not os.path.isfile(pointer):
-        raise IndexMissing(f"{root} has no index; run the index command")
-    with open(pointer, encoding="utf-8") as f:
-        return os.path.join(root, INDEX, f.read().strip())
-
-
 class Engine:
     """Commands over the configured corpora."""
 
@@ -53,21 +37,11 @@ class Engine:
                 except TomehallError as e:
                     yield i, storage, Manifest(), e
 
-    def plan(self, i: int, storage: LocalStorage, manifest: Manifest, query: str, backend: Backend, options: SearchOptions) -> DataFrame:
-        ranked = backend is Backend.RANKED or backend is Backend.AUTO and index_exists(storage.root)
-        if ranked:
-            if not index_exists(storage.root):
-                raise IndexMissing(f"{storage.root} has no index; run the index command")
-            index = load(self.spark, index_path(storage.root))
-            out = ranked_plan(index, query, options.fuzzy, options.category, DEFAULT_LIMIT if options.limit is None else options.limit)
-            return out.withColumn("corpus_ord", F.lit(i))
-        if query:
-            validate.literal_query(query)
-        files = text_files(self.spark, [(i, storage.root)])
-        out = literal_plan(files, manifest_rows(self.spark, [(i, manifest.documents)]), query, case_sensitive=options.case_sensitive, category=options.category, limit=options.limit, folding=True)
-        root = storage.root.rstrip("/")
-        out = out.withColumn("path", F.concat(F.lit(root + "/"), "path")).orderBy("path", "line_number")
-        return out if options.limit is None else out.limit(options.limit)
+    def backend(self, i: int, storage: LocalStorage, manifest: Manifest, backend: Backend) -> SearchBackend:
+        """The backend of one corpus; with AUTO the ranked one where an index exists."""
+        if backend is Backend.RANKED or backend is Backend.AUTO and index_exists(storage.root):
+            return RankedBackend(self.spark, storage.root, manifest, IndexMode.READ_ONLY, i)
+        return LiteralBackend(self.spark, storage.root, manifest, i)
 
     def search(self, query: str, limit: int | None = DEFAULT_LIMIT, category: str | None = None, case_sensitive: bool = False, backend: Backend = Backend.LITERAL, fuzzy: int | None = None) -> DataFrame:
         """path, title, matched_line, line_number, score. Fails only where nothing is found and a corpus failed."""
@@ -77,7 +51,7 @@ class Engine:
             try:
                 if error:
                     raise error
-                parts.append(self.plan(i, storage, manifest, query, backend, options))
+                parts.append(self.backend(i, storage, manifest, backend).search(query, options))
             except TomehallError as e:
                 log.warning("corpus %s: %s", storage.root, e)
                 errors.append(f"{storage.root}: {e}")
@@ -126,19 +100,6 @@ class Engine:
         storage.write_manifest(manifest)
         return doc
 
-    def index_corpus(self, storage: LocalStorage, manifest: Manifest) -> None:
-        """A new snapshot of the whole corpus; the pointer changes when it is complete."""
-        files, rows = text_files(self.spark, [(0, storage.root)]), manifest_rows(self.spark, [(0, manifest.documents)])
-        for r in missing_documents(files, rows).select("path").limit(100).collect():
-            log.warning("%s can't be read and isn't indexed", r["path"])
-        name = f"v{uuid.uuid4().hex[:12]}"
-        save(build(listed_documents(files, rows)), os.path.join(storage.root, INDEX, name))
-        folder = os.path.join(storage.root, INDEX)
-        old = [n for n in os.listdir(folder) if n.startswith("v") and n != name]
-        replace_file(os.path.join(folder, "current"), name)
-        for n in old:
-            shutil.rmtree(os.path.join(folder, n), ignore_errors=True)
-
     def index_all(self) -> int:
         """How many corpora have been indexed; fails only where none was and one failed."""
         done, errors = 0, []
@@ -146,7 +107,7 @@ class Engine:
             try:
                 if error:
                     raise error
-                self.index_corpus(storage, manifest)
+                RankedBackend(self.spark, storage.root, manifest, IndexMode.READ_WRITE).index()
                 done += 1
             except (TomehallError, OSError) as e:
                 errors.append(f"{storage.root}: {e}")

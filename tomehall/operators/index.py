@@ -11,6 +11,12 @@ from ..functions.text import quantised_length, tokens
 
 FIELDS = ("title", "content")
 BUCKETS = 64
+SCHEMAS = {
+    "docs": "corpus_ord int, doc_ord long, path string, title string, category string, tags array<string>",
+    "postings": "corpus_ord int, doc_ord long, field string, term string, length long, tf long, positions array<int>, bucket int",
+    "terms": "corpus_ord int, field string, term string, df long, bucket int",
+    "stats": "corpus_ord int, field string, n_docs long, total long",
+}
 
 
 @dataclass
@@ -56,10 +62,10 @@ def save(index: Index, path: str) -> None:
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     with_buckets(index.postings).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = index.docs.sparkSession
-    post = spark.read.parquet(f"{path}/postings")
+    post = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
     with_buckets(post.groupBy("corpus_ord", "field", "term").agg(F.count(F.lit(1)).alias("df"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats")))
+    return Index(*(spark.read.schema(s).parquet(f"{path}/{t}") for t, s in SCHEMAS.items()))
