@@ -18,7 +18,8 @@ SLICE_BYTES = 400_000
 
 U64 = np.uint64
 
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: its shuffle files go as soon as it is there, as nothing reads them again, and Python workers get smaller batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +39,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table and reads it back; frees the shuffle files that it needed."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")  # nothing reads these shuffle files again
+        before = {k: self.spark.conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEAN, before) if before is not None else self.spark.conf.unset(CLEAN)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
