@@ -23,19 +23,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, grams, hashed, mix, on_texts, raw
-from .components import components
+from .common import U64, Scratch, Words, grams, mix, on_texts, slices
+from .components import forest, labels
 
 SKETCH = 1024
+#: Documents of a region that are compared by a join; larger regions are compared in blocks.
+SMALL = 64
 
 
-def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of n consecutive words, ASCII capitals lowered; the whole sequence if it is shorter."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, U64)
-    h = hashed(words)
-    return np.unique(grams(h, n, 77)) if len(h) >= n else mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], U64))
+def sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's n consecutive words, ASCII capitals lowered; of the whole sequence if it is shorter."""
+    words = Words(texts, lower=True)
+    out = []
+    for h in np.split(words.names, np.cumsum(words.count)[:-1]):
+        if len(h) < n:
+            h = mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], U64)) if len(h) else h
+        else:
+            h = grams(h, n, 77)
+            h.sort()
+            h = h[np.append(True, h[1:] != h[:-1])]
+        out.append(h)
+    return out
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -56,30 +64,77 @@ def rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144, least_frequent: int = 8, easy: int = 4_000_000) -> DataFrame:
+def close_pairs(members: DataFrame, percent: int, closest: bool = False, small: int = SMALL, block: int = 2048) -> DataFrame:
+    """key1, key2 of documents of one region in different components whose sizes and sketches allow a link.
+
+    members(region, key, n, h, label, sketch, all): `all` documents in the region. Those of up to `small` documents join within windows of distances to
+    the pivot; larger ones are cut into blocks by hash, and every two blocks meet in a task of their own, which gives only the pairs within bounds; with `closest`, the closest of each
+    document in its block."""
+    alike, bound = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)", F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")
+    few = members.where(F.col("all") <= small)
+    of = lambda k: few.select("region", *(F.col(c).alias(f"{c}{k}") for c in ("key", "label", "n", "h", "sketch")))
+    one, two = of(1), of(2)
+    far = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    window = (F.col("label1") < F.col("label2")) & F.expr(alike) & (F.abs(F.col("h1") - F.col("h2")) <= bound) & (far <= bound)
+    near = one.join(two, (one.region == two.region) & window).select("key1", "key2")
+
+    parts = F.ceil(F.col("all") / block).cast("int")
+    many = members.where(F.col("all") > small).withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    many = many.select("region", "key", "n", "label", "sketch", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    many = many.select("region", "key", "n", "label", "sketch", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        key, size, label, part, i, j = (t.column(c).to_numpy() for c in ("key", "n", "label", "part", "i", "j"))
+        words = np.asarray(t.column("sketch").combine_chunks().flatten()).view(U64).reshape(len(key), -1).T.copy()
+        first = np.flatnonzero(part == i)
+        second = first if i[0] == j[0] else np.flatnonzero(part == j)
+        out1, out2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(0, len(first), 64):
+            a = first[k : k + 64]
+            total = np.zeros((len(a), len(second)), np.uint16)
+            for w in words:
+                total += np.bitwise_count(w[a][:, None] ^ w[second][None, :])
+            both = size[a][:, None] + size[second][None, :]
+            ok = (total <= (100 - percent) * both // (100 + percent)) & (label[a][:, None] != label[second][None, :])
+            ok &= 100 * np.minimum(size[a][:, None], size[second][None, :]) >= percent * np.maximum(size[a][:, None], size[second][None, :])
+            if closest:
+                best = np.where(ok, total, 65535).argmin(axis=1)
+                x = np.flatnonzero(ok[np.arange(len(a)), best])
+                y = best[x]
+            else:
+                x, y = np.nonzero(ok)
+            x, y = key[a[x]], key[second[y]]
+            out1.append(np.minimum(x, y))
+            out2.append(np.maximum(x, y))
+        return pa.table({"key1": np.concatenate(out1), "key2": np.concatenate(out2)})
+
+    return near.select(F.least("key1", "key2").alias("key1"), F.greatest("key1", "key2").alias("key2")).unionByName(many.groupBy("region", "i", "j").applyInArrow(compare, "key1 long, key2 long"))
+
+
+def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144, least_frequent: int = 8, easy: int = 8192) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id that links reach. A null or empty text, or one of white space, has no shingle and links with nothing. Rows of one
     doc_id are one document. A null doc_id links with nothing and has a null component_id. Other columns
     are ignored. `frequent` bounds the broadcast list of shingles that come last in prefixes; it changes
-    costs, not results. `easy`: pairs of open cells that are compared without another pivot."""
+    costs, not results. `easy`: regions whose open pairs are so many times their documents, or fewer, are compared without another pivot."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def summary(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n) for t in raw(b)]
-        keys = [fingerprint(s) for s in sets]
-        return rows(doc_id=b.column("doc_id"), key=pa.array([k for k, _ in keys], pa.int64()), key2=pa.array([k for _, k in keys], pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
+        found = sets(b.column("text"), n)
+        keys = [fingerprint(s) for s in found]
+        return rows(doc_id=b.column("doc_id"), key=pa.array([k for k, _ in keys], pa.int64()), key2=pa.array([k for _, k in keys], pa.int64()), n=pa.array([len(s) for s in found], pa.int64()))
 
     members = scratch.keep(on_texts(whole, summary, "doc_id long, key long, key2 long, n long"), "members")
     some = whole.where("doc_id is not null and text is not null")
 
     def first_ones(b: pa.RecordBatch) -> pa.RecordBatch:
         found = []
-        for t in raw(b):
-            s = shingles(t, n)
+        for s in sets(b.column("text"), n):
             k = min(len(s), prefix_length(len(s), percent))
             found.append(np.partition(s, k - 1)[:k] if len(s) else s)
         values, times = np.unique(np.concatenate(found), return_counts=True)
@@ -93,8 +148,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
         listed, rank = late.value
         out = {}
-        for t in raw(b):
-            s = shingles(t, n)
+        for s in sets(b.column("text"), n):
             if len(s):
                 key = fingerprint(s)[0]
                 if key not in out:
@@ -108,91 +162,111 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         each = [len(p) for p, _ in out.values()]
         return rows(cell=np.concatenate([p for p, _ in out.values()]), key=np.repeat(np.array(list(out), np.int64), each), n=np.repeat(np.array([m for _, m in out.values()], np.int64), each))
 
-    placed = on_texts(some, prefixes, "cell long, key long, n long")
-    shared = scratch.keep(placed.groupBy("cell").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a < z").select("cell"), "shared")
-    cells = scratch.keep(placed.join(shared, "cell").groupBy("cell", "key").agg(F.max("n").alias("n")), "cells")
+    placed = on_texts(some, prefixes, "cell long, key long, n long").select("cell", "key")
+    shared = scratch.keep(placed.groupBy("cell").agg(F.min("key").alias("pivot"), F.max("key").alias("z")).where("pivot < z").select("cell", "pivot"), "shared")
+    # a document lies in the region of each pivot that it shares a cell with; linked documents share a region
+    near = scratch.keep(placed.join(shared, "cell").where("key <> pivot").select("pivot", "key").distinct(), "near")
     scratch.drop("shared")
 
     reps = members.where("n > 0 and doc_id is not null").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node"))
-    wanted = reps.join(cells.select("key").distinct(), "key", "left_semi").select("key", "key2", F.col("node").alias("doc_id"))
-
-    def described(b: pa.RecordBatch) -> pa.RecordBatch:
-        """Texts whose set is the one that was asked for."""
-        kept, sketches = [], []
-        for i, (t, k1, k2) in enumerate(zip(raw(b), b.column("key").to_pylist(), b.column("key2").to_pylist(), strict=True)):
-            s = shingles(t, n)
-            if fingerprint(s) == (k1, k2):
-                kept.append(i)
-                sketches.append((sketch(s).tolist(), len(s)))
-        c = lambda name: b.column(name).take(pa.array(kept, pa.int64()))
-        return rows(key=c("key"), node=c("doc_id"), n=pa.array([m for _, m in sketches], pa.int64()), sketch=pa.array([x for x, _ in sketches], pa.list_(pa.int64())), text=c("text"))
-
-    texts = on_texts(some.join(wanted, "doc_id"), described, "key long, node long, n long, sketch array<long>, text string")
+    inside = near.select("key").unionByName(near.select(F.col("pivot").alias("key"))).distinct()
+    wanted = reps.join(inside, "key", "left_semi").select("key", "key2", F.col("node").alias("doc_id"))
+
+    def described(batches):
+        """Texts whose set is the one that was asked for; rows come in order of doc_id, and a row given twice is given once."""
+        last, seen = None, set()
+        for b in slices(batches):
+            kept, sketches = [], []
+            for i, (s, d, k1, k2) in enumerate(zip(sets(b.column("text"), n), *(b.column(c).to_pylist() for c in ("doc_id", "key", "key2")), strict=True)):
+                if d != last:
+                    last, seen = d, set()
+                if (k1, k2) not in seen and fingerprint(s) == (k1, k2):
+                    seen.add((k1, k2))
+                    kept.append(i)
+                    sketches.append((sketch(s).tolist(), len(s)))
+            c = lambda name: b.column(name).take(pa.array(kept, pa.int64()))  # noqa: E731, B023
+            yield rows(key=c("key"), node=c("doc_id"), n=pa.array([m for _, m in sketches], pa.int64()), sketch=pa.array([x for x, _ in sketches], pa.list_(pa.int64())), text=c("text"))
+
+    texts = some.hint("merge").join(wanted, "doc_id").mapInArrow(described, "key long, node long, n long, sketch array<long>, text string")
     texts = scratch.keep(texts, "texts")
-    nodes = texts.select("key", "node", "n", "sketch").dropDuplicates(["node", "key"])  # a row given twice
+    nodes = texts.select("key", "node", "n", "sketch")
     far = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     seventh = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")  # the largest symmetric difference of linked sets
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs(key1, key2) of keys those that link, as edges (a, b) between nodes."""
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs(key1, key2) with their nodes, sizes and the distance of their sketches."""
         of = lambda k: nodes.select(F.col("key").alias(f"key{k}"), F.col("node").alias(f"node{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        close = pairs.distinct().join(of(1), "key1").join(of(2), "key2").where("node1 <> node2").where("100 * least(n1, n2) >= %d * greatest(n1, n2)" % percent).where(far <= seventh).select("node1", "node2", "key1", "key2")
-        close = scratch.keep(close, f"{name}-close")
-        text = lambda k: texts.select(F.col("node").alias(f"node{k}"), F.col("key").alias(f"key{k}"), F.col("text").alias(f"text{k}")).dropDuplicates([f"node{k}", f"key{k}"])
+        got = pairs.join(of(1), "key1").join(of(2), "key2").where("node1 <> node2")
+        return scratch.keep(got.select("key1", "key2", "node1", "node2", "n1", "n2", far.alias("h")), name)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Of measured pairs those that link, as edges (a, b) between nodes."""
+        close = pairs.where(alike).where(F.col("h") <= seventh).select("node1", "node2", "key1", "key2")
+        text = lambda k: texts.select(F.col("node").alias(f"node{k}"), F.col("key").alias(f"key{k}"), F.col("text").alias(f"text{k}"))
 
         def exact(batches):
-            for b in batches:
-                yes, held = [], {}
-                for x, y, t, u in zip(b.column("node1").to_pylist(), b.column("node2").to_pylist(), raw(b), raw(b, "text2"), strict=True):
-                    if y not in held:
-                        held = {y: shingles(u, n)}  # rows of one pivot mostly come together
-                    s1, s2 = shingles(t, n), held[y]
-                    both = len(np.intersect1d(s1, s2, assume_unique=True))
-                    if 100 * both >= percent * (len(s1) + len(s2) - both):
-                        yes.append((x, y))
-                yield rows(a=pa.array([x for x, _ in yes], pa.int64()), b=pa.array([y for _, y in yes], pa.int64()))
-
-        checked = close.join(text(1).withColumnRenamed("text1", "text"), ["node1", "key1"]).join(text(2), ["node2", "key2"])
-        out = scratch.keep(checked.mapInArrow(exact, "a long, b long"), name)
-        scratch.drop(f"{name}-close")
-        return out
+            held: dict[int, np.ndarray] = {}
+            for whole in batches:
+                for i in range(0, whole.num_rows, 64):
+                    b = whole.slice(i, 64)
+                    yes = []
+                    other = b.column("node1").to_pylist()
+                    new = {x: k for k, x in enumerate(other) if x not in held}
+                    held = {x: held[x] for x in other if x in held}  # rows of one pivot mostly come together
+                    held |= dict(zip(new, sets(b.column("text1").take(pa.array(list(new.values()), pa.int64())), n), strict=True)) if new else {}
+                    for x, y, s2 in zip(other, b.column("node2").to_pylist(), sets(b.column("text2"), n), strict=True):
+                        s1 = held[x]
+                        both = len(np.intersect1d(s1, s2, assume_unique=True))
+                        if 100 * both >= percent * (len(s1) + len(s2) - both):
+                            yes.append((x, y))
+                    yield rows(a=pa.array([x for x, _ in yes], pa.int64()), b=pa.array([y for _, y in yes], pa.int64()))
+
+        checked = close.join(text(2), ["node2", "key2"]).join(text(1), ["node1", "key1"])
+        return scratch.keep(checked.mapInArrow(exact, "a long, b long"), name)
 
     # rows of one doc_id with different texts: their classes belong together
     same = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"]).select("doc_id", "node")
     several = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z")
     edges = scratch.keep(same.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "same")
 
-    pivots = cells.groupBy("cell").agg(F.min("key").alias("key1"))
-    pairs = cells.join(pivots, "cell").where("key <> key1").select("key1", F.col("key").alias("key2"))
-    cells = cells.join(pivots, "cell").where("key <> key1").select("cell", "key", "n")  # a pivot has then met everyone
-    k = 0
+    pairs = measured(near.select(F.col("pivot").alias("key1"), F.col("key").alias("key2")), "pairs")
+    regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
+    def named(tree: DataFrame) -> DataFrame:
+        """Each key's component as far as it is known: its node's, or the node itself."""
+        return nodes.select("key", "node").join(labels(tree), "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("label"))
+
+    tree, k = edges, 0
     while True:
-        edges = edges.unionByName(linked(pairs.select(F.col("key2").alias("key1"), F.col("key1").alias("key2")), f"links-{k}"))
-        labels = components(edges, scratch, f"labels-{k}")
-        # a key's component: its node's, or the node itself
-        owned = scratch.keep(nodes.select("key", "node").join(labels, "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("label")), f"owned-{k}")
-        state = cells.join(owned, "key")
-        parts = state.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("size"))
-        open_ = parts.groupBy("cell").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max_by("label", "size").alias("largest")).where("all * all > within")
+        tree = forest(tree.unionByName(linked(pairs, f"links-{k}")), scratch, f"tree-{k}", most=2)
+        state = scratch.keep(regions.join(named(tree), "key"), f"state-{k}")
+        parts = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
+        open_ = parts.groupBy("region").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max_by("label", "size").alias("largest")).where("all * all > within")
         open_ = scratch.keep(open_, f"open-{k}")
-        left = open_.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
+        left, size = open_.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
         if not left:
             break
-        inside = scratch.keep(state.join(open_.select("cell", "largest"), "cell"), f"inside-{k}")
-        if left <= easy:
-            one = inside.select("cell", F.col("key").alias("key1"), F.col("label").alias("l1"), F.col("n").alias("n1"))
-            two = inside.select("cell", F.col("key").alias("key2"), F.col("label").alias("l2"), F.col("n").alias("n2"))
-            pairs = one.join(two, "cell").where("l1 < l2").where("100 * least(n1, n2) >= %d * greatest(n1, n2)" % percent).select("key1", "key2")
-            edges = edges.unionByName(linked(pairs, f"links-{k + 1}"))
-            labels = components(edges, scratch, f"labels-{k + 1}")
+        inner = state.join(open_.select("region", "largest"), "region")
+        if left <= easy * size:
+            sized = inner.join(open_.select("region", "all"), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
+            if (open_.agg(F.max("all")).first()[0] or 0) > SMALL:
+                # large regions first give each document's closest partners alone: what these connect needs no other pair
+                sized = scratch.keep(sized, "sized")
+                some = measured(close_pairs(sized.where(F.col("all") > SMALL), percent, closest=True).distinct(), "some")
+                tree = forest(tree.unionByName(linked(some, "links-some")), scratch, "tree-some", most=2)
+                sized = sized.drop("label").join(named(tree), "key")
+            rest = measured(close_pairs(sized, percent).distinct(), "rest")
+            tree = tree.unionByName(linked(rest, "links-rest"))
             break
-        # another pivot for each open cell, from what isn't in its largest component; a pivot's component is compared no more in this cell
-        pivots = inside.where("label <> largest").groupBy("cell").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "label")).alias("p"))
-        pairs = inside.join(pivots, "cell").where("label <> p.label").select(F.col("p.key").alias("key1"), F.col("key").alias("key2"))
-        # what stays: open cells without the pivots, which have then met everyone
-        cells = scratch.keep(inside.join(pivots, "cell").where("key <> p.key").select("cell", "key", "n"), f"cells-{k}")
+        # another pivot for each open region, from what isn't in its largest component; it meets all others there, then leaves
+        pivots = inner.where("label <> largest").groupBy("region").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("t"), "key", "label")).alias("p"))
+        again = scratch.keep(inner.join(pivots, "region").where("key <> p.key").select("region", "key", "n", "h", "label", F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label")), f"again-{k}")
         k += 1
+        pairs = measured(again.where("label <> pivot_label").select(F.col("pivot").alias("key1"), F.col("key").alias("key2")).distinct(), f"pairs-{k}")
+        regions = again.select("region", "key", "n", "h")
 
-    final = labels.select(F.col("node"), F.col("label"))
+    final = labels(forest(tree, scratch, "final"))
+    # all that the result doesn't read any more
+    scratch.drop("near", "texts", "same", "rest", "links-rest", "sized", "some", "links-some", "tree-some-1", *(f"{t}-{i}" for t in ("links", "state", "open", "again", "pairs", "tree") for i in range(k + 1)), "pairs", *(f"tree-{i}-1" for i in range(k + 1)))
     out = members.join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id"))
