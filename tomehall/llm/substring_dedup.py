@@ -14,29 +14,31 @@ hold no safe symbol, are compared word by word through 128-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress as compress_list
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, grams, hashed, mix, on_texts, pair, raw
+from .common import U64, Scratch, Words, grams, inverse, mix, on_texts, pair, powers, raw
 
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def laid_out(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Names of all words, with a wall before the first text and after each; walls; each text's first place; its words."""
-    words = [t.split() if t else [] for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of all words, with a wall before the first text and after each; the walls; each text's first place."""
+    words = Words(texts)
+    n = words.count
     first = np.cumsum(n + 1) - n  # a wall at 0, then one after each text
-    total = int(n.sum()) + len(texts) + 1
+    total = int(n.sum()) + len(n) + 1
     wall = np.zeros(total, bool)
     wall[0] = True
     wall[first + n] = True
     names = np.zeros(total, U64)
-    names[~wall] = hashed([w for one in words for w in one])
-    return names, wall, first, words
+    names[~wall] = words.names
+    return names, wall, first
 
 
 def compress(names, low, high, wall, salt: int):
@@ -71,11 +73,9 @@ def anchors(names: np.ndarray, wall: np.ndarray, window: int, rounds: int = 2) -
     safe = ~walls & (high - low <= window)
     symbols, low, high = symbols[safe], low[safe], high[safe]
     # the words of the context, by sums of powers; then one name with the symbol's
-    odd = U64(0x2545F4914F6CDD1D - 2)
-    power = np.cumprod(np.full(n + 1, odd, U64))
-    inverse = np.cumprod(np.full(n + 1, U64(pow(int(odd), -1, 1 << 64)), U64))
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(names * power[:n])])
-    key = pair((total[high] - total[low]) * inverse[low], symbols + (high - low).astype(U64), 5)
+    total = np.zeros(n + 1, U64)
+    np.cumsum(names * powers(n)[:n], out=total[1:])
+    key = pair((total[high] - total[low]) * inverse(n)[low], symbols + (high - low).astype(U64), 5)
     key = np.minimum(key, NONE - U64(1))
     best = np.full(n, NONE)
     for k in range(window):
@@ -103,6 +103,15 @@ def of_rows(docs: pa.RecordBatch, first: np.ndarray, total: int) -> np.ndarray:
     return own
 
 
+def stretches(best: np.ndarray, starts: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where windows start, and which of these begin a stretch of one document's neighbours with one name."""
+    at = np.flatnonzero(starts)
+    key, doc = best[at], own[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    return at, new
+
+
 def rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
@@ -128,47 +137,53 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def spans(b: pa.RecordBatch) -> pa.RecordBatch:
         """Each symbol with the smallest and the largest document that it stands in."""
-        names, wall, first, _ = laid_out(raw(b))
+        names, wall, first = laid_out(b.column("text"))
         best, starts = anchors(names, wall, window)
-        ok = starts & (best != NONE)
-        key, own = best[ok], of_rows(b, first, len(names))[ok]
+        own = of_rows(b, first, len(names))
+        at, new = stretches(best, starts & (best != NONE), own)
+        key, own = best[at[new]], own[at[new]]
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         return rows(symbol=signed(key[at]), least=own[at], most=own[np.append(at[1:], len(key)) - 1] if len(at) else own)
 
     spanned = on_texts(real, spans, "symbol long, least long, most long")
-    shared = scratch.keep(spanned.groupBy("symbol").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("symbol"), "shared")
+    shared = scratch.keep(spanned.groupBy("symbol").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("symbol").union(docs.sparkSession.range(1).select(F.lit(-1).cast("long"))), "shared")  # NONE counts as shared
 
     def uses(b: pa.RecordBatch) -> pa.RecordBatch:
-        """Each document's symbols; one without a symbol if a window of its has none."""
-        names, wall, first, _ = laid_out(raw(b))
+        """Each document's symbols; NONE if a window of its has none."""
+        names, wall, first = laid_out(b.column("text"))
         best, starts = anchors(names, wall, window)
-        key, own = best[starts], of_rows(b, first, len(names))[starts]
+        own = of_rows(b, first, len(names))
+        at, new = stretches(best, starts, own)
+        key, own = best[at[new]], own[at[new]]
         at = once(key, own)
         key, own = key[at], own[at]
-        return rows(symbol=pa.array(signed(key), mask=key == NONE), doc_id=own)
+        return rows(symbol=signed(key), doc_id=own)
 
     used = on_texts(real, uses, "symbol long, doc_id long")
-    asked = used.where("symbol is not null").join(shared, "symbol").select("doc_id", "symbol").unionByName(used.where("symbol is null").select("doc_id", "symbol"))
+    asked = used.join(shared.hint("shuffle_hash"), "symbol")
     asked = scratch.keep(asked.groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols")), "asked")
+    inspected = scratch.keep(real.join(asked.hint("shuffle_hash"), "doc_id"), "inspected")
+    scratch.drop("shared", "asked")
 
     def windows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """128-bit hashes and documents of the windows that stay in question."""
-        names, wall, first, _ = laid_out(raw(b))
+        names, wall, first = laid_out(b.column("text"))
         best, starts = anchors(names, wall, window)
         own = of_rows(b, first, len(names))
         lists = b.column("symbols")
         flat, ends = np.asarray(lists.flatten()).view(U64), np.asarray(lists.offsets)
-        live = best == NONE
-        if len(flat):  # of each document its own symbols: places of (document's row, symbol)
-            row = np.zeros(len(names), np.int64)
-            row[first[0] :] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(names))))
+        row = np.zeros(len(names), np.int64)
+        row[first[0] :] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(names))))
+        at, new = stretches(best, starts, row)
+        head = at[new]
+        live = best[head] == NONE
+        if len(flat) and len(head):  # of each document its own symbols: places of (document's row, symbol)
             theirs = np.sort(pair(flat, np.repeat(np.arange(len(ends) - 1), np.diff(ends)).astype(U64), 9))
-            mine = pair(best, row.astype(U64), 9)
-            k = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-            live |= theirs[k] == mine
-        at = np.flatnonzero(starts & live)
+            mine = pair(best[head], row[head].astype(U64), 9)
+            live |= theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
+        at = at[np.repeat(live, np.diff(np.append(np.flatnonzero(new), len(at))))]
         return grams(names, window, 101)[at], grams(names, window, 202)[at], own[at]
 
     def earliest(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,7 +194,6 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         at = np.flatnonzero(new)
         return rows(h1=signed(h1[at]), h2=signed(h2[at]), least=own[at], most=own[np.append(at[1:], len(h1)) - 1] if len(at) else own)
 
-    inspected = real.join(asked, "doc_id")
     found = on_texts(inspected, earliest, "h1 long, h2 long, least long, most long")
     repeated = scratch.keep(found.groupBy("h1", "h2").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("h1", "h2", "least"), "repeated")
 
@@ -188,22 +202,32 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         at = once(h2, h1, own)
         return rows(h1=signed(h1[at]), h2=signed(h2[at]), doc_id=own[at])
 
-    later = on_texts(inspected, again, "h1 long, h2 long, doc_id long").join(repeated, ["h1", "h2"]).where("doc_id > least")
+    later = on_texts(inspected, again, "h1 long, h2 long, doc_id long").join(repeated.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > least")
     gone = scratch.keep(later.groupBy("doc_id").agg(F.collect_list("h1").alias("gone")), "gone")
-    scratch.drop("shared", "asked", "repeated")
+    scratch.drop("inspected", "repeated")
 
     def left(b: pa.RecordBatch) -> pa.RecordBatch:
+        names, wall, first = laid_out(b.column("text"))
+        n = np.diff(np.append(first, len(names))) - 1
+        stays = np.ones(len(names), bool)
+        lists = b.column("gone")
+        flat = np.asarray(lists.flatten()).view(U64)
+        if len(flat) and len(names) >= window:
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            theirs = np.sort(pair(flat, np.repeat(np.arange(len(size)), size).astype(U64), 9))
+            row = np.repeat(np.arange(len(n)), n + 1)
+            at = np.flatnonzero(np.append(np.zeros(first[0], bool), (size > 0)[row])[: len(names) - window + 1])
+            mine = pair(grams(names, window, 101)[at], row[at - first[0]].astype(U64), 9)
+            hit = at[theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine]
+            edge = np.bincount(hit, minlength=len(names) + 1) - np.bincount(hit + window, minlength=len(names) + 1)
+            stays = np.cumsum(edge)[: len(names)] <= 0
         out = []
-        for text, hashes in zip(raw(b), b.column("gone"), strict=True):
-            words = text.split() if text else []
-            n, kept = len(words), words
-            if hashes.is_valid and n >= window:
-                hit = np.isin(signed(grams(hashed(words), window, 101)), np.asarray(hashes.values))
-                covered = np.cumsum(np.bincount(np.flatnonzero(hit), minlength=n + 1) - np.bincount(np.flatnonzero(hit) + window, minlength=n + 1))[:n] > 0
-                kept = [words[i] for i in np.flatnonzero(~covered).tolist()]
+        for text, k, m in zip(raw(b), first.tolist(), n.tolist(), strict=True):
+            words, own = text.split() if text else [], stays[k : k + m]
+            kept = words if own.all() else list(compress_list(words, own.tolist()))
             joined = b" ".join(kept)
-            out.append((n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined))
-        n, less, sha, kept = zip(*out, strict=True)
-        return rows(doc_id=b.column("doc_id"), n_words=pa.array(n, pa.int64()), n_removed=pa.array(less, pa.int64()), kept_sha256=pa.array(sha), kept=pa.array(kept, pa.binary()).cast(pa.string()))
+            out.append((m, m - len(kept), hashlib.sha256(joined).hexdigest(), joined))
+        m, less, sha, kept = zip(*out, strict=True)
+        return rows(doc_id=b.column("doc_id"), n_words=pa.array(m, pa.int64()), n_removed=pa.array(less, pa.int64()), kept_sha256=pa.array(sha), kept=pa.array(kept, pa.binary()).cast(pa.string()))
 
-    return on_texts(whole.join(gone, "doc_id", "left"), left, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return on_texts(whole.join(gone.hint("shuffle_hash"), "doc_id", "left"), left, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
