@@ -500,6 +500,50 @@ def test_op10(spark, hard, empty):
     assert passages(hard, bench).count() == 0 and passages(empty, bench).count() == 0 and passages(changed, bench.where("false")).count() == 0
 
 
+def test_op10_stretches():
+    """All lengths and places against brute force."""
+    import numpy as np
+
+    from tomehall.llm.decontamination import stretches
+
+    rng = random.Random(3)
+    for _ in range(400):
+        m = [rng.random() < rng.choice([0.5, 0.75, 0.9]) for _ in range(rng.choice([5, 13, 14, 40, 70]))]
+        fit = [(a, b) for a in range(len(m)) for b in range(a + 13, len(m) + 1) if 10 * sum(m[a:b]) >= 8 * (b - a)]
+        got = stretches(np.array(m), 13, 0.8)
+        assert all(g in fit and (g[1] - g[0] == 13 or m[g[0]] and m[g[1] - 1]) for g in got)
+        assert all(any(a < d and c < b for c, d in got) for a, b in fit)
+        assert all(b <= c or d <= a for k, (a, b) in enumerate(got) for c, d in got[:k])
+        edged = [b - a for a, b in fit if m[a] and m[b - 1]]
+        assert bool(got) == bool(fit) and (not edged or got[0][1] - got[0][0] == max(edged))
+
+
+def test_op10_passages_before_poor_text(spark):
+    from tomehall.llm.decontamination import contaminated
+
+    def tail(n):
+        return [f"t{k}" if k % 3 else f"x{k}" for k in range(n)]
+
+    kind = "{} long, text string"
+    rows, items = [], []
+    for i, n in enumerate((13, 20, 30)):
+        items.append((i, " ".join([f"v{i}w{k}" for k in range(n)] + [f"t{k}" for k in range(60)])))
+        rows.append((i, " ".join([f"v{i}w{k}" for k in range(n)] + tail(60))))
+    rng = random.Random(8)
+    item = [f"q{k}" for k in range(45)]
+    items.append((9, " ".join(item)))
+    want = {(0, 0), (1, 1), (2, 2)}
+    for d in range(100, 200):
+        m = [rng.random() >= 0.25 for _ in item]
+        rows.append((d, " ".join(w if k else "no" for w, k in zip(item, m, strict=True))))
+        seeded = any(all(m[a + k] for k, c in enumerate(mask) if c == "1") for mask in ("11111100", "11011011", "10101111", "11100111") for a in range(38))
+        if seeded and any(10 * sum(m[a:b]) >= 8 * (b - a) for a in range(33) for b in range(a + 13, 46)):
+            want.add((d, 9))
+    got = contaminated(spark.createDataFrame(rows, kind.format("doc_id")), spark.createDataFrame(items, kind.format("item_id"))).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got} and len(want) > 20
+    assert {r.doc_id for r in got if r.doc_id >= 100} == {d for d, _ in want if d >= 100}
+
+
 # ---- common
 
 

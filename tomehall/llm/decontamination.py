@@ -2,8 +2,8 @@
 
 A seed looks at some of `span` consecutive tokens and ignores the others by a fixed mask, so a replaced
 token still lets those seeds match that ignore it. Seeds of the benchmark and of the documents meet by
-hash; a hit fixes how the two texts lie against each other, and the passage is then grown token by token in both directions
-and must agree in most places.
+hash; a hit fixes how the two texts lie against each other, and all stretches that agree in most places are then
+found along that diagonal.
 """
 
 from __future__ import annotations
@@ -77,31 +77,44 @@ class Index:
         return np.concatenate(found, axis=1)
 
 
-def grown(a: np.ndarray, i: int, b: np.ndarray, j: int, span: int, slack: int) -> tuple[int, int, int]:
-    """The best-scoring stretch around a[i:], b[j:]: agreeing tokens count 1, others -1, and growth ends `slack` below the best.
-
-    Gives begin and end in a, and the agreeing tokens between."""
-
-    def grow(x: np.ndarray, y: np.ndarray) -> int:
-        n = min(len(x), len(y))
-        if not n:
-            return 0
-        score = np.cumsum(np.where(x[:n] == y[:n], 1, -1))
-        over = np.flatnonzero(score < np.maximum(np.maximum.accumulate(score), 0) - slack)
-        score = score[: over[0]] if len(over) else score
-        return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
-
-    right = grow(a[i:], b[j:])
-    left = grow(a[:i][::-1], b[:j][::-1])
-    begin, end = i - left, i + right
-    return begin, end, int((a[begin:end] == b[j - left : j + right]).sum())
-
-
-def passages(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, block: int = 400_000, slack: int = 4, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def stretches(same: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """Begin and end of the longest stretches of at least `least` places of which `share` agree, none overlapping, longest first within what is left.
+
+    A stretch begins and ends on agreeing places, unless it has just `least`."""
+    found, open_ = [], [(0, len(same))]
+    while open_:
+        lo, hi = open_.pop()
+        n = hi - lo
+        if n < least:
+            continue
+        m = same[lo:hi]
+        agree = np.concatenate([[0], np.cumsum(m)])
+        over = agree - share * np.arange(n + 1) + 1e-9 * np.arange(n + 1)  # a stretch reaches the share where this doesn't fall
+        begin, end = 0, 0
+        ends = np.flatnonzero(m) + 1
+        if len(ends):
+            # for each end the first beginning that isn't above it
+            low = np.minimum.accumulate(np.where(m, over[:-1], np.inf))
+            at = np.minimum(np.searchsorted(-low, -over[ends], "left"), n - 1)
+            size = np.where(low[at] <= over[ends], ends - at, 0)
+            k = int(np.argmax(size))
+            begin, end = int(at[k]), int(ends[k])
+        if end - begin < least:
+            window = agree[least:] - agree[:-least]
+            begin = int(np.argmax(window))
+            end = begin + least
+            if over[end] < over[begin]:
+                continue
+        found.append((lo + begin, lo + end))
+        open_ += [(lo, lo + begin), (lo + end, hi)]
+    return found
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, block: int = 400_000, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, item_id, begin, end, tokens, agreeing: each document's passages of benchmark items.
 
     begin and end count the document's tokens (lower-cased words); a passage spans at least `least` tokens, or a whole item of
-    no fewer than 8, of which `share` agree. Of the overlapping passages of one pair the longest is given. A pair may
+    no fewer than 8, of which `share` agree, and is as long as that allows. Of the overlapping passages of one pair the longest is given. A pair may
     have several. Null or empty texts, on either side, and items of fewer than 8 tokens have none; repeated rows
     give repeated passages; rows of one item_id count as one item; a null doc_id or item_id is kept as a null.
     Other columns are ignored.
@@ -130,21 +143,16 @@ def passages(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: floa
                 doc = np.searchsorted(last, place, side="right")
                 ok = place + span <= last[doc] if len(place) else np.zeros(0, bool)
                 place, item, at, doc = place[ok], item[ok], at[ok], doc[ok]
-                # one hit for each diagonal of a pair at a time, in order of place
-                order = np.lexsort((place, place - at, item, doc))
-                key = None
-                done = -1
-                for p, i, j, d in zip(place[order].tolist(), item[order].tolist(), at[order].tolist(), doc[order].tolist(), strict=True):
-                    if key == (d, i, p - j) and p < done:
-                        continue  # lies within the last passage that this diagonal grew to
-                    key = (d, i, p - j)
+                # each diagonal of a pair once, along all that the two texts have of it
+                for d, i, shift in np.unique(np.stack([doc, item, place - at], axis=1), axis=0).tolist():
                     f = int(last[d] - count[d])
                     g = int(index.first[i])
                     x, y = names[f : last[d]], index.names[g : index.last[i]]
-                    begin, end, agree = grown(x, p - f, y, j - g, span, slack)
-                    done = max(f + end, p + 1)
-                    if end - begin >= min(least, max(span, len(y))) and agree >= share * (end - begin):
-                        out.append((d, i, begin, end, agree))
+                    shift += g - f
+                    lo, hi = max(0, shift), min(len(x), len(y) + shift)
+                    same = x[lo:hi] == y[lo - shift : hi - shift]
+                    for begin, end in stretches(same, min(least, max(span, len(y))), share):
+                        out.append((d, i, lo + begin, lo + end, int(same[begin:end].sum())))
                 best: dict[tuple[int, int], list] = {}
                 for d, i, begin, end, agree in sorted(out, key=lambda z: (z[0], z[1], z[2] - z[3], z[2])):
                     taken = best.setdefault((d, i), [])
