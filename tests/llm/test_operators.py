@@ -229,6 +229,36 @@ def test_op4_weights_and_mixtures():
         assert abs(bits - model.bits(data, first)[k]) < 1e-4
 
 
+def test_op4_dealt_out_like_one_tree(spark, monkeypatch):
+    """Parts and chunks of any size give what a tree in one place gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tomehall.llm import lm_score as L
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdeé日ж059.,", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(60)] + [None, "", "a", "zz日"]
+    for part_bytes, chunk in ((500, 30), (8_000_000, 100_000)):
+        monkeypatch.setattr(L, "PART_BYTES", part_bytes)
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r for r in L.score(df, df.where("doc_id % 3 <> 1")).collect()}
+        data, first = L.spelled(pa.array([t for k, t in enumerate(texts) if k % 3 != 1], pa.string()))
+        model = L.weigh(L.contexts(data, first), data, np.ones(len(data), np.int64))
+        for k, t in enumerate(texts):
+            data, first = L.spelled(pa.array([t], pa.string()))
+            bits = model.bits(data, first)
+            assert abs(got[k].score + bits.sum() * math.log10(2)) < 1e-6 and abs(got[k].code_length - bits.mean()) < 1e-6
+
+
+def test_op4_unseen_training(spark):
+    from tomehall.llm import lm_score as L
+
+    df = spark.createDataFrame([(1, "ab c"), (2, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.code_length) for r in L.score(df, df.where("false")).collect()} == {(1, 8.0), (2, 8.0)}
+
+
 # ---- op5
 
 

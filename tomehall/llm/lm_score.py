@@ -1,14 +1,17 @@
 """Context-tree weighting over bytes: code lengths from Krichevsky-Trofimov estimates mixed over all context depths.
 
 A byte is eight binary decisions, so a context has a node for each of the 255 beginnings of the next
-byte. Contexts are the bytes before: none, one, two ... up to the full depth, older bytes told apart by fewer
-classes. A node's weighted probability is half its own estimate plus half the product of its children's, from the
-deepest up; given the counts, this fixes how much each depth adds to every prediction. The tables' size is
-bounded by the classes, whatever the corpus, while their counts cover all of it.
+byte. Contexts are the bytes before, each told apart: none, one, two ... up to the full depth. A node's weighted
+probability is half its own estimate plus half the product of its children's, from the deepest up; given the counts,
+this fixes how much each depth adds to every prediction. Only nodes that were seen are kept, and those of CUT bytes
+and more lie in a stored table, dealt out by their last CUT bytes, which grows with the corpus. Texts are scored where
+their contexts lie: a slice sends each part the contexts that it needs, and the parts send back sums by row.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,31 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, by_text_rule, slices
+from .common import U64, Scratch, Words, by_text_rule, mix, slices
 
-#: Bits that tell the bytes before apart, from the last one on: at most 2^17 contexts of full depth.
-BITS = (5, 5, 5, 2)
+#: Bits that tell the bytes before apart, from the last one on; a context and the next byte fill 64.
+BITS = (8,) * 7
+#: Contexts of fewer bytes are broadcast, at most 2^16 of them; longer ones are dealt out.
+CUT = 3
+#: Bytes of text for each part that contexts are dealt to, the most parts, and counted pairs that are weighed at once.
+PART_BYTES, MOST_PARTS, CHUNK = 8_000_000, 1024, 100_000
 #: Ends a text; stands nowhere else in a text as it is read here.
 END = 10
 
 
-def classes(bits: int) -> np.ndarray:
-    """A class for each byte: letters apart as far as bits go, then kinds of byte."""
-    kinds = np.zeros(256, np.int64)  # the space, and control characters
-    if bits == 5:
-        kinds[97:123] = 1 + np.arange(26)
-        kinds[48:58] = 27
-        kinds[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 28
-        kinds[128:192] = 29
-        kinds[192:] = 30
-        kinds[END] = 31
-    else:
-        kinds[97:123] = 1
-        kinds[[97, 101, 105, 111, 117]] = 2
-        kinds[[*range(33, 65), *range(91, 97), *range(123, 127), *range(128, 256)]] = 3
-    return kinds
-
-
 def spelled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts as the model reads them, and where each begins: words in lower case with a space between, then an end."""
     read = [b" ".join(t.split()).lower() + b"\n" if t else b"\n" for t in texts.cast(pa.binary()).to_pylist()]
@@ -52,13 +42,12 @@ def contexts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each byte its full context; before a text's first byte stand ends."""
     code = np.zeros(len(data), np.int64)
     for k, bits in enumerate(BITS):
-        kind = classes(bits)
-        before = np.full(len(data), kind[END])
-        before[k + 1 :] = kind[data[: max(0, len(data) - k - 1)]]
+        before = np.full(len(data), END)
+        before[k + 1 :] = data[: max(0, len(data) - k - 1)]
         for j in range(1, k + 1):
             at = first + j
-            before[at[at < len(data)]] = kind[END]
-        before[first] = kind[END]
+            before[at[at < len(data)]] = END  # of a shorter text, the next one's first bytes: ends come before them too
+        before[first] = END
         code = code << bits | before
     return code
 
@@ -74,121 +63,284 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
-def nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at the 255 beginnings of a byte (root first), from counts of whole bytes, by row."""
-    zero, one = [], []
-    for level in range(8):
-        parts = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
-        zero.append(parts[:, :, 0])
-        one.append(parts[:, :, 1])
-    return np.concatenate(zero, axis=1).astype(np.float64), np.concatenate(one, axis=1).astype(np.float64)
-
-
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - 2 * log_gamma(np.array(0.5))
 
 
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[new], np.add.reduceat(times, new) if len(new) else times
+
+
+#: For a depth and a level (bits of the next byte): the nodes' keys in order, their weighted probabilities' logarithms, their own predictions of a one, and the own estimate's share.
+Nodes = dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def grow(pairs: np.ndarray, times: np.ndarray, deep: int, shallow: int, below: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> Nodes:
+    """The nodes of depths `deep` to `shallow`, of counted pairs (context of `deep` bytes, next byte); below: keys and weights one depth deeper, by level."""
+    out: Nodes = {}
+    for d in range(deep, shallow - 1, -1):
+        if d < deep:
+            pairs, times = summed(pairs >> U64(16) << U64(8) | pairs & U64(255), times)
+            below = {level: out[d + 1, level][:2] for level in range(8)}
+        for level in range(8):
+            key = pairs >> U64(8 - level)
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+            one = np.where(pairs >> U64(7 - level) & U64(1), times, 0)
+            keys = key[new]
+            a, b = (np.add.reduceat(x, new).astype(np.float64) if len(new) else np.empty(0) for x in (times - one, one))
+            own = estimate(a, b)
+            weighted, share = own, np.ones(len(own))
+            if below is not None:
+                k, w = below[level]
+                low = U64((1 << level) - 1)
+                children = np.bincount(np.searchsorted(keys, k >> U64(level + 8) << U64(level) | k & low), w, len(keys))
+                weighted = np.logaddexp(own, children) - np.log(2)
+                share = np.exp(own - np.log(2) - weighted)
+            out[d, level] = (keys, weighted, (b + 0.5) / (a + b + 1), share)
+    return out
+
+
+def cost(codes: np.ndarray, nodes: Nodes) -> np.ndarray:
+    """Code length in bits of each (full context, next byte): predictions from the deepest depth up, unseen ones left out."""
+    depth = len(BITS)
+    total = np.zeros(len(codes))
+    for level in range(8):
+        p = np.full(len(codes), np.nan)
+        for d in range(depth, -1, -1):
+            keys, _, own, share = nodes.get((d, level), (np.empty(0, U64),) * 4)
+            if not len(keys):
+                continue
+            byte = codes & U64(255)
+            context = codes >> U64(8) >> U64(8 * (depth - d)) if d else np.zeros(len(codes), U64)
+            want = context << U64(level) | byte >> U64(8 - level)
+            k = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            p = np.where(keys[k] == want, np.where(np.isnan(p), own[k], share[k] * own[k] + (1 - share[k]) * p), p)
+        p = np.where(np.isnan(p), 0.5, p)
+        total -= np.log2(np.where(codes >> U64(7 - level) & U64(1), p, 1 - p))
+    return total
+
+
+def full(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(full context, next byte) at each byte."""
+    return contexts(data, first).view(U64) << U64(8) | data.astype(U64)
+
+
 @dataclass
 class Model:
-    """row: for each full context its row of cost; cost: code length in bits of each next byte."""
+    """A whole tree in one place."""
 
-    row: np.ndarray
-    cost: np.ndarray
+    contexts: np.ndarray
+    nodes: Nodes
+
+    @property
+    def cost(self) -> np.ndarray:
+        """For each full context that was seen the code lengths of all bytes."""
+        every = self.contexts[:, None].astype(U64) << U64(8) | np.arange(256, dtype=U64)
+        return cost(every.ravel(), self.nodes).reshape(every.shape)
 
     def bits(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.cost[self.row[contexts(data, first)], data].astype(np.float64)
+        return cost(full(data, first), self.nodes)
 
 
 def weigh(code: np.ndarray, byte: np.ndarray, times: np.ndarray) -> Model:
-    """The model of counted (full context, next byte) pairs."""
-    depth = len(BITS)
-    drop = [sum(BITS[d:]) for d in range(depth + 1)]  # bits of a context that depth d doesn't see
-    names = [np.unique(code >> drop[d]) for d in range(depth + 1)]
-    names[0] = np.zeros(1, np.int64)
-    table = []
-    for d in range(depth + 1):
-        counts = np.zeros((len(names[d]), 256), np.float32 if d == depth else np.float64)
-        np.add.at(counts, (np.searchsorted(names[d], code >> drop[d]), byte), times)
-        table.append(counts)
-    below = None
-    share: list = [None] * (depth + 1)  # of a node's weighted probability, what its own estimate gives
-    for d in range(depth, -1, -1):
-        own = np.empty((len(names[d]), 255))
-        for k in range(0, len(own), 4096):
-            own[k : k + 4096] = estimate(*nodes(table[d][k : k + 4096]))
-        if d == depth:
-            weighted = own
-        else:
-            parent = np.searchsorted(names[d], names[d + 1] >> BITS[d])
-            children = np.add.reduceat(below, np.searchsorted(parent, np.arange(len(names[d]))), axis=0)
-            weighted = np.logaddexp(own, children) - np.log(2)
-            share[d] = np.exp(own - np.log(2) - weighted).astype(np.float32)
-        below = weighted
-    return finish(names, table, share)
-
-
-def finish(names: list, table: list, share: list) -> Model:
-    """Predictions from the deepest depth up, then code lengths of whole bytes."""
-    depth = len(BITS)
-    total = 1 << sum(BITS)
-    # each full context's deepest seen depth, and its row there
-    row_at = [np.full(1 << sum(BITS[:d]), -1, np.int64) for d in range(depth + 1)]
-    for d in range(depth + 1):
-        row_at[d][names[d]] = np.arange(len(names[d]))
-    # a row of costs for each context that was seen at some depth: deeper ones that weren't share it
-    offset, pieces = np.cumsum([0] + [len(n) for n in names]), []
-    for d, own in enumerate(names):
-        for k in range(0, len(own), 2048):
-            at = own[k : k + 2048]
-            predicted = None
-            for e in range(d, -1, -1):
-                i = row_at[e][at >> sum(BITS[e:d])]
-                a, b = nodes(table[e][i])
-                kt = (b + 0.5) / (a + b + 1)
-                if predicted is None:
-                    predicted = np.where(a + b > 0, kt, np.nan)
-                else:
-                    deeper = np.where(np.isnan(predicted), kt, predicted)  # unseen below: this depth alone
-                    predicted = np.where(a + b > 0, share[e][i] * kt + (1 - share[e][i]) * deeper, np.nan)
-            predicted = np.where(np.isnan(predicted), 0.5, predicted)
-            cost = np.zeros((len(at), 256))
-            for level in range(8):
-                p = predicted[:, (1 << level) - 1 : (2 << level) - 1]
-                both = np.stack([1 - p, p], axis=2).reshape(len(at), -1)
-                cost -= np.repeat(np.log2(both), 256 >> (level + 1), axis=1)
-            pieces.append(cost.astype(np.float32))
-    row = np.zeros(total, np.int32)
-    full = np.arange(total)
-    for d in range(depth + 1):
-        found = row_at[d][full >> sum(BITS[d:])]
-        row = np.where(found >= 0, offset[d] + found, row).astype(np.int32)
-    return Model(row, np.concatenate(pieces))
-
-
-def counted(docs: DataFrame) -> DataFrame:
-    """code, times: each (full context, next byte) of all texts, counted by task in a table of bounded size, then over all."""
+    """The model of counted (full context, next byte) pairs, as the parts and the broadcast depths make it up."""
+    pairs, times = summed(code.astype(U64) << U64(8) | byte.astype(U64), times)
+    deep = grow(pairs, times, len(BITS), CUT)
+    return Model(np.unique(code), deep | upper([edge(pairs, times, deep)]))
+
+
+def edge(pairs: np.ndarray, times: np.ndarray, deep: Nodes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What the depths above CUT need of those below: counted pairs, and weights by level."""
+    drop = U64(8 * (len(BITS) - CUT))
+    return *summed(pairs >> U64(8) >> drop << U64(8) | pairs & U64(255), times), [deep[CUT, level][1] for level in range(8)]
+
+
+def upper(edges: list) -> Nodes:
+    """The nodes of less than CUT bytes; no context of CUT bytes is in two edges."""
+    if not edges:
+        return {}
+    below = {}
+    for level in range(8):
+        keys = np.concatenate([np.unique(e[0] >> U64(8 - level)) for e in edges])
+        below[level] = keys, np.concatenate([e[2][level] for e in edges])
+    pairs = np.concatenate([e[0] for e in edges])
+    pairs, times = summed(pairs >> U64(16) << U64(8) | pairs & U64(255), np.concatenate([e[1] for e in edges]))
+    return grow(pairs, times, CUT - 1, 0, below)
+
+
+def part_of(pairs: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair, by its context's last CUT bytes."""
+    return (mix((pairs >> U64(64 - 8 * CUT)) + U64(1)) % U64(parts)).astype(np.int64)
+
+
+def packed(*columns: np.ndarray) -> list[bytes]:
+    return [zlib.compress(np.ascontiguousarray(c).tobytes(), 1) for c in columns]
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), kind)
+
+
+PACKED = "slice long, part long, tag long, a binary, b binary, c binary"
+
+
+def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["slice", "part", "tag", "a", "b", "c"])
+
+
+def learn(training: DataFrame, parts: int) -> DataFrame:
+    """The context table of all rows of training(text), null texts as empty ones: a row for each chunk of a part with its counted pairs (a, b) and its edge (c)."""
+
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            pairs, times = (np.concatenate(c) for c in zip(*held, strict=True))
+            pairs, times = summed(pairs, times)
+            held[:] = [(pairs, times)]
+
+        def send():
+            out()
+            pairs, times = held.pop()
+            to = part_of(pairs, parts)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                at = order[cut[k] : cut[k + 1]]
+                yield packed_rows([(0, k, 0, *packed(pairs[at], times[at]), None)])
 
-    def run(batches):
-        total = np.zeros(1 << (sum(BITS) + 8), np.int32)
         for b in slices(batches):
-            data, first = spelled(b.column("text"))
-            np.add.at(total, contexts(data, first) << 8 | data, 1)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000], pa.int64()), pa.array(total[at[k : k + 100_000]], pa.int64())], names=["code", "times"])
+            pairs = np.sort(full(*spelled(b.column("text"))))
+            held.append(summed(pairs, np.ones(len(pairs), np.int64)))
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                out()
+                if len(held[0][0]) > 1_000_000:
+                    yield from send()
+        if held:
+            yield from send()
+
+    def merge(batches):
+        part, held = None, []
+
+        def out():
+            pairs, times = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            context = pairs >> U64(64 - 8 * CUT)
+            begin = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            cut = np.append(begin[np.flatnonzero(np.diff(begin // CHUNK, prepend=-1))], len(pairs)).tolist()
+            for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                p, t = pairs[x:y], times[x:y]
+                yield packed_rows([(k, part, 1, *packed(p, t), pickle.dumps(edge(p, t, grow(p, t, len(BITS), CUT))))])
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["part"] != part and held:
+                    yield from out()
+                    held.clear()
+                part = r["part"]
+                held.append((unpacked(r["a"], U64), unpacked(r["b"], np.int64)))
+        if held:
+            yield from out()
+
+    return training.select("text").mapInArrow(count, PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(merge, PACKED)
+
+
+def asked(data: np.ndarray, first: np.ndarray, number: int, parts: int) -> pa.RecordBatch:
+    """A row for each part that holds contexts of the slice: distinct pairs, how often each stands, and in which rows."""
+    pairs = full(data, first)
+    own = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.append(first, len(data))))
+    order = np.argsort(pairs, kind="stable")
+    pairs, own = pairs[order], own[order]
+    new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    n = np.diff(np.append(new, len(pairs)))
+    to = part_of(pairs[new], parts)
+    by = np.argsort(to, kind="stable")
+    each = np.argsort(np.repeat(to, n), kind="stable")
+    cut, cut_each = np.searchsorted(to[by], np.arange(parts + 1)), np.append(0, np.cumsum(np.bincount(to, n, parts))).astype(np.int64)
+    rows = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        at = by[cut[k] : cut[k + 1]]
+        rows.append((number, k, 0, *packed(pairs[new][at], n[at].astype(np.int32), own[each[cut_each[k] : cut_each[k + 1]]])))
+    return packed_rows(rows)
 
-    return docs.select("text").mapInArrow(run, "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
 
+def answered(shallow: Nodes):
+    """A function over one part's rows after another's, questions before its chunks: sums of code lengths by slice and row. Rows of tag -1 pass."""
 
-def learn(docs: DataFrame) -> Model | None:
-    """The model of all rows of docs(text), null texts as empty ones; null without rows. It holds at most 2^25 counts, whatever the corpus."""
-    got = counted(docs).toArrow()
-    if not got.num_rows:
-        return None
-    code, times = (np.asarray(got.column(c)).astype(np.int64) for c in ("code", "times"))
-    order = np.argsort(code)
-    return weigh(code[order] >> 8, code[order] & 255, times[order].astype(np.float64))
+    def run(batches):
+        part, questions = None, []
+        pairs = bits = None
+
+        def ready():
+            nonlocal pairs, bits
+            if pairs is None:
+                pairs = np.unique(np.concatenate([q[1] for q in questions]))
+                bits = np.full(len(pairs), np.nan)
+
+        def out():
+            nonlocal pairs, bits
+            if questions:
+                ready()
+                left = np.flatnonzero(np.isnan(bits))  # after bytes that no text of training has
+                bits[left] = cost(pairs[left], shallow)
+                for number, p, n, rows in questions:
+                    sums = np.bincount(rows, np.repeat(bits[np.searchsorted(pairs, p)], n))
+                    at = np.flatnonzero(sums)
+                    yield packed_rows([(number, part, 0, *packed(at.astype(np.uint32), sums[at]), None)])
+            questions.clear()
+            pairs = bits = None
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["part"] != part:
+                    yield from out()
+                part = r["part"]
+                if r["tag"] < 0:
+                    yield packed_rows([tuple(r.values())])
+                elif r["tag"] == 0:
+                    questions.append((r["slice"], unpacked(r["a"], U64), unpacked(r["b"], np.int32), unpacked(r["c"], np.uint32)))
+                elif questions:
+                    ready()
+                    p, t = unpacked(r["a"], U64), unpacked(r["b"], np.int64)
+                    drop = U64(64 - 8 * CUT)
+                    x, y = np.searchsorted(pairs >> drop, p[0] >> drop, "left"), np.searchsorted(pairs >> drop, p[-1] >> drop, "right")
+                    bits[x:y] = cost(pairs[x:y], grow(p, t, len(BITS), CUT) | shallow)
+        yield from out()
+
+    return run
+
+
+def gathered(batches):
+    """Each slice's rows, first of tag -1, with the sums of all parts."""
+    number, head, sums = None, None, None
+
+    def out():
+        k = head.schema.get_field_index("score")
+        whole = np.flatnonzero(np.asarray(head.column("word").is_null()))
+        size = np.asarray(head.column("code_length"))[whole]
+        score, length = np.full(head.num_rows, np.nan), np.full(head.num_rows, np.nan)
+        score[whole], length[whole] = -sums * np.log10(2), sums / size
+        columns = list(head.columns)
+        columns[k], columns[k + 1] = (pa.array(c, mask=np.isnan(c)) for c in (score, length))
+        return pa.RecordBatch.from_arrays(columns, names=head.schema.names)
+
+    for b in batches:
+        for r in b.to_pylist():
+            if r["slice"] != number:
+                if number is not None:
+                    yield out()
+                number = r["slice"]
+                head = pa.ipc.open_stream(r["a"]).read_next_batch()
+                sums = np.zeros(int(np.asarray(head.column("word").is_null()).sum()))
+            else:
+                sums[unpacked(r["a"], np.uint32)] += unpacked(r["b"], np.float64)
+    if number is not None:
+        yield out()
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -231,15 +383,18 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = 1 << 19) -> Data
     top = known.orderBy(F.desc("times"), "word").limit(frequent).toArrow()
     order = np.argsort(np.asarray(top.column("word")).view(U64)) if top.num_rows else np.empty(0, np.int64)
     near = spark.sparkContext.broadcast((np.asarray(top.column("word")).view(U64)[order], np.asarray(top.column("times"))[order]))
-    shared = spark.sparkContext.broadcast(learn(training))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_PARTS, max(8, -(-int(size) // PART_BYTES)))
+    table = scratch.keep(learn(training, parts), "contexts")
+    shallow = upper([pickle.loads(r["c"]) for r in table.select("c").toLocalIterator()])
     end_log, end_known, whole = float(np.log10(ends + 1)), int(ends > 0), kinds <= frequent
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, (names, times) = shared.value, near.value
+        names, times = near.value
         row = TaskContext.get().partitionId() << 40
-        for b in slices(batches):
+        for b in slices(batches, 2_000_000):
             w = Words(b.column("text"), lower=True)
             own = np.repeat(np.arange(b.num_rows), w.count)
             if len(names):
@@ -251,13 +406,14 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = 1 << 19) -> Data
             log = np.bincount(own, np.log10(found + 1.0), b.num_rows) + end_log
             n_known = np.bincount(own[hit], minlength=b.num_rows) + end_known
             data, first = spelled(b.column("text"))
-            bits = np.add.reduceat(model.bits(data, first), first) if model else 8.0 * np.diff(np.append(first, len(data)))
+            size = np.diff(np.append(first, len(data))).astype(np.float64)  # stands in for both scores until the parts have answered
+            number = row
             rid = row + np.arange(b.num_rows)
             row += b.num_rows
             none = pa.nulls(b.num_rows, pa.int64())
-            columns = [b.column("doc_id"), pa.array(rid), none, pa.array(w.count + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log), pa.array(-bits * np.log10(2)), pa.array(bits / np.diff(np.append(first, len(data))))]
+            columns = [b.column("doc_id"), pa.array(rid), none, pa.array(w.count + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log), pa.array(size), pa.array(size)]
             head = ["doc_id", "rid", "word", "n", "known", "log", "score", "code_length"]
-            yield pa.RecordBatch.from_arrays(columns, names=head)
+            made = [pa.RecordBatch.from_arrays(columns, names=head)]
             if not whole and not hit.all():  # words beyond the table, once a row
                 at = np.flatnonzero(~hit)
                 key = np.lexsort((w.names[at], own[at]))
@@ -266,10 +422,18 @@ def score(docs: DataFrame, training: DataFrame, frequent: int = 1 << 19) -> Data
                 n = np.diff(np.append(new, len(at)))
                 at = at[new]
                 no = pa.nulls(len(at), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), b.column("doc_id").type), pa.array(rid[own[at]]), pa.array(w.names[at].view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(at), pa.int64()), no, no, no], names=head)
+                made.append(pa.RecordBatch.from_arrays([pa.nulls(len(at), b.column("doc_id").type), pa.array(rid[own[at]]), pa.array(w.names[at].view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(at), pa.int64()), no, no, no], names=head))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, made[0].schema) as stream:
+                stream.write_table(pa.Table.from_batches(made).combine_chunks())
+            yield packed_rows([(number, number % parts, -1, sink.getvalue().to_pybytes(), None, None)])
+            yield asked(data, first, number, parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = scratch.keep(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rid long, word long, n long, known long, log double, score double, code_length double"), "scored")
+    sent = docs.select("doc_id", "text").mapInArrow(run, PACKED).unionByName(table.withColumn("c", F.lit(None).cast("binary")))
+    sums = sent.repartition("part").sortWithinPartitions("part", "tag").mapInArrow(answered(shallow), PACKED)
+    made = sums.repartition("slice").sortWithinPartitions("slice", "tag").mapInArrow(gathered, f"doc_id {kind}, rid long, word long, n long, known long, log double, score double, code_length double")
+    made = scratch.keep(made, "scored")
     rare = made.where("word is not null").select("rid", "word", "n").join(known, "word")
     rare = rare.groupBy("rid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("times") + 1.0)).alias("more_log"))
     out = made.where("word is null").join(rare, "rid", "left")
