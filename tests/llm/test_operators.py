@@ -230,7 +230,7 @@ def test_op4_weights_and_mixtures():
 
 
 def test_op4_dealt_out_like_one_tree(spark, monkeypatch):
-    """Parts and chunks of any size give what a tree in one place gives."""
+    """Parts and chunks of any size give what a tree in one place gives; contexts are told apart by every byte and grow with the texts."""
     import numpy as np
     import pyarrow as pa
 
@@ -250,6 +250,8 @@ def test_op4_dealt_out_like_one_tree(spark, monkeypatch):
             data, first = L.spelled(pa.array([t], pa.string()))
             bits = model.bits(data, first)
             assert abs(got[k].score + bits.sum() * math.log10(2)) < 1e-6 and abs(got[k].code_length - bits.mean()) < 1e-6
+    ends = [L.contexts(*L.spelled(pa.array([t], pa.string())))[-1] for t in ("1", "2", ".", ",", "é", "è", "日", "本", "1234567", "2234567")]
+    assert len(set(ends)) == len(ends)
 
 
 def test_op4_unseen_training(spark):
