@@ -147,6 +147,16 @@ def test_op3(spark, hard, empty):
     assert {r.lang_pred for r in language_id.identify(hard.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_op3_sample(spark, monkeypatch):
+    from tomehall.llm import language_id
+
+    seen = []
+    monkeypatch.setattr(language_id, "follow_leader", lambda model, rows, classes: seen.append((len(model.languages), len(rows))))
+    df = spark.range(3500).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    language_id.train(df)
+    assert seen == [(2, 2400)]
+
+
 # ---- op4
 
 

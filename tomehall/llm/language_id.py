@@ -104,11 +104,12 @@ def temperature(model: Model, scores: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, sample: int = 1600, least: int = 60) -> Model | None:
+def train(docs: DataFrame, sample: int = 3000, least: int = 60) -> Model | None:
     """A model of docs(doc_id, text, lang), null without a labelled text.
 
     `sample` bounds the rows that weights are fitted to: those of the smallest hashes of doc_id, so many of each
-    language; document frequencies count every labelled row."""
+    language, `least` at least even if that exceeds `sample`; document frequencies count every labelled row. Only the
+    256 most frequent labels are learnt and predicted."""
     spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
