@@ -36,14 +36,15 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes the table and reads it back; frees the shuffle files that it needed."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes the table, in a folder for each value of `by`, and reads it back; frees the shuffle files that it needed."""
         path = f"{self.root}/{name}"
         before = {k: self.spark.conf.get(k, None) for k in WRITING}
         for k, v in WRITING.items():
             self.spark.conf.set(k, v)
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            out = df.write.option("compression", "zstd")
+            (out.partitionBy(by) if by else out).parquet(path)
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
