@@ -92,7 +92,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and their sums."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, times = keys[order], times[order]
     new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[new], np.add.reduceat(times, new) if len(new) else times
@@ -279,8 +279,11 @@ def part_of(pairs: np.ndarray, parts: int) -> np.ndarray:
 
 
 def by_part(pairs: np.ndarray, parts: int):
-    """part, places of its pairs in order, for each part that has some."""
-    to = part_of(pairs, parts).astype(np.int16 if parts <= 32_000 else np.int64)
+    """part, places of its pairs, for each part that has some; pairs are in order."""
+    context = pairs >> U64(64 - 8 * CUT)
+    new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    to = np.repeat(part_of(pairs[new], parts).astype(np.int16 if parts <= 32_000 else np.int64), np.diff(np.append(new, len(pairs))))
+    del context, new
     order = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -338,7 +341,7 @@ class Counted:
     def put(self, pairs: np.ndarray, times: np.ndarray) -> None:
         self.held.append((pairs, times))
         self.size += len(pairs)
-        if self.size > 2_000_000 and self.size > 2 * len(self.held[0][0]):
+        if self.size > max(2_000_000, len(self.held[0][0]) * 3 // 2):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -416,13 +419,14 @@ def gathered(parts: int):
     """A function over one sheet's rows after another's, texts before answers: the sheet's rows with their code lengths."""
 
     def run(batches):
-        number, heads, counted, answers = None, [], Counted(), {}
+        number, heads, found, answers = None, [], [], {}
 
         def out():
-            pairs, _ = counted.merge()
-            bits = np.zeros(len(pairs))
+            pairs = distinct(np.concatenate(found))
+            found.clear()
+            bits = np.zeros(len(pairs), np.float32)
             for k, at in by_part(pairs, parts):
-                bits[at] = answers[k]
+                bits[at] = answers.pop(k)
             for blob, data in heads:
                 head = pa.ipc.open_stream(blob).read_next_batch()
                 whole = np.flatnonzero(np.asarray(head.column("word").is_null()))
@@ -444,13 +448,13 @@ def gathered(parts: int):
                 if r["sheet"] != number:
                     if heads:
                         yield from out()
-                    number, heads, answers = r["sheet"], [], {}
-                    counted.clear()
+                    number, heads, found, answers = r["sheet"], [], [], {}
                 if r["kind"] == HEAD:
                     heads.append((r["a"], r["b"]))
                     size = pa.ipc.open_stream(r["a"]).read_next_batch().column("size")
-                    every = distinct(full(released(r["b"], np.uint8), begins(np.asarray(size.drop_null()))))
-                    counted.put(every, np.zeros(len(every), np.int64))
+                    found.append(distinct(full(released(r["b"], np.uint8), begins(np.asarray(size.drop_null())))))
+                    if sum(map(len, found)) > max(2_000_000, len(found[0]) * 3 // 2):
+                        found[:] = [distinct(np.concatenate(found))]
                 else:
                     answers[r["part"]] = released(r["a"], np.float32)
         if heads:
