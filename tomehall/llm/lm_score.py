@@ -334,7 +334,7 @@ class Counted:
         every = distinct(pairs)
         some = np.sort(pairs[learnt]) if not learnt.all() else np.sort(pairs)
         new = np.flatnonzero(np.append(True, some[1:] != some[:-1])) if len(some) else np.empty(0, np.int64)
-        times = np.zeros(len(every), np.int64)
+        times = np.zeros(len(every), np.int32)  # of one sheet
         times[np.searchsorted(every, some[new])] = np.diff(np.append(new, len(some)))
         self.put(every, times)
 
@@ -345,9 +345,13 @@ class Counted:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        got = summed(*(np.concatenate(c) for c in zip(*self.held, strict=True))) if len(self.held) > 1 else self.held[0]
-        self.held, self.size = [got], len(got[0])
-        return got
+        if len(self.held) > 1:
+            pairs = distinct(np.concatenate([p for p, _ in self.held]))
+            times = np.zeros(len(pairs), self.held[0][1].dtype)
+            for p, n in self.held:
+                times[np.searchsorted(pairs, p)] += n
+            self.held, self.size = [(pairs, times)], len(pairs)
+        return self.held[0]
 
 
 def merged(batches):
@@ -366,7 +370,7 @@ def merged(batches):
                 yield from out()
                 counted.clear()
             part = r["part"]
-            counted.put(released_keys(r["a"]), released(r["b"], np.int64))
+            counted.put(released_keys(r["a"]), released(r["b"], np.int32).astype(np.int64))
     if counted.held:
         yield from out()
 
