@@ -422,19 +422,33 @@ def test_op8(spark, sf, hard, empty, library):
     assert count_tokens(empty, path).count() == 0
 
 
-def test_pieces_give_the_librarys_tokens(library):
+def test_pre_tokens_give_the_librarys_tokens(library):
     import public_tokenizers
 
-    from tomehall.llm.pretokens import Pieces
+    from tomehall.llm.pretokens import PreTokens
 
-    p = Pieces(public_tokenizers.path("byte_bpe_50k.json"), room=50)
+    p = PreTokens(public_tokenizers.path("byte_bpe_50k.json"), room=50)
     rng = random.Random(1)
-    bits = [" ", "  ", "\n", "\t", "a", "b'", "'s", "1", ".", "é", "<|endoftext|>", "\x1c", " b", "日本", "　"]
+    bits = [" ", "  ", "\n", "\t", "a", "b'", "'s", "1", ".", "é", "<|endoftext|>", "\x1c", " b", "日本", "　", "foo,\nbar", "\u0558", "\U0001F600", "\U00010940"]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(4000)] + ["x" * 20000, " " * 5000]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert p.count(t) == len(e.ids) and p.encoder.ids(t) == e.ids
-    other = Pieces(public_tokenizers.path("word_bpe_49k.json")).encoder
-    assert other.ranks is None and other.ids("some text")
+    assert p.split("foo,\nbar 日本") == ["foo", ",", "\n", "bar", " 日本"]
+    other = PreTokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.encoder.ranks is None and other.encoder.ids("some text") and other.count("some text") == len(other.encoder.ids("some text"))
+
+
+def test_pre_tokens_of_every_character(library):
+    """All characters of 16 bits, and some beyond, next to letters, digits, marks and space."""
+    import public_tokenizers
+
+    from tomehall.llm.pretokens import PreTokens
+
+    p = PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x1EFFF, 97), *range(0x1F000, 0x1FB00)]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}! {chr(c)} {chr(c)}{chr(c)}" for c in some]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [p.count(t) for t in texts] == list(map(len, want)) and [p.encoder.ids(t) for t in texts] == want
 
 
 # ---- op7

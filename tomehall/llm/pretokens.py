@@ -1,29 +1,28 @@
-"""Byte-level BPE: whole texts, or pieces between spaces that are each encoded once per worker.
+"""Byte-level BPE: whole texts, or pre-tokens that are each encoded once per worker.
 
 The library's file gives vocabulary and merges. Where every merge's result has the next id, merging by
 lowest id is the same as merging by the file's order, and the compiled rank encoder gives the library's
 ids; texts with a special string, and files of another kind, go to the library itself.
 
-The pattern that splits texts before merges never lets a token run from a character that isn't white
-space into white space, and puts one space before the token that follows it. So a text may be cut before
-a space whenever the character to its left isn't white space or the one to its right isn't: the parts
-give the same tokens.
+Merges never cross the pre-tokens that a pattern cuts a text into, so a text has as many tokens as its
+pre-tokens together, and each distinct one is encoded once.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import public_tokenizers
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A space that may not be cut before.
-TIED = re.compile(r"\s (?=\s|\Z)")
-#: Pieces longer than this are encoded each time, not kept.
+PATTERN = regex.compile(public_tokenizers.PATTERN)
+# Code points that are letters or numbers to the pattern's engine and not to the library's, or the other way round, as their tables are of different years; all rare ones beyond 16 bits count with them.
+DISPUTED = regex.compile("[\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C\uAB6D\U00010000-\U0001EFFF\U0001FB00-\U0010FFFF]")
+#: Longer pre-tokens are encoded each time, not kept.
 LONGEST = 64
 
 
@@ -81,34 +80,38 @@ class Encoder:
         return np.asarray(self.ids(text), "<u4").tobytes()
 
 
-class Pieces:
-    """Numbers of tokens by pieces from a table, else from the encoder; what that gave is kept, up to `room` pieces."""
+class PreTokens:
+    """Numbers of tokens by pre-tokens, from a table, else from the encoder; what that gave is kept, up to `room` of them."""
 
     def __init__(self, path: str, known: dict[str, int] | None = None, room: int = 400_000):
         self.encoder = Encoder(path)
         self.known, self.room = known or {}, room
         self.held = dict(self.known)
-        self.asked = 0
+
+    def split(self, text: str) -> list[str] | None:
+        """The text's pre-tokens, None where only the library can tell them."""
+        if self.encoder.ranks is None or not self.encoder.plain(text) or not text.isascii() and DISPUTED.search(text):
+            return None
+        return PATTERN.findall(text)
 
     def encode(self, text: str) -> int:
-        self.asked += 1
         return len(self.encoder.ids(text))
 
     def count(self, text: str) -> int:
-        if TIED.search(text) or not self.encoder.plain(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        values = list(map(self.held.get, rest))
+        parts = self.split(text)
+        if parts is None:
+            return len(self.encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+        values = list(map(self.held.get, parts))
         if None in values:
             for k, v in enumerate(values):
                 if v is None:
-                    p = rest[k]
+                    p = parts[k]
                     v = self.held.get(p)
                     if v is None:
-                        v = self.encode(" " + p)
+                        v = self.encode(p)
                         if len(p) <= LONGEST:
                             if len(self.held) >= self.room:
                                 self.held = dict(self.known)
                             self.held[p] = v
                     values[k] = v
-        return self.encode(first) + sum(values)
+        return sum(values)
