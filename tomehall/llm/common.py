@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,6 +183,16 @@ def grams(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     return out[: len(h) - n + 1]
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, first bytes first, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def released(blob: bytes, kind) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def by_text_rule(mod: int, column: str = "doc_id"):
     """crc32 of the id's decimal text, modulo `mod`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)

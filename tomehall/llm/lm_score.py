@@ -17,11 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, by_text_rule, mix, slices
+from .common import U64, Scratch, Words, by_text_rule, mix, released, slices, squeezed
 
 #: Bits that tell the bytes before apart, from the last one on; a context and the next byte fill 64.
 BITS = (8,) * 7
@@ -290,17 +289,6 @@ def by_part(pairs: np.ndarray, parts: int):
         yield k, order[cut[k] : cut[k + 1]]
 
 
-def squeezed(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, first bytes first, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
-
-
-def released(blob: bytes, kind) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def squeezed_keys(x: np.ndarray) -> bytes:
     """Increasing keys, by their steps."""
     return squeezed(np.diff(x, prepend=U64(0)))
