@@ -157,6 +157,57 @@ def test_op3_sample(spark, monkeypatch):
     assert seen == [(2, 2400)]
 
 
+def test_op3_every_language_is_learnt(spark):
+    """300 languages of ten rows, one of two equal rows, rows without a language, one id for all rows of a language."""
+    from tomehall.llm import language_id
+
+    rows = [(k * 10 + j, f"w{k}x w{k}y {k}z" + f" q{j}" * j, f"l{k:03}") for k in range(300) for j in range(10)]
+    rows += [(9000, "ÿÿÿ þþþ", "rare"), (9000, "ÿÿÿ þþþ", "rare"), (9001, "w1x", None), (None, "w2x", "l002")] + [(7, f"ßßß {j}", "same") for j in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(docs, sample=900, least=6)
+    assert len(model.languages) == 302 and {"rare", "same"} <= set(model.languages)
+    got = {r.text: r.lang_pred for r in language_id.predict(docs, model).withColumnRenamed("doc_id", "i").join(docs.withColumnRenamed("doc_id", "i").select("i", "text"), "i").where("i >= 9000").collect()}
+    assert got["ÿÿÿ þþþ"] == "rare"
+
+
+def test_op3_steps(spark):
+    """Weights against a plain loop over coordinates and languages."""
+    import numpy as np
+
+    from tomehall.llm import language_id as L
+
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(L.BUCKETS, 6, replace=False) % 40 + 40 * np.arange(6)), rng.integers(1, 4, 6)) for _ in range(30)]
+    classes = rng.integers(0, 3, 30)
+    model = L.Model(["a", "b", "c"], np.zeros((L.BUCKETS, 3), np.float32), np.zeros(3), np.ones(L.BUCKETS))
+    L.follow_leader(model, rows, classes, epochs=3, alpha=0.4, l1=0.03, l2=0.05, seed=2)
+    z, n, bias = defaultdict(float), defaultdict(float), L.BUCKETS
+
+    def w(i, k):
+        if abs(z[i, k]) <= 0.03:
+            return 0.0
+        return -(z[i, k] - math.copysign(0.03, z[i, k])) / ((1 + math.sqrt(n[i, k])) / 0.4 + 0.05)
+
+    order = np.random.default_rng(2)
+    for _ in range(3):
+        for r in order.permutation(30):
+            at, c = rows[r]
+            v = np.log1p(c)
+            x = dict(zip(at.tolist(), (v / np.linalg.norm(v)).tolist(), strict=True)) | {bias: 1.0}
+            old = {(i, k): w(i, k) for i in x for k in range(3)}
+            s = [sum(x[i] * old[i, k] for i in x) for k in range(3)]
+            e = [math.exp(y) for y in s]
+            for k in range(3):
+                g = e[k] / sum(e) - (classes[r] == k)
+                for i in x:
+                    new = n[i, k] + (g * x[i]) ** 2
+                    z[i, k] += g * x[i] - (math.sqrt(new) - math.sqrt(n[i, k])) / 0.4 * old[i, k]
+                    n[i, k] = new
+    for i in {i for i, _ in z} - {bias}:
+        assert np.allclose(model.weight[i], [w(i, k) for k in range(3)], atol=1e-4)
+    assert np.allclose(model.bias, [w(bias, k) for k in range(3)], atol=1e-4)
+
+
 # ---- op4
 
 
@@ -534,6 +585,64 @@ def test_op9(spark, hard, empty):
     assert {r.score for r in quality.rate(hard, labels.where("false")).collect()} == {0.5}
 
 
+def test_op9_steps():
+    """A step of descent against the loss's slopes by differences."""
+    import numpy as np
+
+    from tomehall.llm import quality as Q
+
+    rng = np.random.default_rng(1)
+    m = Q.Model(rng.normal(size=(Q.BUCKETS, Q.SIZE)) * 0.1, rng.normal(size=(Q.SIZE, 2)), rng.normal(size=2))
+    at, how = np.array([3, 70, 900]), np.array([0.5, 0.3, 0.2])
+
+    def loss(v, w, b):
+        s = how @ v @ w + b
+        return math.log(sum(math.exp(x) for x in s)) - s[1]
+
+    v, w, b = m.vectors[at].copy(), m.weight.copy(), m.bias.copy()
+    Q.step(m, at, how, 1, 0.01)
+    for old, new, f, longer in ((v, m.vectors[at], lambda x: loss(x, w, b), 3**0.5), (w, m.weight, lambda x: loss(v, x, b), 1), (b, m.bias, lambda x: loss(v, w, x), 1)):
+        for place in np.ndindex(old.shape):
+            d = np.zeros(old.shape)
+            d[place] = 1e-5
+            slope = (f(old + d) - f(old - d)) / 2e-5
+            assert abs((new - old)[place] + 0.01 * longer * slope) < 1e-7
+    rows = [(np.array([0, 5, 65535]), np.array([0.25, 0.5, 0.25])), (np.empty(0, np.int64), np.empty(0))]
+    assert all(np.array_equal(x, y) for r in rows for x, y in zip(Q.unpacked(Q.packed(r)), r, strict=True))
+
+
+def test_op9_buckets():
+    """Words, their n-grams of characters and their pairs, one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tomehall.llm import quality as Q
+    from tomehall.llm.common import Words
+
+    text = "été a été été"
+    w = Words(pa.array([text, ""]))
+    (at, how), (none, _) = Q.features(w)
+    assert len(none) == 0 and abs(how.sum() - 2) < 1e-9
+    names = dict(zip(text.split(), w.names.tolist(), strict=True))
+    want = defaultdict(float)
+    for x in text.split():
+        grams = [f"<{x}>"[k : k + n] for n in (2, 3, 4) for k in range(len(x) + 3 - n)]
+        for g in [None, *grams]:
+            if g is None:
+                b = Q.bucket_of(np.array([names[x]], np.uint64), 0)[0]
+            else:
+                v = 0
+                for c in g:
+                    v = (v * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                b = Q.bucket_of(np.array([v], np.uint64), len(g))[0]
+            want[int(b)] += 1 / 4 / (1 + len(grams))
+    for x, y in zip(text.split(), text.split()[1:]):
+        want[int(Q.bucket_of(np.array([(names[y] - names[x]) % 2**64], np.uint64), 99)[0])] += 1 / 3
+    assert dict(zip(at.tolist(), how.round(9).tolist(), strict=True)) == {k: round(v, 9) for k, v in want.items()}
+    m = Q.Model(np.random.default_rng(0).normal(size=(Q.BUCKETS, Q.SIZE)), np.ones((Q.SIZE, 2)) * [0, 1], np.zeros(2))
+    assert np.allclose(Q.leanings(m, Q.Shares(m.lean, 2), pa.array([text, None, "a"])), [sum(m.lean[b] * v for b, v in want.items()), 0, sum(m.lean[b] * v for b, v in zip(*Q.features(Words(pa.array(["a"])))[0], strict=True))])
+
+
 # ---- op10
 
 

@@ -185,12 +185,13 @@ def grams(h: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 def squeezed(x: np.ndarray) -> bytes:
     """Numbers byte by byte, first bytes first, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def released(blob: bytes, kind) -> np.ndarray:
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).reshape(len(flat) // size)
 
 
 def by_text_rule(mod: int, column: str = "doc_id"):

@@ -24,7 +24,7 @@ ORDERS = (1, 2, 3)
 def features(texts: pa.Array, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS):
     """For each text the buckets of its character n-grams and how often each occurs, as (buckets, counts).
 
-    ASCII capitals are lowered and white space is one character; n-grams run within the text, over code points."""
+    Capitals of all scripts are lowered and white space is one character; n-grams run within the text, over code points."""
     for t in texts.to_pylist():
         if not t:
             yield np.empty(0, np.int64), np.empty(0, np.int64)
@@ -66,7 +66,7 @@ class Model:
 def follow_leader(model: Model, rows: list, classes: np.ndarray, epochs: int = 6, alpha: float = 0.5, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> None:
     """Weights by follow-the-regularised-leader: z and n are the leader's sums of gradients and of their squares."""
     k = len(model.languages)
-    z, n = np.zeros((len(model.weight) + 1, k)), np.zeros((len(model.weight) + 1, k))
+    z, n = np.zeros((len(model.weight) + 1, k), np.float32), np.zeros((len(model.weight) + 1, k), np.float32)
 
     def leader(at):
         zz = z[at]
@@ -104,15 +104,18 @@ def temperature(model: Model, scores: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, sample: int = 3000, least: int = 60) -> Model | None:
+def train(docs: DataFrame, sample: int = 3000, least: int = 20) -> Model | None:
     """A model of docs(doc_id, text, lang), null without a labelled text.
 
-    `sample` bounds the rows that weights are fitted to: those of the smallest hashes of doc_id, so many of each
-    language, `least` at least even if that exceeds `sample`; document frequencies count every labelled row. Only the
-    256 most frequent labels are learnt and predicted."""
+    `sample` bounds the rows that weights are fitted to: as many of each language, by the smallest hashes, `least` even if
+    that exceeds `sample`; equal rows count once. Document frequencies count every labelled row, and every label is learnt; the weights' memory is BUCKETS
+    times their number."""
     spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
+    order = F.xxhash64("doc_id", "text")
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).collect()  # one for each language
+    rows = {r["lang"]: r["n"] for r in counted}
+    languages = sorted(rows, key=lambda x: (-rows[x], x))
     if not languages:
         return None
 
@@ -130,27 +133,33 @@ def train(docs: DataFrame, sample: int = 3000, least: int = 60) -> Model | None:
     for r in known.select("text").mapInArrow(documents_of, "bucket long, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).collect():  # at most BUCKETS + 1 rows
         frequency[r["bucket"]] = r["texts"]
     idf = np.log((1 + frequency[BUCKETS]) / (1 + frequency[:BUCKETS])) + 1
-    model = Model(languages, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), idf)
+    model = Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), idf)
     each = max(least, sample // len(languages))
-    order = F.xxhash64("doc_id")
-    chosen = None
-    for lang in languages:  # ids alone are read here, and so many kept
-        edge = known.where(F.col("lang") == lang).select(order.alias("h")).orderBy("h").limit(each).agg(F.max("h")).first()[0]
-        one = (F.col("lang") == lang) & (order <= edge)
-        chosen = one if chosen is None else chosen | one
+    # one scan: hashes up to a bound of each language, with some to spare; then so many rows of each
+    share = {x: min(1.0, (each + 4 * each**0.5 + 4) / n) for x, n in rows.items()}
+    edges = spark.createDataFrame([(r["lang"], max(r["first"], min((1 << 63) - 1, int((share[r["lang"]] - 0.5) * (1 << 64))))) for r in counted], "lang string, edge long")
+    spare = int(sum(min(n, each + 8 * each**0.5 + 8) for n in rows.values()))
 
     def described(b):
         f = list(features(b.column("text")))
         return pa.RecordBatch.from_arrays([b.column("lang"), pa.array([at for at, _ in f], pa.list_(pa.int32())), pa.array([c for _, c in f], pa.list_(pa.int32()))], names=["lang", "at", "times"])
 
-    picked = on_texts(known.where(chosen).select("text", "lang", order.alias("h")).orderBy("h").limit(each * len(languages)), described, "lang string, at array<int>, times array<int>").toArrow()
-    rows = [(np.asarray(at.values), np.asarray(c.values), languages.index(x.as_py())) for x, at, c in zip(*(picked.column(c) for c in ("lang", "at", "times")), strict=True)]
-    apart = [i for i in range(len(rows)) if i % 5 == 4]
-    fit = [i for i in range(len(rows)) if i % 5 != 4]
-    classes = np.array([c for _, _, c in rows])
-    follow_leader(model, [rows[i][:2] for i in fit], classes[fit])
+    picked = known.select("text", "lang", order.alias("h")).join(edges, "lang").where("h <= edge").groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("h", "lang").limit(spare)
+    picked = on_texts(picked, described, "lang string, at array<int>, times array<int>").toArrow()
+    taken: dict[str, int] = dict.fromkeys(languages, 0)
+    number = {x: k for k, x in enumerate(languages)}
+    chosen = []
+    for x, at, c in zip(*(picked.column(c) for c in ("lang", "at", "times")), strict=True):
+        x = x.as_py()
+        if taken[x] < each:
+            taken[x] += 1
+            chosen.append((np.asarray(at.values), np.asarray(c.values), number[x]))
+    apart = [i for i in range(len(chosen)) if i % 5 == 4]
+    fit = [i for i in range(len(chosen)) if i % 5 != 4]
+    classes = np.array([c for _, _, c in chosen])
+    follow_leader(model, [chosen[i][:2] for i in fit], classes[fit])
     if apart and len(languages) > 1:
-        model.temperature = temperature(model, np.array([model.scores(*rows[i][:2]) for i in apart]), classes[apart])
+        model.temperature = temperature(model, np.array([model.scores(*chosen[i][:2]) for i in apart]), classes[apart])
     return model
 
 
