@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -548,6 +549,11 @@ def test_op7(spark, sf, hard, empty):
         ("jane dot doe at mail dot example dot org", "email", "jane dot doe at mail dot example dot org"),
         ("call plus one two one two five five five zero one nine nine today", "phone", "plus one two one two five five five zero one nine nine"),
         ("mail jоhn@exаmple.com hi", "email", "jоhn@exаmple.com"),
+        ("jane at example dot pl", "email", "jane at example dot pl"),
+        ("a.b.c.d.e [at] host [dot] com", "email", "a.b.c.d.e [at] host [dot] com"),
+        ("escribe a john arroba example punto es hoy", "email", "john arroba example punto es"),
+        ("x_1 AT mail.host DOT co DOT uk, thanks", "email", "x_1 AT mail.host DOT co DOT uk"),
+        ("server 192 point 168 point 1 point 20 is up", "ip", "192 point 168 point 1 point 20"),
         ("see １９２.168.1.1 there", "ip", "１９２.168.1.1"),
     ],
 )
@@ -559,7 +565,50 @@ def test_op7_disguises(text, kind, found):
     assert pii.masked(text, every) == text.replace(found, f"<{kind}>")
 
 
-@pytest.mark.parametrize("text", ["look at the dot on it", "meet at ten dot fine", "one two three go", "Ça va à l'école", "at 5 [dot] 6"])
+def test_op7_overlaps_and_size():
+    from tomehall.llm import pii
+
+    first, every = pii.find("jоhn@example.com")
+    assert first == [("email", 2, 16)] and every == [("email", 0, 16), ("email", 2, 16)] and pii.masked("jоhn@example.com", every) == "<email>"
+    began = time.time()
+    n = 1_000_000
+    for text in ("7" * n, "1 " * (n // 2), "one " * (n // 4), "a dot " * (n // 6), "a at b " * (n // 7), "[at] " * (n // 5), " " * n, "(" * n, "+1" * (n // 2), "1." * (n // 2), "а" * n, "at " * (n // 3), "a@" * (n // 2)):
+        least = time.time()
+        pii.find(text)
+        assert time.time() - least < 8, text[:10]
+    assert time.time() - began < 40
+
+
+def test_op7_generated_disguises():
+    """Recall and precision over made-up texts with known places."""
+    from tomehall.llm import pii
+
+    rng = random.Random(11)
+    names = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) + rng.choice(["", ".", "_", "7"]) + rng.choice(["q", "zed", "9"]) for _ in range(60)]
+    hosts = ["".join(rng.choices("bcdfglmnprstaeiou", k=rng.randint(4, 9))) for _ in range(60)]
+    clean = "She looked at google dot com yesterday . We arrived at noon , one or two of us met at home . It stood at 3.5 points and fell ; look at the dot on it . I am at work dot".split(" . ")
+    ats = [" at ", " [at] ", "(at)", " {at} ", " AT ", "[@]", " arroba "]
+    dots = [" dot ", " [dot] ", "(dot)", " DOT ", "[.]", " punto "]
+    words = "zero one two three four five six seven eight nine".split()
+    found = missed = false = 0
+    for _ in range(400):
+        kind = rng.choice(["email", "glyph", "phone"])
+        if kind == "email":
+            hidden, kind = rng.choice(names) + rng.choice(ats) + rng.choice(hosts) + rng.choice(dots) + rng.choice(["com", "org", "pl", "de", "jp"]), "email"
+        elif kind == "glyph":
+            hidden, kind = rng.choice(names).replace("a", "а") + "@" + rng.choice(hosts).replace("o", "о") + ".com", "email"
+        else:
+            hidden = "plus " + rng.choice([" ", "-", ", "]).join(rng.choices(words, k=rng.randint(9, 14)))
+        before, after = rng.choice(clean) + ". ", ", " + rng.choice(clean)
+        _, every = pii.find(before + hidden + after)
+        at = (kind, len(before), len(before) + len(hidden))
+        found += at in every
+        missed += at not in every
+        false += sum(not (at[1] <= a and b <= at[2]) for _, a, b in every)
+    assert found >= 0.98 * (found + missed) and false <= 0.01 * found, (found, missed, false)
+
+
+@pytest.mark.parametrize("text", ["I looked at google dot com yesterday", "one, two, three, four, five", "look at the dot on it", "meet at ten dot fine", "one two three go", "Ça va à l'école", "at 5 [dot] 6"])
 def test_op7_leaves_clean_text(text):
     from tomehall.llm import pii
 

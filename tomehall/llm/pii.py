@@ -1,7 +1,7 @@
 """Personal data: base patterns, and disguised forms through offset-preserving transducers.
 
 A transducer rewrites a text and keeps, for each character it writes, the span of source characters that it came from.
-Three run in turn: homoglyphs to ASCII, spelled digits to digits, `at` and `dot` disguises to @ and full stop. The same patterns
+Three run in turn: homoglyphs to ASCII, spelled digits to digits, `at` and `dot` disguises to @ and full stop. Each is linear in the text. The same patterns
 are then searched in the rewritten text, and what they find is mapped back to the source.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +34,37 @@ HOMOGLYPHS = {
 }
 HOMOGLYPHS |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}  # full-width forms
 HOMOGLYPHS |= {chr(base + d): str(d) for base in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
-LOOKALIKE = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "]")
+#: One character for one: places stay as they are.
+PLAIN = str.maketrans(HOMOGLYPHS)
 #: Written between characters to break them up; they vanish.
-INVISIBLE = re.compile("[​‌‍⁠﻿­]")
+INVISIBLE = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 
 # Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
 DIGIT_WORD = "|".join(sorted(set(SPELLED) - {"plus"}, key=len, reverse=True))
-#: Four spelled digits in a row at least, or fewer between written ones; single words stay words.
-SPELLING = re.compile(rf"(?<![A-Za-z])(?:plus[ -])?(?:(?:{DIGIT_WORD}|[0-9]+|point|dot)[ ,.-]{{1,2}}){{3,}}(?:{DIGIT_WORD}|[0-9]+)(?![A-Za-z])", re.I)
-SPELLED_ONE = re.compile(rf"(?<![A-Za-z])(?:plus|point|dot|{DIGIT_WORD})(?![A-Za-z])[ ,-]?", re.I)
-
-#: `name at host dot tld`, with each disguise in brackets or between spaces; one in brackets, or both between spaces.
-AT_SIGN = r"(?:\s*[\[({<]\s*(?:at|@|arroba|ät|chez)\s*[\])}>]\s*|\s+(?:at|AT)\s+|\s*@\s*)"
-STOP = r"(?:\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+|\.)"
-DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{STOP}[A-Za-z0-9_%+-]+){{0,3}}?)({AT_SIGN})([A-Za-z0-9-]+)((?:{STOP}[A-Za-z0-9-]+){{1,4}})", re.I)
-HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|arroba|ät|chez|point|punkt|punto|\.)\s*[\])}>]|\sat\s+[A-Za-z0-9-]+\s+dot\s|\s@\s*[A-Za-z0-9-]|[A-Za-z0-9]@\s+[A-Za-z0-9-]|@[A-Za-z0-9-]+\s+dot\s", re.I)
+HIDDEN_NUMBER = re.compile(rf"(?<![A-Za-z])(?:{DIGIT_WORD})(?![A-Za-z])|[0-9] (?:point|dot) [0-9]", re.I)
+#: What a spelled number is made of; written digits are taken as they stand, in one piece.
+NUMERAL = re.compile(rf"(?<![A-Za-z0-9])(?:(?P<digit>{DIGIT_WORD}|[0-9]++)|plus|point|dot)(?![A-Za-z0-9])", re.I)
+BETWEEN = re.compile(r"[ ,.-]{1,2}")
+#: So many numerals in a row are a number; fewer stay words.
+LEAST = 4
+
+#: `name at host dot tld`: what stands for @ and for a full stop, in brackets or between spaces.
+OPEN, SHUT = r"\s{0,9}[\[({<]\s{0,9}", r"\s{0,9}[\])}>]\s{0,9}"
+AT_SIGN = re.compile(rf"(?P<bracket>{OPEN}(?:at|@|arroba|ät|chez){SHUT})|(?P<bare>(?<=[A-Za-z0-9_%+-])\s{{1,9}}(?:at|arroba)\s{{1,9}}(?=[A-Za-z0-9]))|(?P<sign>(?<=[A-Za-z0-9_%+-])\s{{0,9}}@\s{{0,9}}(?=[A-Za-z0-9]))", re.I)
+STOP = rf"(?:{OPEN}(?:dot|point|punkt|punto|\.){SHUT}|\s{{1,9}}(?:dot|punto|punkt|point)\s{{1,9}}|\.)"
 STOPS = re.compile(STOP, re.I)
-# Last labels that make `name at host dot label` an address without any brackets.
-LABELS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "us", "uk", "de", "fr", "es", "it", "eu", "ch", "at", "nl", "ca", "au", "dev", "app", "biz")
+HOST = re.compile(rf"([A-Za-z0-9-]+)((?:{STOP}[A-Za-z0-9-]+)+)", re.I)
+NAME = re.compile(rf"(?P<stop>{STOP})|(?P<word>[A-Za-z0-9_%+-]+)", re.I)
+#: Longest name and host that are looked for, disguises included; an address has 64 and 255 characters at most.
+NAME_ROOM, HOST_ROOM = 400, 1200
+# Last labels, besides those of two letters, that make an address without any brackets.
+LABELS = frozenset("com org net edu gov mil int info biz name pro mobi asia dev app xyz online site shop store tech blog cloud email live news world art top club io".split())
+# Words of two letters that no country has as its label.
+NO_COUNTRY = frozenset("ah an eh ex go ha he hi ho if of oh ok on or ox up we yo".split())
+# What stands before `at` in plain prose, and hosts that are no names.
+BEFORE_AT = frozenset("a aim aimed all am and are arrive arrived available back be been bought buy check chat click come dine down eat find found get go going good great had have he her here him home i is it join joined laugh learn live lived look looked looking looks me meet met more not now on online only open or order out park play posted price read right sale see seen she shop shopping show sold stare start stay stayed stop store that them there they time us visit wait was we were what where who work worked working works you".split())
+NO_HOST = frozenset("a all an any best first her his home last least most my night noon once one our that the their this times work your".split())
 
 
 def luhn(digits: str) -> bool:
@@ -133,61 +144,103 @@ class Tape:
         return int(self.begin[a]), int(self.end[b - 1])
 
 
-def disguised(text: str) -> list[tuple[str, int, int]]:
-    """What the patterns find after the transducers, at its place in the source; empty where no disguise occurs."""
-    tape = Tape(text)
-    odd = not text.isascii()
-    changed = False
-    if odd:
-        edits = [(m.start(), m.end(), "") for m in INVISIBLE.finditer(text)]
-        edits += [(m.start(), m.end(), HOMOGLYPHS[m.group()]) for m in LOOKALIKE.finditer(text)]
-        tape.rewrite(sorted(edits))
-        changed |= bool(edits)
-    edits = []
-    if SPELLING.search(tape.text):
-        for m in SPELLING.finditer(tape.text):
-            for w in SPELLED_ONE.finditer(tape.text, m.start(), m.end()):
-                word = w.group().rstrip(" ,-").lower()
-                stop = w.start() + len(word) if w.end() >= m.end() else w.end()
-                edits.append((w.start(), stop, SPELLED.get(word, ".")))
-        tape.rewrite(edits)
-        changed |= bool(edits)
-    if HINT.search(tape.text):
-        edits = []
-        for m in DISGUISED.finditer(tape.text):
-            name, at, host, rest = m.group(1, 2, 3, 4)
-            spaced = at.strip().lower() == "at"
-            bare = spaced and not re.search(r"[\[({<]", rest)
-            if bare and re.split(r"[\s.]+", rest)[-1].lower() not in LABELS:
+def spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write spelled digits as digits, in numbers of LEAST numerals and more."""
+    if not HIDDEN_NUMBER.search(text):
+        return []
+    edits: list[tuple[int, int, str]] = []
+    run: list[re.Match] = []
+
+    def out():
+        while run and not run[-1]["digit"]:
+            run.pop()
+        while run and not run[0]["digit"] and run[0].group().lower() != "plus":
+            run.pop(0)
+        if len(run) >= LEAST:
+            for before, m, after in zip([None, *run[:-1]], run, [*run[1:], None], strict=True):
+                word = m.group().lower()
+                if not word[0].isdigit():
+                    begin, end = m.span()
+                    if before is not None and before.group()[0].isdigit() and word not in SPELLED:
+                        begin = before.end()  # a spelled stop takes the space on both sides along
+                    if after is not None and "." not in text[end : after.start()]:
+                        end = after.start()
+                    edits.append((begin, end, SPELLED.get(word, ".")))
+        run.clear()
+
+    for m in NUMERAL.finditer(text):
+        if run and not (m.start() - run[-1].end() <= 2 and BETWEEN.fullmatch(text, run[-1].end(), m.start())) or m.group().lower() == "plus":
+            out()
+        run.append(m)
+    out()
+    return edits
+
+
+def name_before(text: str, floor: int, end: int) -> int:
+    """Where the name that ends at `end` begins; `end` if there is none."""
+    begin = edge = end
+    word_due = True
+    for m in reversed(list(NAME.finditer(text, max(floor, end - NAME_ROOM), end))):
+        if m.end() != edge or (m["word"] is not None) != word_due:
+            break
+        edge = m.start()
+        if word_due:
+            begin = edge
+        word_due = not word_due
+    return begin
+
+
+def addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write disguised addresses plainly."""
+    edits, floor = [], 0
+    for at in AT_SIGN.finditer(text):
+        if at.start() < floor:
+            continue
+        host = HOST.match(text, at.end(), at.end() + HOST_ROOM)
+        if not host:
+            continue
+        rest = host.group(2)
+        label = re.split(r"[^A-Za-z0-9-]+", rest)[-1].lower()
+        if not re.fullmatch(r"[a-z]{2,}", label):
+            continue
+        hidden = STOPS.sub(lambda m: "" if m.group() == "." else "#", rest).count("#")
+        if at["sign"] and at.group() == "@" and not hidden:
+            continue  # as plain as can be, on this side
+        begin = name_before(text, floor, at.start())
+        if begin == at.start():
+            continue
+        name = text[begin : at.start()]
+        if at["bare"]:
+            if not hidden or label not in LABELS and (len(label) != 2 or label in NO_COUNTRY):
                 continue
-            if at == "@" and not STOPS.search(rest.replace(".", "")) or spaced and not re.search(r"dot|[\[({<]", rest, re.I) or not re.search(r"[A-Za-z]{2,}\Z", rest):
+            if name.lower() in BEFORE_AT or host.group(1).lower() in NO_HOST:
                 continue
-            plain = lambda s: STOPS.sub(".", s)
-            edits.append((m.start(), m.end(), plain(name) + "@" + host + plain(rest)))
-        tape.rewrite(edits)
-        changed |= bool(edits)
-    if not changed:
-        return []
-    return [(kind, *tape.source(a, b)) for kind, a, b in base(tape.text)]
+        plain = lambda s: STOPS.sub(".", s)
+        edits.append((begin, host.end(), plain(name) + "@" + host.group(1) + plain(rest)))
+        floor = host.end()
+    return edits
+
+
+def disguised(text: str) -> list[tuple[str, int, int]]:
+    """What the patterns find after the transducers, at its place in the source; empty where no disguise occurs."""
+    plain = text if text.isascii() else text.translate(PLAIN)
+    tape = None
+    for find_edits in (lambda t: [(m.start(), m.end(), "") for m in INVISIBLE.finditer(t)] if not text.isascii() else [], spelled, addresses):
+        if edits := find_edits(plain if tape is None else tape.text):
+            tape = tape or Tape(plain)
+            tape.rewrite(edits)
+    if tape is not None:
+        return [(kind, *tape.source(a, b)) for kind, a, b in base(tape.text)]
+    return base(plain) if plain != text else []
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all: those and disguised ones that overlap none of their kind, by kind and place."""
+    """Base spans, and all: those and disguised ones, by kind and place."""
     if not text:
         return [], []
     first = base(text)
-    extra = disguised(text)
-    if not extra:
-        return first, first
-    every = list(first)
-    for kind in KINDS:
-        own = sorted(s[1:] for s in first if s[0] == kind)
-        for _, a, b in sorted(s for s in extra if s[0] == kind):
-            k = bisect_left(own, (a, b))
-            if (k == 0 or own[k - 1][1] <= a) and (k == len(own) or own[k][0] >= b):
-                own.insert(k, (a, b))
-                every.append((kind, a, b))
-    return first, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1:]))
+    extra = set(disguised(text)).difference(first)
+    return first, sorted([*first, *extra], key=lambda s: (KINDS.index(s[0]), s[1:])) if extra else first
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -198,7 +251,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_disguised for each row of docs(doc_id, text).
 
     Offsets count code points, ends exclusive. A null text is empty and has none; repeated rows give repeated
-    rows; a null doc_id stays null; other columns aren't read. A disguised span is given only where it overlaps no span of its kind."""
+    rows; a null doc_id stays null; other columns aren't read. A disguised span may overlap a base one of its kind, never equal it."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [find(t) for t in b.column("text").to_pylist()]
