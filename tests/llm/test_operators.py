@@ -758,6 +758,70 @@ def test_op10_passages_before_poor_text(spark):
     assert {r.doc_id for r in got if r.doc_id >= 100} == {d for d, _ in want if d >= 100}
 
 
+def plain_passages(x, y, least=13):
+    """Whether words y have a passage in words x: a seed hits a diagonal that has a stretch, or all of a short item."""
+    masks = ("111111", "11011011", "10101111", "11100111")
+    if len(y) < 8:
+        return x == y or len(y) >= 5 and any(x[k : k + len(y)] == y for k in range(len(x)))
+    for shift in range(-len(y), len(x) + 1):
+        m = [x[k] == y[k - shift] for k in range(max(0, shift), min(len(x), len(y) + shift))]
+        if any(all(m[a + k] for k, c in enumerate(mask) if c == "1") for mask in masks for a in range(len(m) - len(mask) + 1)):
+            if len(y) < least:
+                if 0 <= shift <= len(x) - len(y) and 10 * sum(m) >= 8 * len(y):
+                    return True
+            elif any(10 * sum(m[a:b]) >= 8 * (b - a) for a in range(len(m)) for b in range(a + least, len(m) + 1)):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("block", [400_000, 50])
+def test_op10_against_plain_rule(spark, block):
+    """Items of all lengths, replaced words at edges and inside, repeated words, null ids; by index and by join."""
+    from tomehall.llm.decontamination import contaminated
+
+    rng = random.Random(6)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (1, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 16, 30)] + [(90, ["same"] * 20), (91, ["p", "q"] * 9), (None, [f"n{k}" for k in range(15)])]
+    rows = []
+    for i, (n, y) in enumerate(items):
+        rows += [(1000 + i, y), (2000 + i, ["u", *y, "v"])]
+        for j in range(12):
+            w = list(y)
+            for _ in range(rng.randint(1, max(1, len(y) // 4))):
+                w[rng.choice([0, len(w) - 1, rng.randrange(len(w))])] = "no"
+            rows.append((3000 + 20 * i + j, ["u"] * rng.randint(0, 3) + w + ["v"] * rng.randint(0, 3)))
+    rows += [(1, ["same"] * 200), (2, ["p", "q"] * 30), (3, ["q", "p", "p"] * 30), (None, items[-1][1]), (5, [])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(77, None), (78, "")], "item_id long, text string")
+    got = contaminated(docs, bench, block=block).collect()
+    want = sorted((str(d), str(i)) for d, x in rows for i, y in items if plain_passages(x, y))
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in got) == want and len(want) > 60
+    eight = {d for d, x in rows for n, y in items if n == 8 and len(x) >= 8 and any(sum(a == b for a, b in zip(x[k:], y)) >= 7 for k in range(len(x) - 7))}
+    assert {r.doc_id for r in got if r.item_id == 8} == eight  # one replaced word anywhere
+
+
+def test_op10_join_like_index(spark):
+    from tomehall.llm.decontamination import passages
+
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    one, two = (sorted(map(tuple, passages(docs, bench, block=b).collect())) for b in (400_000, 100))
+    assert one == two and len(one) > 20
+
+
+def test_op10_repeated_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from tomehall.llm import decontamination as D
+
+    index = D.Index([(1, "same " * 5000)], D.MASKS)
+    names, count = D.tokens(pa.array(["same " * 70_000]))
+    began = time.time()
+    hits = index.hits(names, np.zeros(1, np.int64), count)
+    assert len(hits[0, 0]) > 74_000
+    assert D.agreed(names, index.of(0), hits[0, 0], 13, 0.8) == [(k, k + 5000, 5000) for k in range(0, 70_000, 5000)]
+    assert time.time() - began < 60
+
+
 # ---- common
 
 
