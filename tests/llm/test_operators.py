@@ -353,7 +353,7 @@ def components(rows, percent=75):
     return [(i, len(s), None if i is None else find(i)) for i, every in sets.items() for s in every]
 
 
-@pytest.mark.parametrize("options", [{}, {"easy": 1, "frequent": 40, "least_frequent": 2}])
+@pytest.mark.parametrize("options", [{}, {"easy": 0, "small": 2, "frequent": 40, "least_frequent": 2}])
 def test_op5(spark, sf, hard, empty, options):
     from tomehall.llm.jaccard_join import link
 
@@ -362,22 +362,46 @@ def test_op5(spark, sf, hard, empty, options):
     if not options:
         same(link(spark.read.parquet(f"{sf}/documents.parquet")).collect(), components(docs_of(spark, sf)))
         assert link(empty).count() == 0
+        several = [(1, "a b c d e f g h"), (5, "a b c d e f g h"), (5, None), (5, "q"), (7, "q"), (8, ""), (8, "\n")]
+        same(link(spark.createDataFrame(several, "doc_id long, text string")).collect(), components(several))
 
 
-def test_op5_clouds(spark):
+@pytest.mark.parametrize("options", [{}, {"easy": 0, "small": 8}, {"small": 8, "frequent": 0}])
+def test_op5_clouds(spark, monkeypatch, options):
     """A base with many edits: some copies link, some only through others."""
-    from tomehall.llm.jaccard_join import close_pairs, link  # noqa: F401
+    from tomehall.llm import jaccard_join as J
 
+    monkeypatch.setattr(J, "FOR_EACH", 20)
+    monkeypatch.setattr(J, "BLOCK", 16)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(120)]
     rows = []
     for i in range(220):
-        w = list(base)
+        w = list(base) if i % 3 else [f"c{k}" if k % 2 else b for k, b in enumerate(base)] if i % 2 else base[:60]
         for _ in range(rng.randint(0, 5)):
-            w[rng.randrange(120)] = f"e{rng.randrange(40)}"
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    same(link(df).collect(), components(rows))
+    same(J.link(df, **options).collect(), components(rows))
+
+
+def test_op5_boilerplate(spark, monkeypatch):
+    """400 documents that share four fifths of their words: a bounded number of rounds, whichever way they are cut."""
+    from tomehall.llm import jaccard_join as J
+
+    rounds = []
+    compared = J.Scratch.keep
+    monkeypatch.setattr(J.Scratch, "keep", lambda self, df, name, *a, **k: (name.startswith(("pairs-", "cut-", "rest")) and rounds.append(name), compared(self, df, name, *a, **k))[1])
+    monkeypatch.setattr(J, "FOR_EACH", 50)
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(84)]
+    rows = [(i, " ".join([f"o{rng.randrange(10**6)}" for _ in range(20)] + shared)) for i in range(400)]
+    rows += [(1000 + i, rows[i * 7][1].replace("s40 ", "x ")) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({}, {"easy": 1}, {"easy": 10**9}):
+        rounds.clear()
+        same(J.link(df, **options).collect(), components(rows))
+        assert len(rounds) <= 5, rounds
 
 
 def test_components(spark, tmp_path):

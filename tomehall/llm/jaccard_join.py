@@ -2,17 +2,20 @@
 
 Jaccard distance between two documents without a common shingle is 1, so free pivots would tell nothing
 apart. Regions are therefore anchored: all documents that share a shingle of their prefixes form a cell
-(linked documents always share one: a prefix holds a quarter of a set and one more, in one order of all
+(linked documents always share one, early in the smaller of them, in one order of all
 shingles, frequent ones last). A cell's pivot is the document of the smallest key, and a document lies in the
-regions of all its pivots, boundary documents in several. A round compares every document with its
-pivots. What it links becomes one component; a cell whose documents are in one component is done. The
-others get another pivot, from what their pivot didn't reach, and join again; when little is left, pairs
-of a cell that stand in different components are compared directly.
+regions of all its pivots, boundary documents in several. First every document is compared with its
+pivots. What these link becomes one component; a region whose documents are in one component is done.
+
+The others join again, recursively. If pairs are many, their documents alone form new cells, in the exact order of how
+rare each shingle is among them. Then each large region gets many pivots and is cut into their Voronoi regions: a document goes to the
+nearest pivot, and also to each other that is no farther than a window which the triangle inequality gives; a linked pair meets where one of the two is
+at home. Regions that shrink are cut again. Last, documents of a region that stand in different components are compared directly.
 
 Distances are bounded before texts are fetched: a sketch of a set is the parity of its shingles in 1024
 places, and Hamming distance of sketches never exceeds the symmetric difference, which is at most a
-seventh of the sizes' sum for linked sets. It is a metric too, so by the triangle inequality two linked documents
-lie in one window of distances to their pivot.
+seventh of the sizes' sum for linked sets. It is a metric too: these are the distances to pivots, and two linked documents
+lie in one window of distances to any pivot.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ from .common import U64, Scratch, Words, grams, mix, on_texts, slices
 from .components import forest, labels
 
 SKETCH = 1024
-#: Documents of a region that are compared by a join; larger regions are compared in blocks.
+#: Documents of a region that are compared by a join; larger regions are cut by pivots, then compared in blocks.
 SMALL = 64
+#: Documents for each pivot of a large region, the most pivots of one, the most times that regions are cut, and how much smaller a region must get for another time.
+FOR_EACH, MOST, CUTS, SHRUNK = 256, 64, 3, 0.7
+#: Documents of a large region that meet its pivots in one task, and documents of a block.
+SALTED, BLOCK = 4096, 2048
 
 
 def sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -56,47 +63,100 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n, percent: int):
-    """Linked sets share one of so many first shingles."""
+    """Linked sets share one of so many first shingles of the larger."""
     return n - (n * percent + 99) // 100 + 1
 
 
+def early_length(n, percent: int):
+    """... and one of so many first shingles of the smaller."""
+    return n - (2 * n * percent + 99 + percent) // (100 + percent) + 1
+
+
+def widest(n: str, percent: int):
+    """The largest symmetric difference that a set of `n` shingles has from one that it links with."""
+    return F.expr(f"({100 - percent} * ({n} + ({n} * 100) div {percent})) div {100 + percent}")
+
+
+def distance(one, two):
+    """Hamming distance of sketches."""
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
 def rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def close_pairs(members: DataFrame, percent: int, closest: bool = False, small: int = SMALL, block: int = 2048) -> DataFrame:
+def divided(members: DataFrame, percent: int, level: int) -> DataFrame:
+    """members(region, key, n, h, label, sketch, all, home) of large regions, dealt to the Voronoi regions of many pivots each.
+
+    Pivots are chosen by hash, about one for FOR_EACH documents; a region without any stays. A document's distances decide where it goes: the nearest pivot is
+    home; others within twice the widest difference of linked sets get it too, so that it meets all that it links with at their homes."""
+    chosen = F.least(F.ceil(F.col("all") / FOR_EACH) + 1, F.lit(MOST))
+    pivots = members.where(F.pmod(F.xxhash64("key", F.lit(level)), F.col("all")) < chosen).groupBy("region").agg(F.collect_list(F.struct("key", "sketch")).alias("pivots"), F.max("all").alias("a"))
+    salts = lambda c: F.ceil(F.col(c) / SALTED).cast("int")
+    pivots = pivots.select("region", "pivots", F.explode(F.sequence(F.lit(0), salts("a") - 1)).alias("salt"))  # a hot region's documents don't meet in one task
+    met = members.withColumn("salt", F.pmod(F.xxhash64("key"), salts("all")).cast("int")).join(pivots, ["region", "salt"], "left")
+    far = F.transform("pivots", lambda p: F.struct(distance(p["sketch"], F.col("sketch")).alias("h"), p["key"].alias("pivot")))
+    met = met.withColumn("far", F.coalesce(far, F.array(F.struct(F.col("h").alias("h"), F.col("region").alias("pivot")))))
+    met = met.withColumn("near", F.array_min("far"))
+    there = F.filter("far", lambda x: x["h"] <= F.col("near")["h"] + 2 * widest("n", percent))
+    dealt = met.select("region", "all", "key", "n", "label", "sketch", "near", F.explode(there).alias("to"))
+    return dealt.select(F.xxhash64("region", "to.pivot", F.lit(level)).alias("region"), "key", "n", F.col("to.h").alias("h"), "label", "sketch", F.col("all").alias("before"), (F.col("to.pivot") == F.col("near.pivot")).alias("home"))
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """region, all, within, largest of the regions with documents of several components, one of them at home."""
+    parts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("home"))
+    sums = parts.groupBy("region").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max("home").alias("home"))
+    return sums.where("home and all * all > within").select("region", "all", "within")
+
+
+def close_pairs(members: DataFrame, percent: int, closest: bool = False, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """key1, key2 of documents of one region in different components whose sizes and sketches allow a link.
 
-    members(region, key, n, h, label, sketch, all): `all` documents in the region. Those of up to `small` documents join within windows of distances to
-    the pivot; larger ones are cut into blocks by hash, and every two blocks meet in a task of their own, which gives only the pairs within bounds; with `closest`, the closest of each
-    document in its block."""
+    members(region, key, n, h, label, sketch, all, home): `all` documents in the region. Those of up to `small` documents join within windows of distances to
+    the pivot; larger ones are cut into stripes as wide as the window, and these into blocks by hash; blocks of one stripe and of neighbours meet, every two in a task of their own,
+    which gives only the pairs within bounds; with `closest`, the closest of each document in its block."""
     alike, bound = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)", F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")
     few = members.where(F.col("all") <= small)
-    of = lambda k: few.select("region", *(F.col(c).alias(f"{c}{k}") for c in ("key", "label", "n", "h", "sketch")))
+    of = lambda k: few.select("region", *(F.col(c).alias(f"{c}{k}") for c in ("key", "label", "n", "h", "sketch", "home")))
     one, two = of(1), of(2)
-    far = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    window = (F.col("label1") < F.col("label2")) & F.expr(alike) & (F.abs(F.col("h1") - F.col("h2")) <= bound) & (far <= bound)
+    window = (F.col("label1") < F.col("label2")) & F.expr("home1 or home2") & F.expr(alike) & (F.abs(F.col("h1") - F.col("h2")) <= bound) & (distance("sketch1", "sketch2") <= bound)
     near = one.join(two, (one.region == two.region) & window).select("key1", "key2")
 
-    parts = F.ceil(F.col("all") / block).cast("int")
-    many = members.where(F.col("all") > small).withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
-    many = many.select("region", "key", "n", "label", "sketch", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    many = many.select("region", "key", "n", "label", "sketch", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    many = members.where(F.col("all") > small)
+    width = many.groupBy("region").agg(F.max(widest("n", percent) + 1).alias("width"))
+    many = many.join(width, "region").withColumn("stripe", F.expr("cast(h div width as int)"))
+    sized = many.groupBy("region", "stripe").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    beside = sized.select("region", (F.col("stripe") - 1).alias("stripe"), F.col("blocks").alias("after")).join(sized, ["region", "stripe"], "right").select("region", "stripe", "blocks", F.coalesce("after", F.lit(0)).alias("after"))
+    beside = beside.join(sized.select("region", (F.col("stripe") + 1).alias("stripe"), F.col("blocks").alias("below")), ["region", "stripe"], "left").fillna(0, ["below"])
+    many = many.join(beside, ["region", "stripe"]).withColumn("part", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    # blocks (stripe, part) that a document's own block meets: those of its stripe, the next one's and the last one's; the lower is i
+    numbers = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<s:int,i:int,t:int,j:int>>"))
+    task = lambda s, i, t, j: F.struct(s.cast("int").alias("s"), i.cast("int").alias("i"), t.cast("int").alias("t"), j.cast("int").alias("j"))
+    stripe, part = F.col("stripe"), F.col("part")
+    tasks = F.concat(
+        numbers("blocks", lambda x: task(stripe, F.least(x, part), stripe, F.greatest(x, part))),
+        numbers("after", lambda x: task(stripe, part, stripe + 1, x)),
+        numbers("below", lambda x: task(stripe - 1, x, stripe, part)),
+    )
+    many = many.select("region", "key", "n", "h", "label", "home", "sketch", "stripe", "part", F.explode(tasks).alias("at")).select("region", "at.*", "key", "n", "h", "label", "home", "sketch", "stripe", "part")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        key, size, label, part, i, j = (t.column(c).to_numpy() for c in ("key", "n", "label", "part", "i", "j"))
+        key, size, label, home, h, stripe, part, s, i, u, j = (t.column(c).to_numpy() for c in ("key", "n", "label", "home", "h", "stripe", "part", "s", "i", "t", "j"))
         words = np.asarray(t.column("sketch").combine_chunks().flatten()).view(U64).reshape(len(key), -1).T.copy()
-        first = np.flatnonzero(part == i)
-        second = first if i[0] == j[0] else np.flatnonzero(part == j)
+        first = np.flatnonzero((stripe == s) & (part == i))
+        second = first if s[0] == u[0] and i[0] == j[0] else np.flatnonzero((stripe == u) & (part == j))
         out1, out2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in range(0, len(first), 64):
+        for k in range(0, len(first) if len(second) else 0, 64):
             a = first[k : k + 64]
             total = np.zeros((len(a), len(second)), np.uint16)
             for w in words:
                 total += np.bitwise_count(w[a][:, None] ^ w[second][None, :])
-            both = size[a][:, None] + size[second][None, :]
-            ok = (total <= (100 - percent) * both // (100 + percent)) & (label[a][:, None] != label[second][None, :])
+            bound = (100 - percent) * (size[a][:, None] + size[second][None, :]) // (100 + percent)
+            ok = (total <= bound) & (label[a][:, None] != label[second][None, :]) & (home[a][:, None] | home[second][None, :])
+            ok &= np.abs(h[a][:, None] - h[second][None, :]) <= bound
             ok &= 100 * np.minimum(size[a][:, None], size[second][None, :]) >= percent * np.maximum(size[a][:, None], size[second][None, :])
             if closest:
                 best = np.where(ok, total, 65535).argmin(axis=1)
@@ -109,17 +169,26 @@ def close_pairs(members: DataFrame, percent: int, closest: bool = False, small:
             out2.append(np.maximum(x, y))
         return pa.table({"key1": np.concatenate(out1), "key2": np.concatenate(out2)})
 
-    return near.select(F.least("key1", "key2").alias("key1"), F.greatest("key1", "key2").alias("key2")).unionByName(many.groupBy("region", "i", "j").applyInArrow(compare, "key1 long, key2 long"))
+    return near.select(F.least("key1", "key2").alias("key1"), F.greatest("key1", "key2").alias("key2")).unionByName(many.groupBy("region", "s", "i", "t", "j").applyInArrow(compare, "key1 long, key2 long"))
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144, least_frequent: int = 8, easy: int = 8192) -> DataFrame:
+def cells(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """pivot, key of placed(cell, key, early): each document but the pivot with the pivots of its cells; only cells with an early place link anything."""
+    shared = placed.groupBy("cell").agg(F.min("key").alias("pivot"), F.max("key").alias("z"), F.max("early").alias("early")).where("pivot < z and early").select("cell", "pivot")
+    shared = scratch.keep(shared, f"{name}-shared")
+    near = scratch.keep(placed.join(shared, "cell").where("key <> pivot").select("pivot", "key").distinct(), name)
+    scratch.drop(f"{name}-shared")
+    return near
+
+
+def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144, least_frequent: int = 8, easy: int = 64, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id that links reach. A null or empty text, or one of white space, has no shingle and links with nothing. Rows of one
     doc_id are one document. A null doc_id links with nothing and has a null component_id. Other columns
-    are ignored. `frequent` bounds the broadcast list of shingles that come last in prefixes; it changes
-    costs, not results. `easy`: regions whose open pairs are so many times their documents, or fewer, are compared without another pivot."""
+    are ignored. The rest changes costs, not results: `frequent` bounds the broadcast list of shingles that come last in prefixes;
+    where open pairs are more than `easy` times their documents, these form new cells; regions of more than `small` documents are cut by pivots."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -141,9 +210,10 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         return rows(shingle=values.view(np.int64), times=times)
 
     counted = on_texts(some, first_ones, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    often = counted.where(F.col("times") >= least_frequent).orderBy(F.desc("times"), "shingle").limit(frequent).toPandas()
-    by_hash = np.argsort(often["shingle"].to_numpy(np.int64), kind="stable")
-    late = spark.sparkContext.broadcast((often["shingle"].to_numpy(np.int64)[by_hash], (len(often) - by_hash).astype(np.int64)))  # rank: the most frequent last
+    often = counted.where(F.col("times") >= least_frequent).orderBy(F.desc("times"), "shingle").limit(frequent).toArrow()
+    listed, rank = np.asarray(often.column("shingle"), np.int64), np.arange(often.num_rows, 0, -1)  # rank: the most frequent last
+    by_hash = np.argsort(listed, kind="stable")
+    late = spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
 
     def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
         listed, rank = late.value
@@ -156,19 +226,18 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
                     if len(listed):
                         k = np.minimum(np.searchsorted(listed, s.view(np.int64)), len(listed) - 1)
                         place = np.where(listed[k] == s.view(np.int64), rank[k], 0)
-                    out[key] = (s[np.lexsort((s, place))][: prefix_length(len(s), percent)].view(np.int64), len(s))
+                    p = s[np.lexsort((s, place))][: prefix_length(len(s), percent)].view(np.int64)
+                    out[key] = (p, np.arange(len(p)) < early_length(len(s), percent))
         if not out:
             return None
-        each = [len(p) for p, _ in out.values()]
-        return rows(cell=np.concatenate([p for p, _ in out.values()]), key=np.repeat(np.array(list(out), np.int64), each), n=np.repeat(np.array([m for _, m in out.values()], np.int64), each))
+        p, early = zip(*out.values(), strict=True)
+        return rows(cell=np.concatenate(p), key=np.repeat(np.array(list(out), np.int64), list(map(len, p))), early=np.concatenate(early))
 
-    placed = on_texts(some, prefixes, "cell long, key long, n long").select("cell", "key")
-    shared = scratch.keep(placed.groupBy("cell").agg(F.min("key").alias("pivot"), F.max("key").alias("z")).where("pivot < z").select("cell", "pivot"), "shared")
     # a document lies in the region of each pivot that it shares a cell with; linked documents share a region
-    near = scratch.keep(placed.join(shared, "cell").where("key <> pivot").select("pivot", "key").distinct(), "near")
-    scratch.drop("shared")
+    near = cells(on_texts(some, prefixes, "cell long, key long, early boolean"), scratch, "near")
 
-    reps = members.where("n > 0 and doc_id is not null").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node"))
+    real = members.where("n > 0 and doc_id is not null")
+    reps = scratch.keep(real.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node")), "reps")
     inside = near.select("key").unionByName(near.select(F.col("pivot").alias("key"))).distinct()
     wanted = reps.join(inside, "key", "left_semi").select("key", "key2", F.col("node").alias("doc_id"))
 
@@ -190,7 +259,6 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     texts = some.hint("merge").join(wanted, "doc_id").mapInArrow(described, "key long, node long, n long, sketch array<long>, text string")
     texts = scratch.keep(texts, "texts")
     nodes = texts.select("key", "node", "n", "sketch")
-    far = F.aggregate(F.zip_with("s1", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     seventh = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")  # the largest symmetric difference of linked sets
 
@@ -198,7 +266,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         """pairs(key1, key2) with their nodes, sizes and the distance of their sketches."""
         of = lambda k: nodes.select(F.col("key").alias(f"key{k}"), F.col("node").alias(f"node{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         got = pairs.join(of(1), "key1").join(of(2), "key2").where("node1 <> node2")
-        return scratch.keep(got.select("key1", "key2", "node1", "node2", "n1", "n2", far.alias("h")), name)
+        return scratch.keep(got.select("key1", "key2", "node1", "node2", "n1", "n2", distance("s1", "s2").alias("h")), name)
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Of measured pairs those that link, as edges (a, b) between nodes."""
@@ -226,47 +294,69 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         return scratch.keep(checked.mapInArrow(exact, "a long, b long"), name)
 
     # rows of one doc_id with different texts: their classes belong together
-    same = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"]).select("doc_id", "node")
-    several = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z")
-    edges = scratch.keep(same.join(several, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "same")
+    ids = real.groupBy("doc_id").agg(F.min(F.struct("key", "key2", "n")).alias("x"), F.max(F.struct("key", "key2", "n")).alias("y")).where("x <> y").select("doc_id")
+    same = scratch.keep(real.join(ids, "doc_id").join(reps, ["key", "key2", "n"]).select("doc_id", "node"), "several")
+    least = same.groupBy("doc_id").agg(F.min("node").alias("b"))
+    tree = scratch.keep(same.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "same")
 
-    pairs = measured(near.select(F.col("pivot").alias("key1"), F.col("key").alias("key2")), "pairs")
-    regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
     def named(tree: DataFrame) -> DataFrame:
         """Each key's component as far as it is known: its node's, or the node itself."""
         return nodes.select("key", "node").join(labels(tree), "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("label"))
 
-    tree, k = edges, 0
-    while True:
-        tree = forest(tree.unionByName(linked(pairs, f"links-{k}")), scratch, f"tree-{k}", most=2)
-        state = scratch.keep(regions.join(named(tree), "key"), f"state-{k}")
-        parts = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
-        open_ = parts.groupBy("region").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max_by("label", "size").alias("largest")).where("all * all > within")
-        open_ = scratch.keep(open_, f"open-{k}")
-        left, size = open_.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
-        if not left:
-            break
-        inner = state.join(open_.select("region", "largest"), "region")
-        if left <= easy * size:
-            sized = inner.join(open_.select("region", "all"), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
-            if (open_.agg(F.max("all")).first()[0] or 0) > SMALL:
-                # large regions first give each document's closest partners alone: what these connect needs no other pair
-                sized = scratch.keep(sized, "sized")
-                some = measured(close_pairs(sized.where(F.col("all") > SMALL), percent, closest=True).distinct(), "some")
-                tree = forest(tree.unionByName(linked(some, "links-some")), scratch, "tree-some", most=2)
-                sized = sized.drop("label").join(named(tree), "key")
-            rest = measured(close_pairs(sized, percent).distinct(), "rest")
-            tree = tree.unionByName(linked(rest, "links-rest"))
+    def starred(near: DataFrame, tree: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The tree with what pivots link, and the open regions' members(region, key, n, h, label, sketch, all, within, home)."""
+        pairs = measured(near.select(F.col("pivot").alias("key1"), F.col("key").alias("key2")), f"pairs-{name}")
+        tree = forest(tree.unionByName(linked(pairs, f"links-{name}")), scratch, f"tree-{name}", most=2)
+        regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
+        state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}")
+        inner = state.join(still_open(state), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
+        return tree, scratch.keep(inner, f"open-{name}")
+
+    tree, inner = starred(near, tree, "first")
+    left, size = inner.groupBy("region").agg(F.first("all").alias("all"), F.first("within").alias("within")).agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
+    if left and left > easy * size:
+
+        def shingles(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = sets(b.column("text"), n)
+            return rows(key=np.repeat(np.asarray(b.column("key"), np.int64), list(map(len, found))), n=np.repeat(np.array(list(map(len, found))), list(map(len, found))), shingle=np.concatenate(found).view(np.int64))
+
+        every = on_texts(texts.join(inner.select("key").distinct(), "key", "left_semi").select("key", "text"), shingles, "key long, n long, shingle long").dropDuplicates(["key", "shingle"])
+        shared = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        # rarest first; shingles of one document alone come before all others
+        ordered = every.join(shared, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("order"))
+        alone = F.col("n") - F.size("order")
+        placed = ordered.select("key", "n", alone.alias("alone"), F.posexplode("order").alias("pos", "s")).withColumn("pos", F.col("pos") + F.col("alone"))
+        longest, early = (F.expr(e) for e in (f"n - (n * {percent} + 99) div 100 + 1", f"n - (2 * n * {percent} + 99 + {percent}) div {100 + percent} + 1"))
+        placed = placed.where(F.col("pos") < longest).select(F.col("s.shingle").alias("cell"), "key", (F.col("pos") < early).alias("early"))
+        again = cells(placed, scratch, "again")
+        tree, inner = starred(again, tree, "again")
+
+    for level in range(CUTS):
+        large = inner.where(F.col("all") > small)
+        if level:
+            large = large.where(F.col("all") < SHRUNK * F.col("before"))
+        if large.isEmpty():
             break
-        # another pivot for each open region, from what isn't in its largest component; it meets all others there, then leaves
-        pivots = inner.where("label <> largest").groupBy("region").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("t"), "key", "label")).alias("p"))
-        again = scratch.keep(inner.join(pivots, "region").where("key <> p.key").select("region", "key", "n", "h", "label", F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label")), f"again-{k}")
-        k += 1
-        pairs = measured(again.where("label <> pivot_label").select(F.col("pivot").alias("key1"), F.col("key").alias("key2")).distinct(), f"pairs-{k}")
-        regions = again.select("region", "key", "n", "h")
+        rest = inner.where(F.col("all") <= small) if not level else inner.where((F.col("all") <= small) | (F.col("all") >= SHRUNK * F.col("before")))
+        cut = scratch.keep(divided(large, percent, level), f"cut-{level}")
+        cut = cut.join(still_open(cut), "region")
+        inner = scratch.keep(cut.unionByName(rest.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
+    if not inner.isEmpty():
+        if not inner.where(F.col("all") > small).isEmpty():
+            # large regions first give each document's closest partners alone: what these connect needs no other pair
+            some_pairs = measured(close_pairs(inner.where(F.col("all") > small), percent, closest=True, small=small).distinct(), "some")
+            tree = forest(tree.unionByName(linked(some_pairs, "links-some")), scratch, "tree-some", most=2)
+            inner = inner.drop("label").join(named(tree), "key")
+        others = measured(close_pairs(inner, percent, small=small).distinct(), "rest")
+        tree = tree.unionByName(linked(others, "links-rest"))
 
     final = labels(forest(tree, scratch, "final"))
     # all that the result doesn't read any more
-    scratch.drop("near", "texts", "same", "rest", "links-rest", "sized", "some", "links-some", "tree-some-1", *(f"{t}-{i}" for t in ("links", "state", "open", "again", "pairs", "tree") for i in range(k + 1)), "pairs", *(f"tree-{i}-1" for i in range(k + 1)))
-    out = members.join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id"))
+    scratch.drop("near", "again", "texts", "several", "same", *(f"{t}-{i}" for t in ("links", "state", "open", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner") for i in range(CUTS)))
+    out = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
+    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id")), "out")
+    # rows without shingles or an id meet no others here; other rows of an id still tell its component
+    alone = members.where("doc_id is not null and n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    alone = alone.join(out.groupBy("doc_id").agg(F.min("component_id").alias("c")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    nameless = members.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(alone).unionByName(nameless)
