@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,34 +32,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for tables that outlive executors; where it names none, the warehouse, or on a single machine a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tomehall-scratch"
+    if spark.sparkContext.applicationId not in _own:
+        _own[spark.sparkContext.applicationId] = folder = tempfile.mkdtemp(prefix="tomehall-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _own[spark.sparkContext.applicationId]
+
+
+_own: dict[str, str] = {}
+_lock, _writers, _before = threading.Lock(), 0, {}
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession):
+    """WRITING while any scratch table is written; the last writer puts back what was set before the first."""
+    global _writers
+    with _lock:
+        if not _writers:
+            _before.update({k: spark.conf.get(k, None) for k in WRITING})
+        _writers += 1
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            for k, v in _before.items() if not _writers else ():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
-    """Tables written to the folder that driver and executors share, so that later stages outlive a lost executor."""
+    """Tables written to the folder that driver and executors share, so that later stages outlive a lost executor. What a result reads goes when Python ends."""
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="tomehall-")  # only without a cluster's setting, as in tests
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self.end)
 
     def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Writes the table, in a folder for each value of `by`, and reads it back; frees the shuffle files that it needed."""
         path = f"{self.root}/{name}"
-        before = {k: self.spark.conf.get(k, None) for k in WRITING}
-        for k, v in WRITING.items():
-            self.spark.conf.set(k, v)
-        try:
-            out = df.write.option("compression", "zstd")
+        out = df.write.option("compression", "zstd")
+        with writing(self.spark):
             (out.partitionBy(by) if by else out).parquet(path)
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def end(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 

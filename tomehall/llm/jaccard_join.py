@@ -309,7 +309,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         tree = forest(tree.unionByName(linked(pairs, f"links-{name}")), scratch, f"tree-{name}", most=2)
         regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
         state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}")
-        inner = state.join(still_open(state), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
+        inner = state.join(scratch.keep(still_open(state), f"wide-{name}"), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
         return tree, scratch.keep(inner, f"open-{name}")
 
     tree, inner = starred(near, tree, "first")
@@ -339,7 +339,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             break
         rest = inner.where(F.col("all") <= small) if not level else inner.where((F.col("all") <= small) | (F.col("all") >= SHRUNK * F.col("before")))
         cut = scratch.keep(divided(large, percent, level), f"cut-{level}")
-        cut = cut.join(still_open(cut), "region")
+        cut = cut.join(scratch.keep(still_open(cut), f"wide-{level}"), "region")
         inner = scratch.keep(cut.unionByName(rest.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
     if not inner.isEmpty():
         if not inner.where(F.col("all") > small).isEmpty():
@@ -352,7 +352,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
 
     final = labels(forest(tree, scratch, "final"))
     # all that the result doesn't read any more
-    scratch.drop("near", "again", "texts", "several", "same", *(f"{t}-{i}" for t in ("links", "state", "open", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner") for i in range(CUTS)))
+    scratch.drop("near", "again", "texts", "several", "same", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
     out = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id")), "out")
     # rows without shingles or an id meet no others here; other rows of an id still tell its component
