@@ -174,7 +174,7 @@ def test_tools(engine):
 
 
 @pytest.mark.parametrize("bad", ['"open', "(a", "a)", "AND a", "nofield:x", "/re/", "title:*"])
-def test_syntax_errors(bad):
+def test_syntax_errors(spark, bad):
     from tomehall.plans.grammar import parse
 
     with pytest.raises(QuerySyntax):

@@ -75,10 +75,31 @@ def test_identifiers(spark):
 
 @settings(max_examples=50, deadline=None)
 @given(st.text(max_size=20))
-def test_slug_is_path_safe(t):
+def test_slug_is_path_safe(spark, t):
     assert "/" not in text.slugify(t) and ".." not in text.slugify(t) and not text.slugify(t).startswith("-")
 
 
+SCRIPTS = ["हिन्दी भाषा", "ภาษาไทย", "العربيّة", "עִבְרִית", "e\u0301te", "İstanbul ΑΣ", "²x ½", "a_b-c", "日本語 テキスト", "ǅ ﬁn", "x\u200dy", "𝟘a 𐐀"]
+
+
+@pytest.mark.parametrize("t", SCRIPTS)
+def test_driver_and_columns_agree(spark, t):
+    """One analyser: queries, names and slugs are cut as documents are."""
+    from tomehall.plans.grammar import analysed
+
+    cut = [tuple(r) for r in column(spark, [t], text.tokens)[0]]
+    assert list(text.token_list(t)) == cut and text.slugify(t) == column(spark, [t], text.slug)[0]
+    leaf = analysed("content", t)
+    assert leaf is None or list(leaf.terms) == [x for _, x in cut]
+    for w in t.split():
+        try:
+            validate.identifier(w, "tag")
+            valid = True
+        except InvalidInput:
+            valid = False
+        assert column(spark, [w], validate.is_identifier) == [valid]
+
+
 def test_config(tmp_path, monkeypatch):
     assert config.expand_tilde("~") == "~" and config.expand_tilde("/a") == "/a" and config.expand_tilde("~/a").endswith("/a")
     monkeypatch.setenv(config.ENV, str(tmp_path / "c.toml"))

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from .functions.text import file_stem, parse_tags, quantised_length, slug, tokens, trimmed
 from .functions.validate import is_identifier
-from .operators.index import build, postings
+from .operators.index import Index, build, load, save
 from .operators.literal import last_wins, literal_search
 from .operators.ranked import fuzzy, scored
 from .plans.grammar import named_terms, parse
 from .plans.search import literal_plan, merged, ranked_plan
 from .sources import tables
+from .store import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-FILES = """files AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS corpus_ord, doc_id AS doc_ord,
- source || '/' || doc_id || '.md' AS path, source AS category, text AS content, lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')),
+FILES = """files AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 ELSE 4 END AS corpus_ord, doc_id AS doc_ord,
+ source || '/' || doc_id || '.md' AS path, source AS category, text AS content, coalesce(lang, 'unknown') AS lang FROM documents),
 listed AS (SELECT f.corpus_ord, f.doc_ord, f.path, substr(trim(split_part(f.content, chr(10), 1), ' ' || chr(9) || chr(13)), 1, 60) AS title, f.category, f.content,
  f.lang || ', quality-' || l.quality || ', toxic-' || l.toxic AS tags FROM files f JOIN labels l ON l.doc_id = f.doc_ord)"""
 
@@ -155,6 +156,18 @@ def get_document(spark, d):
 
 # ---- index
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, d) -> Index:
+    """The stored index of the listed documents, written at the first query of a session that reads it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        path = scratch(spark, "index")
+        save(build(tables.documents(spark, d)), path)
+        _indexes[key] = path
+    return load(spark, _indexes[key])
+
 
 @query(f"WITH {FILES}, {TOKENS} SELECT term, count(*) AS times FROM tok WHERE field = 'content' GROUP BY ALL")
 def tokens_vocab(spark, d):
@@ -163,30 +176,29 @@ def tokens_vocab(spark, d):
 
 @query(f"WITH {FILES}, {TOKENS} SELECT corpus_ord, doc_ord, field, term, count(*) AS tf, array_to_string(list(pos ORDER BY pos), ',') AS places FROM tok GROUP BY ALL")
 def index_postings(spark, d):
-    return postings(tables.documents(spark, d)).select("corpus_ord", "doc_ord", "field", "term", "tf", F.array_join("positions", ",").alias("places"))
+    return stored(spark, d).postings.select("corpus_ord", "doc_ord", "field", "term", "tf", F.array_join("positions", ",").alias("places"))
 
 
 @query(f"WITH {FILES}, {TOKENS} SELECT * FROM terms")
 def index_terms(spark, d):
-    return build(tables.documents(spark, d)).terms
+    return stored(spark, d).terms.drop("bucket")
 
 
 @query(f"WITH {FILES}, {TOKENS} SELECT corpus_ord, field, n_docs, total FROM stats")
 def index_stats(spark, d):
-    return build(tables.documents(spark, d)).stats
+    return stored(spark, d).stats
 
 
 @query(f"WITH {FILES}, {TOKENS} SELECT DISTINCT length, CAST({STEPPED} AS DOUBLE) AS stepped FROM lens")
 def fieldnorm(spark, d):
-    return postings(tables.documents(spark, d)).select("length", quantised_length(F.col("length")).alias("stepped")).distinct()
+    return stored(spark, d).postings.select("length", quantised_length(F.col("length")).alias("stepped")).distinct()
 
 
 # ---- ranked
 
 
 def ranked(spark, d, text: str, category: str | None = None) -> DataFrame:
-    tree = parse(text)
-    found = scored(build(tables.documents(spark, d), named_terms(tree)), tree, category)
+    found = scored(stored(spark, d), parse(text), category)
     return found.select("corpus_ord", "doc_ord", F.round("score", 6).alias("score"))
 
 
@@ -297,15 +309,14 @@ def bm25_category(spark, d):
 
 @query(f"SELECT path, score FROM ({ranked_sql(both(0, 'de') + both(1, 'in'), 'true')}) JOIN (SELECT doc_id AS doc_ord, source || '/' || doc_id || '.md' AS path FROM documents) USING (doc_ord) ORDER BY score DESC, corpus_ord, doc_ord LIMIT 10")
 def bm25_multi_corpus_topk(spark, d):
-    index = build(tables.documents(spark, d), ["de", "in"])
-    return merged([ranked_plan(index, "de in", limit=10).withColumn("score", F.round("score", 6))], 10).select("path", "score")
+    return merged([ranked_plan(stored(spark, d), "de in", limit=10).withColumn("score", F.round("score", 6))], 10).select("path", "score")
 
 
 # ---- fuzzy
 
 
 def near(spark, d, text: str, distance: int, category: str | None = None) -> DataFrame:
-    return fuzzy(build(tables.documents(spark, d)), text, distance, category).select("corpus_ord", "doc_ord", F.round("score", 6).alias("score"))
+    return fuzzy(stored(spark, d), text, distance, category).select("corpus_ord", "doc_ord", F.round("score", 6).alias("score"))
 
 
 def fuzzy_sql(test: str, score: str = "sum(s)", docs: str = "") -> str:
@@ -349,7 +360,8 @@ SELECT corpus_ord, path, line_number, score FROM mixed ORDER BY score DESC NULLS
 def auto_mixed(spark, d):
     """The first corpus has an index, the others don't."""
     files, docs = tables.files(spark, d), tables.documents(spark, d)
-    parts = [ranked_plan(build(docs.where("corpus_ord = 0"), ["ertion"]), "ertion", limit=20).withColumn("score", F.round("score", 6)), literal_plan(files.where("corpus_ord > 0"), docs.drop("content"), "ertion", limit=20)]
+    tree = parse("ertion")
+    parts = [ranked_plan(build(docs.where("corpus_ord = 0"), named_terms(tree)), "ertion", limit=20).withColumn("score", F.round("score", 6)), literal_plan(files.where("corpus_ord > 0"), docs.drop("content"), "ertion", limit=20)]
     return merged(parts, 20).select("corpus_ord", "path", "line_number", "score")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 LONGEST_TOKEN = 40
@@ -68,9 +68,25 @@ def within(word: str, c: Column, distance: int) -> Column:
 # ---- on the driver
 
 
+def value(c: Column):
+    """A column of literals, worked out by the session: what plans give, whatever Python's own tables of characters hold."""
+    return SparkSession.active().sql("SELECT 1").select(c.alias("x")).first()[0]
+
+
 def parse_tag_list(text: str | None) -> list[str]:
     return [t for t in (p.strip() for p in (text or "").split(",")) if t]
 
 
 def slugify(title: str) -> str:
-    return "-".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in title.lower()).split())
+    return value(slug(F.lit(title)))
+
+
+@lru_cache(4096)
+def token_list(text: str) -> tuple[tuple[int, str], ...]:
+    """What tokens() gives."""
+    return tuple((t["pos"], t["term"]) for t in value(tokens(F.lit(text))))
+
+
+@lru_cache(4096)
+def lowered(text: str) -> str:
+    return value(F.lower(F.lit(text)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import InvalidInput
+from .text import trimmed, value
 
 LONGEST_NAME, LONGEST_QUERY, FARTHEST = 200, 1000, 2
 
@@ -16,13 +17,29 @@ def is_identifier(c: Column) -> Column:
     return (F.octet_length(c) <= LONGEST_NAME) & c.rlike(r"\A[\p{IsAlphabetic}\p{N}][\p{IsAlphabetic}\p{N}_-]*\z")
 
 
+def is_title(c: Column) -> Column:
+    return F.octet_length(c).between(1, LONGEST_NAME)
+
+
+def is_literal_query(c: Column) -> Column:
+    return (F.octet_length(c) <= LONGEST_QUERY) & ~F.contains(c, F.lit("\0"))
+
+
+def is_filled(c: Column) -> Column:
+    return F.length(trimmed(c)) > 0
+
+
+def is_inside(c: Column) -> Column:
+    """A relative path without a step up; links are for contained() to follow."""
+    return (c != "") & ~F.startswith(c, F.lit("/")) & ~F.array_contains(F.split(c, "/", -1), "..")
+
+
 def identifier(name: str, what: str) -> None:
-    letter = lambda x: x.isalpha() or x.isnumeric()
     if not name:
         raise InvalidInput(f"{what} can't be empty")
     if len(name.encode()) > LONGEST_NAME:
         raise InvalidInput(f"{what} is longer than {LONGEST_NAME} bytes")
-    if not letter(name[0]) or not all(letter(x) or x in "-_" for x in name):
+    if not value(is_identifier(F.lit(name))):
         raise InvalidInput(f"{what} {name!r} must start with a letter or digit and hold letters, digits, hyphens and underscores only")
 
 

@@ -4,30 +4,38 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import quantised_length, tokens
 
 FIELDS = ("title", "content")
-BUCKETS = 64
+#: Bytes of text for each bucket of terms, the most buckets, and documents whose postings of one term a task writes at most.
+BUCKET_BYTES, MOST_BUCKETS, SALTED = 16_000_000, 1024, 2_000_000
 SCHEMAS = {
     "docs": "corpus_ord int, doc_ord long, path string, title string, category string, tags array<string>",
     "postings": "corpus_ord int, doc_ord long, field string, term string, length long, tf long, positions array<int>, bucket int",
     "terms": "corpus_ord int, field string, term string, df long, bucket int",
     "stats": "corpus_ord int, field string, n_docs long, total long",
+    "meta": "buckets int",
 }
 
 
 @dataclass
 class Index:
     """docs(corpus_ord, doc_ord, path, title, category, tags), postings(corpus_ord, field, term, doc_ord, tf, positions, length),
-    terms(corpus_ord, field, term, df), stats(corpus_ord, field, n_docs, total)."""
+    terms(corpus_ord, field, term, df), stats(corpus_ord, field, n_docs, total). A stored one has postings and terms by bucket of the term."""
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    documents: DataFrame | None = None
+    buckets: int | None = None
+
+
+def bucket(c: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(c), F.lit(buckets))
 
 
 def postings(documents: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -50,22 +58,32 @@ def build(documents: DataFrame, terms: list[str] | None = None) -> Index:
     terms = post.groupBy("corpus_ord", "field", "term").agg(F.count(F.lit(1)).alias("df"))
     sizes = [documents.select("corpus_ord", F.lit(f).alias("field"), F.size(tokens(F.coalesce(F.col(f), F.lit("")))).cast("long").alias("length")) for f in FIELDS]
     stats = sizes[0].unionByName(sizes[1]).groupBy("corpus_ord", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("total"))
-    return Index(documents.select("corpus_ord", "doc_ord", "path", "title", "category", "tags"), post, terms, stats)
-
-
-def with_buckets(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS)))
+    return Index(documents.select("corpus_ord", "doc_ord", "path", "title", "category", "tags"), post, terms, stats, documents)
 
 
 def save(index: Index, path: str) -> None:
-    """Writes the tables; postings and terms by bucket of the term, so that a query reads its terms' buckets only."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    with_buckets(index.postings).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Writes the tables of an index that build() gave. Documents are cut into tokens once; statistics come from the written postings.
+
+    Postings and terms lie by bucket of the term, so that a query reads its terms' buckets only. There are more buckets for more text, and a bucket is
+    written by more tasks for more documents, so that no task writes a frequent term alone."""
     spark = index.docs.sparkSession
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    n, size = index.documents.agg(F.count(F.lit(1)), F.sum(F.octet_length("content"))).first()
+    buckets = max(8, min(MOST_BUCKETS, -(-(size or 0) // BUCKET_BYTES)))
+    salts = -(-max(1, n) // SALTED)
+    placed = index.postings.withColumn("bucket", bucket(F.col("term"), buckets))
+    salted = placed.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("doc_ord"), F.lit(salts)))
+    salted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     post = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
-    with_buckets(post.groupBy("corpus_ord", "field", "term").agg(F.count(F.lit(1)).alias("df"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    terms = post.groupBy("corpus_ord", "field", "term", "bucket").agg(F.count(F.lit(1)).alias("df")).select("corpus_ord", "field", "term", "df", "bucket")
+    terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    sizes = index.docs.groupBy("corpus_ord").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("field", F.explode(F.array(*map(F.lit, FIELDS))))
+    totals = post.groupBy("corpus_ord", "field").agg(F.sum("tf").alias("total"))
+    stats = sizes.join(totals, ["corpus_ord", "field"], "left").select("corpus_ord", "field", "n_docs", F.coalesce("total", F.lit(0)).alias("total"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    spark.createDataFrame([(buckets,)], SCHEMAS["meta"]).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.schema(s).parquet(f"{path}/{t}") for t, s in SCHEMAS.items()))
+    docs, post, terms, stats, meta = (spark.read.schema(s).parquet(f"{path}/{t}") for t, s in SCHEMAS.items())
+    return Index(docs, post, terms, stats, buckets=meta.first()[0])

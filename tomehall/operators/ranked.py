@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import quantised_length, within
+from ..functions.text import quantised_length, value, within
 from ..plans.grammar import RAW_FIELDS, Leaf, Node, leaves
-from .index import BUCKETS, FIELDS, Index
+from .index import FIELDS, Index, bucket
 
 K1, B = 1.2, 0.75
 
@@ -22,13 +22,11 @@ def bm25(weight: Column, tf: Column, length: Column, average: Column) -> Column:
     return weight * (K1 + 1) * tf / (tf + K1 * (1 - B + B * quantised_length(length) / average))
 
 
-def only(df: DataFrame, terms: list[str]) -> DataFrame:
+def only(index: Index, df: DataFrame, terms: list[str]) -> DataFrame:
     """Rows of the terms; on a stored index their buckets alone are read."""
     out = df.where(F.col("term").isin(terms))
-    if "bucket" in df.columns:
-        spark = df.sparkSession
-        buckets = spark.range(1).select(*(F.pmod(F.hash(F.lit(t)), F.lit(BUCKETS)).alias(f"b{i}") for i, t in enumerate(terms))).first()
-        out = out.where(F.col("bucket").isin(sorted(set(buckets))))
+    if index.buckets:
+        out = out.where(F.col("bucket").isin(sorted(set(value(F.array(*(bucket(F.lit(t), index.buckets) for t in terms)))))))
     return out
 
 
@@ -36,14 +34,14 @@ def weights(index: Index, leaf_terms: list[tuple[int, str, str]]) -> DataFrame:
     """corpus_ord, leaf, field, term, weight, average for the terms of a query: a few rows for each corpus."""
     spark = index.docs.sparkSession
     asked = spark.createDataFrame(leaf_terms, "leaf int, field string, term string")
-    found = only(index.terms, sorted({t for _, _, t in leaf_terms})).join(F.broadcast(asked), ["field", "term"])
+    found = only(index, index.terms, sorted({t for _, _, t in leaf_terms})).join(F.broadcast(asked), ["field", "term"])
     sized = index.stats.select("corpus_ord", "field", "n_docs", (F.col("total") / F.col("n_docs")).alias("average"))
     return found.join(F.broadcast(sized), ["corpus_ord", "field"]).select("corpus_ord", "leaf", "field", "term", idf(F.col("n_docs"), F.col("df")).alias("weight"), "average")
 
 
 def term_hits(index: Index, wanted: list[tuple[int, str, str]]) -> DataFrame:
     w = weights(index, wanted)
-    post = only(index.postings, sorted({t for _, _, t in wanted}))
+    post = only(index, index.postings, sorted({t for _, _, t in wanted}))
     hits = post.join(F.broadcast(w), ["corpus_ord", "field", "term"])
     return hits.select("corpus_ord", "doc_ord", "leaf", bm25(F.col("weight"), F.col("tf"), F.col("length"), F.col("average")).alias("s"))
 
@@ -68,10 +66,19 @@ def in_range(c: Column, leaf: Leaf) -> Column:
     return test
 
 
-def constant_hits(index: Index, leaf_no: int, field: str, test: Column) -> DataFrame:
-    """Documents with a term that passes a test of the vocabulary, which is tested once for each of its terms; score 1."""
-    vocabulary = index.terms.where((F.col("field") == field) & test).select("corpus_ord", "field", "term")
-    hits = index.postings.where(F.col("field") == field).join(vocabulary, ["corpus_ord", "field", "term"], "left_semi")
+def among(index: Index, vocabulary: DataFrame, *columns: str) -> DataFrame:
+    """Postings of some terms(corpus_ord, field, term) with further columns of theirs; on a stored index the buckets that those don't lie in are pruned as the plan runs."""
+    keys = ["corpus_ord", "field", "term"] + (["bucket"] if index.buckets else [])
+    return index.postings.join(vocabulary.select(*keys, *columns), keys)
+
+
+def constant_hits(index: Index, leaf_no: int, leaf: Leaf) -> DataFrame:
+    """Documents with a term of a set or a range, which is tested once for each term of the vocabulary; score 1."""
+    named = F.col("field") == leaf.field
+    if leaf.kind == "set":
+        hits = only(index, index.postings.where(named), list(leaf.terms))
+    else:
+        hits = among(index, index.terms.where(named & in_range(F.col("term"), leaf)))
     return hits.select("corpus_ord", "doc_ord").distinct().select("corpus_ord", "doc_ord", F.lit(leaf_no).alias("leaf"), F.lit(1.0).alias("s"))
 
 
@@ -84,7 +91,7 @@ def phrase_hits(index: Index, leaf_no: int, leaf: Leaf) -> DataFrame:
         test |= F.col("term").startswith(leaf.terms[-1])
     post = index.postings.where(named & test)
     if not leaf.prefix:
-        post = only(post, list(stated))
+        post = only(index, post, list(stated))
     places = lambda i: F.flatten(F.transform(F.filter("found", lambda x: x["term"].startswith(leaf.terms[i]) if leaf.prefix and i == len(leaf.terms) - 1 else x["term"] == leaf.terms[i]), lambda x: x["positions"]))
     grouped = post.groupBy("corpus_ord", "doc_ord", "length").agg(F.collect_list(F.struct("term", "positions")).alias("found"))  # a row for each different term of the phrase at most
     grouped = grouped.select("corpus_ord", "doc_ord", "length", *(places(i).alias(f"p{i}") for i in range(len(leaf.terms))))
@@ -95,7 +102,7 @@ def phrase_hits(index: Index, leaf_no: int, leaf: Leaf) -> DataFrame:
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
     counted = grouped.withColumn("tf", F.size(F.filter("p0", follows))).where("tf > 0")
-    terms = index.terms.where(named & test)
+    terms = index.terms.where(named & test) if leaf.prefix else only(index, index.terms.where(named), list(stated))
     sized = index.stats.where(named).select("corpus_ord", "n_docs", (F.col("total") / F.col("n_docs")).alias("average"))
     summed = terms.join(F.broadcast(sized), "corpus_ord").groupBy("corpus_ord", "average").agg(F.sum(idf(F.col("n_docs"), F.col("df"))).alias("weight"))
     hits = counted.join(F.broadcast(summed), "corpus_ord")
@@ -134,7 +141,7 @@ def scored(index: Index, node: Node, category: str | None = None) -> DataFrame:
         elif leaf.kind == "phrase":
             hits.append(phrase_hits(index, i, leaf))
         else:
-            hits.append(constant_hits(index, i, leaf.field, F.col("term").isin(list(leaf.terms)) if leaf.kind == "set" else in_range(F.col("term"), leaf)))
+            hits.append(constant_hits(index, i, leaf))
     if terms:
         hits.append(term_hits(index, terms))
     if not hits:
@@ -147,12 +154,11 @@ def scored(index: Index, node: Node, category: str | None = None) -> DataFrame:
 
 def fuzzy(index: Index, query: str, distance: int, category: str | None = None) -> DataFrame:
     """corpus_ord, doc_ord, score: one for each word and field with a term within the distance. Words are split at white space and left as they are."""
-    hits = None
-    for i, word in enumerate(query.split()):
-        for field in FIELDS:
-            one = constant_hits(index, i, field, within(word, F.col("term"), distance))
-            hits = one if hits is None else hits.unionByName(one)
-    out = hits.groupBy("corpus_ord", "doc_ord").agg(F.sum("s").alias("score"))
+    # the vocabulary once for all words and fields, then postings of what is near
+    words = F.filter(F.array(*(F.when(within(w, F.col("term"), distance), F.lit(i)) for i, w in enumerate(query.split()))), lambda x: x.isNotNull())
+    near = index.terms.withColumn("words", words).where(F.size("words") > 0)
+    hits = among(index, near, "words").select("corpus_ord", "doc_ord", "field", F.explode("words").alias("word")).distinct()
+    out = hits.groupBy("corpus_ord", "doc_ord").agg(F.sum(F.lit(1.0)).alias("score"))
     if category is not None:
         only_these = raw_hits(index, 0, Leaf("term", "category", (category,)))
         out = out.join(only_these.select("corpus_ord", "doc_ord", F.col("s").alias("c")), ["corpus_ord", "doc_ord"]).select("corpus_ord", "doc_ord", (F.col("score") + F.col("c")).alias("score"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import os
+import re
+import shutil
 import tempfile
+import uuid
 from dataclasses import asdict
 from typing import Protocol
 
+from pyspark.sql import SparkSession
+
 from .functions.validate import contained
 from .model import Document, Manifest, ManifestInvalid, ManifestNotFound, NotFound
 
@@ -63,6 +70,42 @@ def replace_file(path: str, content: str) -> None:
         raise
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for tables that outlive executors; where it names none, the warehouse, or on a single machine a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tomehall-scratch"
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tomehall-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when Python ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def end():
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            remove(spark, path)
+
+    atexit.register(end)
+    return path
+
+
 class LocalStorage:
     """A folder with manifest.json and text files."""
 
