@@ -62,6 +62,56 @@ def test_what_is_scanned(spark, tmp_path):
         engine.get("orphan.md")
 
 
+def test_ignore_files_and_underscores(spark, tmp_path):
+    root = tmp_path / "c"
+    corpus(root, {"_notes/_draft.md": ("Draft", "n", [], "needle in a draft")})
+    for name in ("keep.md", "a.log", "sub/b.log", "sub/keep.log", "build/x.md", "sub/build/y.md", "deep/q/z.md", "_top.md", "sub/_in.txt", "_gone/x.md", "git.tmp"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("needle")
+    (root / ".ignore").write_text("# logs\n*.log\n!keep.log\n/build/\ndeep/**/z.md\n_gone/\n")
+    (root / ".gitignore").write_text("*.tmp\n")
+    (root / "sub/.ignore").write_text("build\n")
+    found = lambda: sorted(r["path"][len(str(root)) + 1 :] for r in Engine(spark, Config([str(root)])).search("needle", limit=None).collect())
+    kept = ["_notes/_draft.md", "_top.md", "git.tmp", "keep.md", "sub/_in.txt", "sub/keep.log"]
+    assert found() == kept
+    (root / ".git").mkdir()
+    assert found() == [x for x in kept if x != "git.tmp"]
+    engine = Engine(spark, Config([str(root)]))
+    heard = []
+    assert engine.index_all(heard.append) == 1 and heard == [str(root)]
+    assert titles(engine.search("draft", backend=Backend.RANKED)) == ["Draft"]
+
+
+def test_snapshots_and_other_file_systems(spark, tmp_path, engine):
+    import os
+
+    root = engine.config.roots[0]
+    engine.index_all()
+    open_search = engine.search("lambda", backend=Backend.RANKED)
+    engine.index_all()
+    assert titles(open_search) == ["Lambda Patterns"]  # planned on the snapshot before
+    engine.index_all()
+    assert sum(n.startswith("v") for n in os.listdir(os.path.join(root, ".index"))) == 2
+    with pytest.raises(TomehallError, match="file systems"):
+        Engine(spark, Config(["s3a://bucket/corpus"])).search("x")
+
+
+def test_fuzzy_reads_its_buckets(spark, tmp_path):
+    """A stored index prunes the buckets of fuzzy words, ranges and sets."""
+    from tomehall.operators.index import build, load, save
+    from tomehall.operators.ranked import fuzzy, scored
+    from tomehall.plans.grammar import parse
+
+    docs = spark.createDataFrame([(0, i, f"p{i}", f"title w{i}", "c", ["t"], f"word w{i} x{i % 7} " * 3) for i in range(300)], "corpus_ord int, doc_ord long, path string, title string, category string, tags array<string>, content string")
+    save(build(docs), str(tmp_path / "i"))
+    index = load(spark, str(tmp_path / "i"))
+    assert index.buckets == 8
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan(fuzzy(index, "w12", 1)) and "dynamicpruning" in plan(scored(index, parse("content:[w1 TO w12]")))
+    assert "bucket" in plan(scored(index, parse("content: IN [w1 w2]"))).split("PartitionFilters")[1][:200]
+    assert fuzzy(index, "w12", 1).count() == fuzzy(build(docs), "w12", 1).count() > 10
+
+
 def test_ranked_routing_and_staleness(engine):
     with pytest.raises(TomehallError, match="index"):
         engine.search("lambda", backend=Backend.RANKED)
@@ -170,6 +220,11 @@ def test_tools(engine):
     out = io.StringIO()
     tools.serve(engine, io.StringIO('{"id":1,"method":"initialize"}\n{"method":"notifications/initialized"}\nnot json\n{"id":2,"method":"tools/list"}\n'), out)
     lines = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert all(t["description"] and all(p["description"] for p in t["inputSchema"]["properties"].values()) for t in lines[2]["result"]["tools"]) and lines[0]["result"]["instructions"]
+    engine.search = lambda *a, **k: 1 / 0
+    assert ask("search_knowledge", query="x")["error"]["code"] == tools.INTERNAL_ERROR and ask("search_knowledge", nothing=1)["error"]["code"] == tools.INTERNAL_ERROR
+    for odd in ([], "x", None, 3, {"id": 1, "params": [1]}):
+        assert tools.answer(engine, odd)["error"]["code"] == tools.BAD_REQUEST
     assert len(lines) == 3 and len(lines[2]["result"]["tools"]) == 4 and lines[1]["error"]["code"] == tools.BAD_REQUEST
 
 

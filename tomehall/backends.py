@@ -83,15 +83,17 @@ class RankedBackend:
         return True
 
     def index(self) -> None:
-        """A new snapshot of the whole corpus; the pointer changes when it is complete, and older snapshots go."""
+        """A new snapshot of the whole corpus; the pointer changes when it is complete. The snapshot before stays for those that read it; older ones go."""
         if self.mode is IndexMode.READ_ONLY:
             raise ReadOnlyIndex(f"the index of {self.root} was opened to be read")
         files, rows = text_files(self.spark, [(0, self.root)]), manifest_rows(self.spark, [(0, self.manifest.documents)])
-        for r in missing_documents(files, rows).select("path").limit(100).collect():
+        for r in missing_documents(files, rows).select("path").toLocalIterator():
             log.warning("%s can't be read and isn't indexed", r["path"])
         name = f"v{uuid.uuid4().hex[:12]}"
         save(build(listed_documents(files, rows)), os.path.join(self.folder, name))
-        old = [n for n in os.listdir(self.folder) if n.startswith("v") and n != name]
-        replace_file(os.path.join(self.folder, "current"), name)
+        pointer = os.path.join(self.folder, "current")
+        last = os.path.basename(self.index_path) if os.path.isfile(pointer) else None
+        old = [n for n in os.listdir(self.folder) if n.startswith("v") and n not in (name, last)]
+        replace_file(pointer, name)
         for n in old:
             shutil.rmtree(os.path.join(self.folder, n), ignore_errors=True)

@@ -88,7 +88,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "get":
             out(engine.get(a.path))
         elif a.command == "index":
-            out(f"Indexed {engine.index_all()} corpora\n")
+            done = engine.index_all(lambda root: out(f"Indexed {root}\n"))
+            out(f"Indexed {done} corpora\n")
         elif a.command == "serve":
             tools.serve(engine)
     except (TomehallError, OSError, UnicodeDecodeError) as e:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,11 @@ class Engine:
         self.config = config or configuration.load()
 
     def corpora(self):
-        """Order, storage and strict manifest of each corpus that exists, or the error that it gave."""
+        """Order, storage and strict manifest of each corpus that exists, or the error that it gave. Corpora lie on this machine's file system; a root elsewhere is an error, not a corpus that doesn't exist."""
         for i, root in enumerate(self.config.roots):
-            if os.path.exists(root):
+            if "://" in root:
+                yield i, LocalStorage(root), Manifest(), InvalidInput("corpora of other file systems can't be opened; mount them")
+            elif os.path.exists(root):
                 storage = LocalStorage(root)
                 try:
                     yield i, storage, storage.load_manifest(), None
@@ -100,8 +103,8 @@ class Engine:
         storage.write_manifest(manifest)
         return doc
 
-    def index_all(self) -> int:
-        """How many corpora have been indexed; fails only where none was and one failed."""
+    def index_all(self, told: Callable[[str], None] = lambda root: None) -> int:
+        """How many corpora have been indexed; fails only where none was and one failed. `told` hears of each that is done."""
         done, errors = 0, []
         for _, storage, manifest, error in self.corpora():
             try:
@@ -109,6 +112,7 @@ class Engine:
                     raise error
                 RankedBackend(self.spark, storage.root, manifest, IndexMode.READ_WRITE).index()
                 done += 1
+                told(storage.root)
             except (TomehallError, OSError) as e:
                 errors.append(f"{storage.root}: {e}")
         if errors and not done:

@@ -7,7 +7,6 @@ import sys
 
 from .commands import Engine
 from .functions.text import parse_tag_list
-from .model import TomehallError
 
 INTERNAL_ERROR, NO_METHOD, BAD_REQUEST = -32603, -32601, -32700
 
@@ -45,24 +44,46 @@ PARAMETERS = {
 }
 
 
+#: What an assistant reads in order to choose a tool.
+DESCRIPTIONS = {
+    "search_knowledge": "Finds lines that hold a text, whatever its case, in all documents of the corpora. Gives title, path, line number and line of each.",
+    "list_knowledge": "Lists the documents that the corpora's manifests name, with category, tags and path; of one category, if it is given.",
+    "get_document": "Gives a document's whole text, by its path as a manifest has it.",
+    "add_knowledge": "Writes a new document into the first corpus and its manifest. Tags are separated by commas.",
+}
+MEANINGS = {
+    "query": "the text to look for, as it stands",
+    "limit": "the most results; 10 if left out",
+    "category": "only documents of this category",
+    "path": "path within its corpus, such as notes/first-steps.md",
+    "title": "the title; the file's name follows from it",
+    "content": "the document's text",
+    "tags": "tags, separated by commas",
+}
+INSTRUCTIONS = "Corpora of documents with titles, categories and tags. Search first, then get the documents that look right; add what is worth keeping."
+
+
 def described() -> list[dict]:
-    return [{"name": n, "inputSchema": {"type": "object", "properties": {k: {"type": t} for k, t, _ in ps}, "required": [k for k, _, must in ps if must]}} for n, ps in PARAMETERS.items()]
+    schema = lambda ps: {"type": "object", "properties": {k: {"type": t, "description": MEANINGS[k]} for k, t, _ in ps}, "required": [k for k, _, must in ps if must]}
+    return [{"name": n, "description": DESCRIPTIONS[n], "inputSchema": schema(ps)} for n, ps in PARAMETERS.items()]
 
 
 def answer(engine: Engine, request: dict) -> dict | None:
-    """The response to a request; none to a notification."""
+    """The response to a request; none to a notification. Whatever a tool raises is an error of its call, not the server's end."""
+    if not isinstance(request, dict) or not isinstance(request.get("params") or {}, dict):
+        return {"jsonrpc": "2.0", "id": None, "error": {"code": BAD_REQUEST, "message": "a request is an object with a method"}}
     reply = {"jsonrpc": "2.0", "id": request.get("id")}
     method, params = request.get("method"), request.get("params") or {}
     if "id" not in request:
         return None
     if method == "initialize":
-        return reply | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "tomehall", "version": "0.1.0"}}}
+        return reply | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "tomehall", "version": "0.1.0"}, "instructions": INSTRUCTIONS}}
     if method == "tools/list":
         return reply | {"result": {"tools": described()}}
     if method == "tools/call" and params.get("name") in TOOLS:
         try:
             text = TOOLS[params["name"]](engine, **(params.get("arguments") or {}))
-        except (TomehallError, OSError, TypeError) as e:
+        except Exception as e:
             return reply | {"error": {"code": INTERNAL_ERROR, "message": str(e)}}
         return reply | {"result": {"content": [{"type": "text", "text": text}]}}
     return reply | {"error": {"code": NO_METHOD, "message": f"no method {method}"}}
