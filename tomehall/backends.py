@@ -8,7 +8,7 @@ import shutil
 import uuid
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import validate
@@ -29,6 +29,10 @@ class SearchBackend(Protocol):
     def index(self) -> None: ...
 
 
+def under(root: str) -> Column:
+    return F.concat(F.lit(root.rstrip("/") + "/"), "path")
+
+
 class LiteralBackend:
     """Lines of the corpus's files; nothing to index."""
 
@@ -41,7 +45,7 @@ class LiteralBackend:
         files = text_files(self.spark, [(self.corpus_ord, self.root)])
         listed = manifest_rows(self.spark, [(self.corpus_ord, self.manifest.documents)])
         out = literal_plan(files, listed, query, case_sensitive=options.case_sensitive, category=options.category, limit=options.limit, folding=True)
-        out = out.withColumn("path", F.concat(F.lit(self.root.rstrip("/") + "/"), "path")).orderBy("path", "line_number")
+        out = out.withColumn("path", under(self.root)).orderBy("path", "line_number")
         return out if options.limit is None else out.limit(options.limit)
 
     def needs_indexing(self) -> bool:
@@ -77,7 +81,7 @@ class RankedBackend:
 
     def search(self, query: str, options: SearchOptions) -> DataFrame:
         found = ranked_plan(load(self.spark, self.index_path), query, options.fuzzy, options.category, DEFAULT_LIMIT if options.limit is None else options.limit)
-        return found.withColumn("corpus_ord", F.lit(self.corpus_ord))
+        return found.withColumns({"corpus_ord": F.lit(self.corpus_ord), "path": under(self.root)})
 
     def needs_indexing(self) -> bool:
         return True

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import file_stem, parse_tags, quantised_length, slug, tokens, trimmed
-from .functions.validate import is_identifier
+from . import cli
+from . import config as configuration
+from .commands import Engine
+from .functions.render import document_text, hit_text
+from .functions.text import file_stem, parse_tags, quantised_length, slug, token_list, tokens, trimmed
+from .functions.validate import is_filled, is_identifier, is_inside, is_literal_query, is_title
+from .model import AlreadyExists, Backend, Document, Manifest
 from .operators.index import Index, build, load, save
 from .operators.literal import last_wins, literal_search
 from .operators.ranked import fuzzy, scored
 from .plans.grammar import named_terms, parse
 from .plans.search import literal_plan, merged, ranked_plan
 from .sources import tables
-from .store import scratch
+from .store import LocalStorage, scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -145,8 +155,7 @@ def list_category(spark, d):
 
 @query(f"WITH {FILES} SELECT doc_ord, category || ': ' || title || ' [' || tags || ']' || chr(10) || '  ' || path AS shown FROM listed")
 def list_rendered(spark, d):
-    shown = F.concat("category", F.lit(": "), "title", F.when(F.col("tags") != "", F.concat(F.lit(" ["), "tags", F.lit("]"))).otherwise(""), F.lit("\n  "), "path")
-    return listing(spark, d).select("doc_ord", shown.alias("shown"))
+    return tables.manifest(spark, d).select("doc_ord", F.rtrim(document_text(), F.lit("\n")).alias("shown"))
 
 
 @query(f"WITH {FILES} SELECT path, content FROM listed WHERE path = 'src1/1.md' ORDER BY corpus_ord, doc_ord LIMIT 1")
@@ -410,3 +419,186 @@ def index_missing_files(spark, d):
 def manifest_last_wins(spark, d):
     """Categories stand for paths that a manifest lists many times."""
     return last_wins(tables.manifest(spark, d).withColumn("path", F.col("category"))).select("corpus_ord", "path", "title")
+
+
+# ---- further forms of literal and ranked queries
+
+
+@query(literal_sql("regexp_matches(line, '(?i)sin')"))
+def literal_folding(spark, d):
+    """Full case folding: a long s is an s."""
+    return literal(spark, d, "SIN", folding=True).select(*SHOWN)
+
+
+MARKED = FILES.replace("text AS content", "replace(text, 'tion ', chr(65533) || 'tion ') AS content")
+
+
+@query(literal_sql("contains(lower(line), 'th') AND NOT contains(line, chr(65533))").replace(FILES, MARKED))
+def literal_broken_bytes(spark, d):
+    """Lines that aren't UTF-8 are left out, the others of their file aren't."""
+    files = tables.files(spark, d)
+    marked = F.replace("content", F.lit("tion "), F.lit("\ufffdtion "))
+    raw = F.unhex(F.replace(F.hex(F.encode(marked, "utf-8")), F.lit("EFBFBD"), F.lit("FF")))
+    title = F.substring(trimmed(F.substring_index(marked, "\n", 1)), 1, 60).alias("title")
+    docs = tables.manifest(spark, d).drop("title").join(files.select("doc_ord", title), "doc_ord")
+    return literal_search(files.withColumn("content", F.make_valid_utf8(raw.cast("string"))), docs, "TH").select(*SHOWN)
+
+
+@query(literal_sql("false"))
+def literal_empty_query(spark, d):
+    return literal(spark, d, "").select(*SHOWN)
+
+
+@query(ranked_sql(both(0, "ertion") + both(1, "oning") + both(2, "the"), f"({HAS(0)} OR {HAS(1)}) AND {HAS(2)}"))
+def bm25_parentheses(spark, d):
+    return ranked(spark, d, "(ertion OR oning) AND the")
+
+
+@query(ranked_sql(both(0, "the"), "false"))
+def bm25_only_negative(spark, d):
+    return ranked(spark, d, "-the")
+
+
+@query(f"WITH {FILES}, {TOKENS}, leaves AS ({' UNION ALL '.join(both(0, 'ertion'))}), best AS (SELECT corpus_ord, doc_ord, sum(s) AS score FROM leaves GROUP BY ALL) SELECT doc_ord, title || ': ' || path || ' (line 1) (score: ' || printf('%.2f', score) || ')' || chr(10) || '  ' || title || chr(10) AS shown FROM best JOIN listed USING (corpus_ord, doc_ord)")
+def search_rendered(spark, d):
+    found = ranked_plan(stored(spark, d), "ertion")
+    return found.select(F.col("place").alias("doc_ord"), hit_text().alias("shown"))
+
+
+# ---- functions on odd texts
+
+ODD = "'हिन्दी-' || lang || ' E' || chr(769) || 'te_' || source"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all({ODD}, '[\\p{{L}}\\p{{N}}\\x{{093F}}\\x{{0940}}]+'), lambda x: lower(x)), ',') AS tokens, array_to_string(list_filter(string_split(regexp_replace(lower({ODD}), '[^\\p{{L}}\\p{{N}}\\x{{093F}}\\x{{0940}}]', '-', 'g'), '-'), lambda x: x <> ''), '-') AS slug, false AS valid, 'हिन,दी' AS asked FROM documents")
+def odd_letters(spark, d):
+    """Marks that are letters to some tables of characters and not to others; the query side cuts alike."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = F.concat(F.lit("हिन्दी-"), "lang", F.lit(" E\u0301te_"), "source")
+    cut = F.array_join(F.transform(tokens(odd), lambda t: t["term"]), ",")
+    return docs.select("doc_id", cut.alias("tokens"), slug(odd).alias("slug"), is_identifier(odd).alias("valid"), F.lit(",".join(t for _, t in token_list("हिन्दी"))).alias("asked"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS line, CASE WHEN doc_id % 4 = 0 THEN '../' WHEN doc_id % 4 = 1 THEN '/' WHEN doc_id % 4 = 2 THEN 'a..b/' ELSE '' END || source || '/' || doc_id AS path, text FROM documents)
+SELECT doc_id, strlen(line) BETWEEN 1 AND 200 AS title, strlen(text) <= 1000 AND NOT contains(text, chr(0)) AS query, regexp_matches(text, '[^\s]') AS filled, doc_id % 4 > 1 AS inside, contains(path, '..') AS refused, CASE WHEN doc_id % 2 = 0 THEN '/home/x/' || doc_id ELSE '~' || doc_id END AS home FROM t"""
+)
+def checks(spark, d):
+    """Titles, queries, contents and paths that the commands take."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kind = F.pmod("doc_id", F.lit(4))
+    path = F.concat(F.when(kind == 0, "../").when(kind == 1, "/").when(kind == 2, "a..b/").otherwise(""), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    home = configuration.expanded(F.concat(F.when(kind % 2 == 0, "~/").otherwise("~"), F.col("doc_id").cast("string")), "/home/x")
+    return docs.select("doc_id", is_title(F.substring_index("text", "\n", 1)).alias("title"), is_literal_query(F.col("text")).alias("query"), is_filled(F.col("text")).alias("filled"), is_inside(path).alias("inside"), F.contains(path, F.lit("..")).alias("refused"), home.alias("home"))
+
+
+# ---- the commands over folders: corpora of the benchmark's items, every fifth one not listed
+
+_folders: dict[tuple[str, str], str] = {}
+CONFIG = "config.toml"
+
+
+def folder(spark, d) -> str:
+    """A folder of this machine with two corpora of files and a configuration; the commands work on such."""
+    path = scratch(spark, "corpora").removeprefix("file://").removeprefix("file:")
+    root = path if path.startswith("/") else tempfile.mkdtemp(prefix="tomehall-corpora-")
+    listed = {name: [] for name in ("one", "two")}
+    for name in listed:
+        os.makedirs(f"{root}/{name}/sub")
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").toLocalIterator():
+        name, place = ("one", "two")[r["item_id"] % 2], f"bench/{r['item_id']}.md"
+        LocalStorage(f"{root}/{name}").write_document(place, (r["text"] or "").replace(". ", ".\n"))
+        if r["item_id"] % 5:
+            listed[name].append(Document(place, f"Item {r['item_id']}", f"c{r['item_id'] % 3}", [f"t{r['item_id'] % 4}"]))
+    for name, docs in listed.items():
+        LocalStorage(f"{root}/{name}").write_manifest(Manifest("1", docs))
+    odd = {"_draft.md": b"draft of tion", "bad.md": b"\xff tion\ngood TION\r\n", ".hidden.md": b"tion", "bin.md": b"tion\0", "sub/manifest.json": b"tion", "log.tmp": b"tion", ".ignore": b"*.tmp\n"}
+    for place, data in odd.items():
+        with open(f"{root}/one/{place}", "wb") as f:
+            f.write(data)
+    with open(f"{root}/{CONFIG}", "w", encoding="utf-8") as f:
+        f.write(f'[corpus]\npaths = ["{root}/one", "{root}/none", "{root}/two"]\n')
+    return root
+
+
+def corpora(spark, d) -> tuple[str, Engine]:
+    """The folder of a session, indexed, and the commands over it; queries that change it make their own."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _folders:
+        root = folder(spark, d)
+        Engine(spark, configuration.load(configuration.Path(f"{root}/{CONFIG}"))).index_all()
+        _folders[key] = root
+    return _folders[key], Engine(spark, configuration.load(configuration.Path(f"{_folders[key]}/{CONFIG}")))
+
+
+def within_folder(root: str):
+    return F.substring("path", len(root) + 2, 1 << 30).alias("path")
+
+
+ITEMS = """items AS (SELECT item_id % 2 AS corpus_ord, item_id AS doc_ord, CASE item_id % 2 WHEN 0 THEN 'one' ELSE 'two' END AS root, 'bench/' || item_id || '.md' AS path, replace(coalesce(text, ''), '. ', '.' || chr(10)) AS content FROM benchmark),
+listed AS (SELECT *, 'Item ' || doc_ord AS title, 'c' || doc_ord % 3 AS category, 't' || doc_ord % 4 AS tags FROM items WHERE doc_ord % 5 <> 0)"""
+ITEM_HITS = """found AS (SELECT corpus_ord, root || '/' || path AS path, CASE WHEN doc_ord % 5 = 0 THEN doc_ord::VARCHAR ELSE 'Item ' || doc_ord END AS title, trim(line, ' ' || chr(9) || chr(13)) AS matched_line, line_number FROM
+ (SELECT *, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM items) WHERE contains(lower(line), 'tion')
+ UNION ALL SELECT 0, 'one/_draft.md', '_draft', 'draft of tion', 1 UNION ALL SELECT 0, 'one/bad.md', 'bad', 'good TION', 2)"""
+
+
+@query(f"WITH {ITEMS}, {ITEM_HITS} SELECT path, title, matched_line, line_number FROM found")
+def engine_search(spark, d):
+    root, engine = corpora(spark, d)
+    return engine.search("tion", limit=None).select(within_folder(root), "title", "matched_line", "line_number")
+
+
+@query(f"WITH {ITEMS}, {ITEM_HITS} SELECT path, line_number FROM (SELECT * FROM found JOIN listed ON found.path = root || '/' || listed.path WHERE category = 'c1') ORDER BY found.corpus_ord, found.path, line_number LIMIT 7".replace("SELECT path, line_number FROM (SELECT * FROM", "SELECT path, line_number FROM (SELECT found.* FROM").replace("found.corpus_ord, found.path, line_number LIMIT", "corpus_ord, path, line_number LIMIT"))
+def engine_search_category(spark, d):
+    root, engine = corpora(spark, d)
+    return engine.search("TION", limit=7, category="c1").select(within_folder(root), "line_number")
+
+
+@query(f"WITH {ITEMS} SELECT title, category, tags, root || '/' || path AS path FROM listed")
+def engine_list(spark, d):
+    root, engine = corpora(spark, d)
+    return engine.list_documents().select("title", "category", F.array_join("tags", ", ").alias("tags"), within_folder(root))
+
+
+@query(f"WITH {ITEMS} SELECT path, content FROM listed")
+def engine_get(spark, d):
+    """Each listed document by its path."""
+    root, engine = corpora(spark, d)
+    paths = [x.path for name in ("one", "two") for x in LocalStorage(f"{root}/{name}").load_manifest().documents]
+    return spark.createDataFrame([(p, engine.get(p)) for p in paths], "path string, content string")
+
+
+@query(f"WITH {ITEMS}, {TOKENS}, leaves AS ({' UNION ALL '.join(both(0, 'the') + both(1, 'item'))}) SELECT root || '/' || path AS path, round(sum(s), 6) AS score FROM leaves JOIN listed USING (corpus_ord, doc_ord) GROUP BY ALL")
+def engine_ranked(spark, d):
+    root, engine = corpora(spark, d)
+    return engine.search("the item", limit=100_000, backend=Backend.RANKED).select(within_folder(root), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {ITEMS} SELECT 'one/' || path AS path, title, content FROM listed WHERE root = 'one' UNION ALL SELECT * FROM (VALUES ('one/notes/first-one.md', 'First: One!', 'body'), ('one/notes/été.md', 'Été', ''))")
+def engine_add(spark, d):
+    """Two documents more; one whose file exists is refused."""
+    root = folder(spark, d)
+    engine = Engine(spark, configuration.Config([f"{root}/one"]))
+    engine.add("First: One!", "body", "notes", "a, b")
+    engine.add("Été", "", "notes")
+    with contextlib.suppress(AlreadyExists):
+        engine.add("first one", "other", "notes")
+    shown = [(f"one/{x.path}", x.title, engine.get(x.path)) for x in LocalStorage(f"{root}/one").load_manifest().documents]
+    return spark.createDataFrame(shown, "path string, title string, content string")
+
+
+@query(f"""WITH {ITEMS}, {ITEM_HITS}, top AS (SELECT * FROM found ORDER BY corpus_ord, path, line_number LIMIT 50)
+SELECT string_agg(title || ': ' || path || ' (line ' || line_number || ')' || chr(10) || '  ' || matched_line || chr(10), chr(10) ORDER BY corpus_ord, path, line_number) || chr(10) || count(*) || ' result(s) found' || chr(10) AS shown FROM top""")
+def engine_cli(spark, d):
+    """What the command line prints."""
+    root, _ = corpora(spark, d)
+    out, before = io.StringIO(), os.environ.get(configuration.ENV)
+    os.environ[configuration.ENV] = f"{root}/{CONFIG}"
+    try:
+        with contextlib.redirect_stdout(out):
+            cli.main(["search", "tion", "-l", "50"], spark)
+    finally:
+        os.environ.pop(configuration.ENV)
+        if before is not None:
+            os.environ[configuration.ENV] = before
+    return spark.createDataFrame([(out.getvalue().replace(root + "/", ""),)], "shown string")

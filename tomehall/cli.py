@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from . import tools
 from .commands import Engine
 from .functions import validate
+from .functions.render import document_text, hit_text
 from .model import Backend, TomehallError
 
 
@@ -43,20 +44,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def shown_hits(rows) -> str:
-    if not rows:
-        return "No results found.\n"
-    lines = []
-    for r in rows:
-        score = "" if r["score"] is None else f" (score: {r['score']:.2f})"
-        lines += [f"{r['title']}: {r['path']} (line {r['line_number']}){score}", f"  {r['matched_line']}", ""]
-    return "\n".join([*lines, f"{len(rows)} result(s) found"]) + "\n"
+def shown_hits(hits: DataFrame) -> str:
+    rows = [r[0] for r in hits.select(hit_text()).collect()]
+    return "\n".join([*rows, f"{len(rows)} result(s) found\n"]) if rows else "No results found.\n"
 
 
-def shown_list(rows) -> str:
-    if not rows:
-        return "No documents found.\n"
-    return "".join(f"{r['category']}: {r['title']}" + (f" [{', '.join(r['tags'])}]" if r["tags"] else "") + f"\n  {r['path']}\n" for r in rows)
+def shown_list(documents: DataFrame) -> str:
+    return "".join(r[0] for r in documents.select(document_text()).collect()) or "No documents found.\n"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -79,9 +73,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 raise TomehallError("content can't be empty")
         engine = Engine(spark or session())
         if a.command == "search":
-            out(shown_hits(engine.search(a.query, a.limit, a.category, a.case_sensitive, Backend(a.backend), a.fuzzy).collect()))
+            out(shown_hits(engine.search(a.query, a.limit, a.category, a.case_sensitive, Backend(a.backend), a.fuzzy)))
         elif a.command == "list":
-            out(shown_list(engine.list_documents(a.category).collect()))
+            out(shown_list(engine.list_documents(a.category)))
         elif a.command == "add":
             doc = engine.add(a.title, content, a.category, a.tags)
             out(f"Added: {doc.title}\nCategory: {doc.category}\nPath: {doc.path}\n")

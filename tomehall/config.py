@@ -7,6 +7,9 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .model import InvalidInput
 
 ENV = "TOMEHALL_CONFIG"
@@ -17,6 +20,11 @@ def expand_tilde(path: str) -> str:
     return os.path.join(os.path.expanduser("~"), path[2:]) if path.startswith("~/") else path
 
 
+def expanded(c: Column, home: str) -> Column:
+    """expand_tilde of a column, for a given home folder."""
+    return F.when(F.startswith(c, F.lit("~/")), F.concat(F.lit(home.rstrip("/") + "/"), F.substring(c, 3, 1 << 30))).otherwise(c)
+
+
 def config_path() -> Path:
     if named := os.environ.get(ENV):
         return Path(named)
