@@ -481,7 +481,7 @@ def odd_letters(spark, d):
 
 @query(
     """WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS line, CASE WHEN doc_id % 4 = 0 THEN '../' WHEN doc_id % 4 = 1 THEN '/' WHEN doc_id % 4 = 2 THEN 'a..b/' ELSE '' END || source || '/' || doc_id AS path, text FROM documents)
-SELECT doc_id, strlen(line) BETWEEN 1 AND 200 AS title, strlen(text) <= 1000 AND NOT contains(text, chr(0)) AS query, regexp_matches(text, '[^\s]') AS filled, doc_id % 4 > 1 AS inside, contains(path, '..') AS refused, CASE WHEN doc_id % 2 = 0 THEN '/home/x/' || doc_id ELSE '~' || doc_id END AS home FROM t"""
+SELECT doc_id, strlen(line) BETWEEN 1 AND 200 AS title, strlen(text) <= 1000 AND NOT contains(text, chr(0)) AS query, regexp_matches(text, '[^\\s]') AS filled, doc_id % 4 > 1 AS inside, contains(path, '..') AS refused, CASE WHEN doc_id % 2 = 0 THEN '/home/x/' || doc_id ELSE '~' || doc_id END AS home FROM t"""
 )
 def checks(spark, d):
     """Titles, queries, contents and paths that the commands take."""
