@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import re
-import shutil
-import tempfile
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import remove, scratch
+
 #: Bytes of text that one numpy pass works on; longer texts make a slice of their own.
 SLICE_BYTES = 400_000
 
@@ -32,20 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for tables that outlive executors; where it names none, the warehouse, or on a single machine a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tomehall-scratch"
-    if spark.sparkContext.applicationId not in _own:
-        _own[spark.sparkContext.applicationId] = folder = tempfile.mkdtemp(prefix="tomehall-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return _own[spark.sparkContext.applicationId]
-
-
-_own: dict[str, str] = {}
 _lock, _writers, _before = threading.Lock(), 0, {}
 
 
@@ -72,8 +55,7 @@ class Scratch:
     """Tables written to the folder that driver and executors share, so that later stages outlive a lost executor. What a result reads goes when Python ends."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.end)
+        self.spark, self.root = spark, scratch(spark, label)
 
     def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Writes the table, in a folder for each value of `by`, and reads it back; frees the shuffle files that it needed."""
@@ -83,15 +65,9 @@ class Scratch:
             (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def end(self) -> None:
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            self.drop("")
-
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, f"{self.root}/{name}")
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
