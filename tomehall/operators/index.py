@@ -39,17 +39,21 @@ def bucket(c: Column, buckets: int) -> Column:
 
 
 def postings(documents: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """One row for each term of a field of a document; with `terms`, for these alone, which are picked out before anything is spread or shuffled."""
+    """One row for each term of a field of a document; with `terms`, for these alone.
+
+    A field's tokens are put in order and cut into runs of one term within their row, so nothing is shuffled."""
     parts = []
     for field in FIELDS:
         spread = documents.select("corpus_ord", "doc_ord", F.lit(field).alias("field"), tokens(F.coalesce(F.col(field), F.lit(""))).alias("t"))
-        sized = spread.withColumn("length", F.size("t").cast("long"))
-        if terms is not None:
-            sized = sized.withColumn("t", F.filter("t", lambda x: x["term"].isin(terms)))
-        parts.append(sized.select("corpus_ord", "doc_ord", "field", "length", F.explode("t").alias("t")))
+        wanted = F.col("t") if terms is None else F.filter("t", lambda x: x["term"].isin(terms))
+        placed = spread.select("corpus_ord", "doc_ord", "field", F.size("t").cast("long").alias("length"), F.sort_array(F.transform(wanted, lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos")))).alias("s"))
+        placed = placed.where(F.size("s") > 0)
+        begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+        cut = placed.withColumn("begins", begins)
+        one = lambda b, k: F.struct(F.get("s", b)["term"].alias("term"), F.slice("s", b + 1, F.coalesce(F.get("begins", k + 1), F.size("s")) - b)["pos"].alias("positions"))
+        parts.append(cut.select("corpus_ord", "doc_ord", "field", "length", F.inline(F.transform("begins", one))))
     flat = parts[0].unionByName(parts[1])
-    grouped = flat.groupBy("corpus_ord", "doc_ord", "field", F.col("t.term").alias("term"), "length")
-    return grouped.agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    return flat.select("corpus_ord", "doc_ord", "field", "term", "length", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def build(documents: DataFrame, terms: list[str] | None = None) -> Index:
