@@ -19,6 +19,8 @@ from .common import U64, by_text_rule, mix, on_texts
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: The most languages whose bounds are broadcast.
+BROADCAST = 100_000
 
 
 def features(texts: pa.Array, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS):
@@ -138,6 +140,7 @@ def train(docs: DataFrame, sample: int = 3000, least: int = 20) -> Model | None:
     # one scan: hashes up to a bound of each language, with some to spare; then so many rows of each
     share = {x: min(1.0, (each + 4 * each**0.5 + 4) / n) for x, n in rows.items()}
     edges = spark.createDataFrame([(r["lang"], max(r["first"], min((1 << 63) - 1, int((share[r["lang"]] - 0.5) * (1 << 64))))) for r in counted], "lang string, edge long")
+    edges = F.broadcast(edges) if len(rows) <= BROADCAST else edges
     spare = int(sum(min(n, each + 8 * each**0.5 + 8) for n in rows.values()))
 
     def described(b):
