@@ -501,7 +501,7 @@ def test_op8(spark, sf, hard, empty, library):
 def test_pre_tokens_give_the_librarys_tokens(library):
     import public_tokenizers
 
-    from tomehall.llm.pretokens import PreTokens
+    from tomehall.llm.pretokens import PATTERN, PreTokens, parts
 
     p = PreTokens(public_tokenizers.path("byte_bpe_50k.json"), room=50)
     rng = random.Random(1)
@@ -509,7 +509,10 @@ def test_pre_tokens_give_the_librarys_tokens(library):
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(4000)] + ["x" * 20000, " " * 5000]
     for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert p.count(t) == len(e.ids) and p.encoder.ids(t) == e.ids
-    assert p.split("foo,\nbar 日本") == ["foo", ",", "\n", "bar", " 日本"]
+        if p.told(t):
+            assert [x for part in parts(t) for x in PATTERN.findall(part)] == PATTERN.findall(t)
+    fresh = PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert fresh.count("x foo,\nbar 日本") and set(fresh.held) == {"x", " foo", ",", "\n", "bar", " 日本"}
     other = PreTokens(public_tokenizers.path("word_bpe_49k.json"))
     assert other.encoder.ranks is None and other.encoder.ids("some text") and other.count("some text") == len(other.encoder.ids("some text"))
 

@@ -22,6 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 # Code points that are letters or numbers to the pattern's engine and not to the library's, or the other way round, as their tables are of different years; all rare ones beyond 16 bits count with them.
 DISPUTED = regex.compile("[\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C\uAB6D\U00010000-\U0001EFFF\U0001FB00-\U0010FFFF]")
+#: A space that a text may not be cut before: the pattern never lets a pre-token run from another character into white space, and gives one space to the pre-token after it, but keeps longer white space together.
+TIED = regex.compile(r"\s (?=\s|\Z)")
 #: Longer pre-tokens are encoded each time, not kept.
 LONGEST = 64
 
@@ -87,31 +89,54 @@ class PreTokens:
         self.encoder = Encoder(path)
         self.known, self.room = known or {}, room
         self.held = dict(self.known)
+        self.sums: dict[str, int] = {}
 
-    def split(self, text: str) -> list[str] | None:
-        """The text's pre-tokens, None where only the library can tell them."""
-        if self.encoder.ranks is None or not self.encoder.plain(text) or not text.isascii() and DISPUTED.search(text):
-            return None
-        return PATTERN.findall(text)
+    def told(self, text: str) -> bool:
+        """Whether the pattern gives the text's pre-tokens; else only the library can tell them."""
+        return self.encoder.ranks is not None and self.encoder.plain(text) and (text.isascii() or not DISPUTED.search(text))
 
     def encode(self, text: str) -> int:
         return len(self.encoder.ids(text))
 
+    def lengths(self, text: str) -> int:
+        """Tokens of all pre-tokens of a text."""
+        total = 0
+        for p in PATTERN.findall(text):
+            v = self.held.get(p)
+            if v is None:
+                v = self.encode(p)
+                if len(p) <= LONGEST:
+                    if len(self.held) >= self.room:
+                        self.held = dict(self.known)
+                    self.held[p] = v
+            total += v
+        return total
+
     def count(self, text: str) -> int:
-        parts = self.split(text)
-        if parts is None:
+        if not self.told(text):
             return len(self.encoder.tokenizer.encode(text, add_special_tokens=False).ids)
-        values = list(map(self.held.get, parts))
+        if TIED.search(text):
+            return self.lengths(text)
+        first, *rest = text.split(" ")  # what stands between spaces is cut into pre-tokens once, while it is remembered
+        values = list(map(self.sums.get, rest))
         if None in values:
             for k, v in enumerate(values):
                 if v is None:
-                    p = parts[k]
-                    v = self.held.get(p)
+                    p = rest[k]
+                    v = self.sums.get(p)
                     if v is None:
-                        v = self.encode(p)
+                        v = self.lengths(" " + p)
                         if len(p) <= LONGEST:
-                            if len(self.held) >= self.room:
-                                self.held = dict(self.known)
-                            self.held[p] = v
+                            if len(self.sums) >= self.room:
+                                self.sums.clear()
+                            self.sums[p] = v
                     values[k] = v
-        return sum(values)
+        return self.lengths(first) + sum(values)
+
+
+def parts(text: str) -> list[str]:
+    """The text in pieces whose pre-tokens are together the text's: cut before spaces, where that is safe."""
+    if TIED.search(text):
+        return [text]
+    first, *rest = text.split(" ")
+    return [first, *(" " + p for p in rest)]

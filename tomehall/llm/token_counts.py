@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pretokens import LONGEST, PreTokens
+from .pretokens import LONGEST, PATTERN, PreTokens, parts
 
 
 def frequent(docs: DataFrame, tokenizer: str, size: int, summary: int = 8192, room: int = 200_000) -> list[str]:
@@ -22,12 +22,24 @@ def frequent(docs: DataFrame, tokenizer: str, size: int, summary: int = 8192, ro
 
     def run(batches):
         worker = PreTokens(tokenizer)
+        pieces: Counter[str] = Counter()
         counts: Counter[str] = Counter()
-        for piece in slices(batches):
-            for text in piece.column("text").to_pylist():
-                counts.update((text and worker.split(text)) or ())
+
+        def cut():
+            for p, n in pieces.items():
+                for t in PATTERN.findall(p):
+                    counts[t] += n
+            pieces.clear()
+
+        for b in slices(batches):
+            for text in b.column("text").to_pylist():
+                if text and worker.told(text):
+                    pieces.update(parts(text))
+            if len(pieces) > room:
+                cut()
             if len(counts) > room:
                 counts = Counter(dict(counts.most_common(room // 2)))
+        cut()
         top = [(p, c) for p, c in counts.most_common(summary) if len(p) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], names=["token", "times"])
 
