@@ -54,6 +54,9 @@ OPEN, SHUT = r"\s{0,9}[\[({<]\s{0,9}", r"\s{0,9}[\])}>]\s{0,9}"
 AT_SIGN = re.compile(rf"(?P<bracket>{OPEN}(?:at|@|arroba|ät|chez){SHUT})|(?P<bare>(?<=[A-Za-z0-9_%+-])\s{{1,9}}(?:at|arroba)\s{{1,9}}(?=[A-Za-z0-9]))|(?P<sign>(?<=[A-Za-z0-9_%+-])\s{{0,9}}@\s{{0,9}}(?=[A-Za-z0-9]))", re.I)
 STOP = rf"(?:{OPEN}(?:dot|point|punkt|punto|\.){SHUT}|\s{{1,9}}(?:dot|punto|punkt|point)\s{{1,9}}|\.)"
 STOPS = re.compile(STOP, re.I)
+#: Without any of these there is no disguise; a quick look before the patterns.
+STOP_WORDS, NUMBER_WORDS = ("dot", "point", "punkt", "punto"), (*(w for w in SPELLED if w != "plus"), "point", "dot")
+BRACKET = re.compile(r"[\[({<]\s{0,9}(?:at|arroba|ät|chez|\.)", re.I)
 HOST = re.compile(rf"([A-Za-z0-9-]+)((?:{STOP}[A-Za-z0-9-]+)+)", re.I)
 NAME = re.compile(rf"(?P<stop>{STOP})|(?P<word>[A-Za-z0-9_%+-]+)", re.I)
 #: Longest name and host that are looked for, disguises included; an address has 64 and 255 characters at most.
@@ -146,7 +149,8 @@ class Tape:
 
 def spelled(text: str) -> list[tuple[int, int, str]]:
     """Edits that write spelled digits as digits, in numbers of LEAST numerals and more."""
-    if not HIDDEN_NUMBER.search(text):
+    low = text.lower()
+    if not any(w in low for w in NUMBER_WORDS) or not HIDDEN_NUMBER.search(text):
         return []
     edits: list[tuple[int, int, str]] = []
     run: list[re.Match] = []
@@ -192,6 +196,9 @@ def name_before(text: str, floor: int, end: int) -> int:
 
 def addresses(text: str) -> list[tuple[int, int, str]]:
     """Edits that write disguised addresses plainly."""
+    low = text.lower()
+    if "@" not in text and not any(w in low for w in STOP_WORDS) and not (any(c in text for c in "[({<") and BRACKET.search(text)):
+        return []  # no sign, nor what could stand for one
     edits, floor = [], 0
     for at in AT_SIGN.finditer(text):
         if at.start() < floor:
