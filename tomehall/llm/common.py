@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import threading
 from collections.abc import Callable, Iterator
 
@@ -65,6 +66,11 @@ class Scratch:
             (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets the driver forget what its earlier plans held; Spark frees broadcasts and shuffle files only when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.root}/{name}")

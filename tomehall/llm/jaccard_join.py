@@ -104,17 +104,17 @@ def divided(members: DataFrame, percent: int, level: int) -> DataFrame:
     return dealt.select(F.xxhash64("region", "to.pivot", F.lit(level)).alias("region"), "key", "n", F.col("to.h").alias("h"), "label", "sketch", F.col("all").alias("before"), (F.col("to.pivot") == F.col("near.pivot")).alias("home"))
 
 
-def still_open(members: DataFrame) -> DataFrame:
-    """region, all, within, largest of the regions with documents of several components, one of them at home."""
-    parts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("home"))
-    sums = parts.groupBy("region").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max("home").alias("home"))
-    return sums.where("home and all * all > within").select("region", "all", "within")
+def still_open(members: DataFrame, percent: int) -> DataFrame:
+    """region, all, within, width of the regions with documents of several components, one of them at home: documents, pairs within components, the widest window."""
+    parts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("home"), F.max("n").alias("n"))
+    sums = parts.groupBy("region").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("within"), F.max("home").alias("home"), F.max("n").alias("n"))
+    return sums.where("home and all * all > within").select("region", "all", "within", (widest("n", percent) + 1).alias("width"))
 
 
 def close_pairs(members: DataFrame, percent: int, closest: bool = False, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """key1, key2 of documents of one region in different components whose sizes and sketches allow a link.
 
-    members(region, key, n, h, label, sketch, all, home): `all` documents in the region. Those of up to `small` documents join within windows of distances to
+    members(region, key, n, h, label, sketch, all, width, home): `all` documents in the region, whose window is `width` at most. Those of up to `small` documents join within windows of distances to
     the pivot; larger ones are cut into stripes as wide as the window, and these into blocks by hash; blocks of one stripe and of neighbours meet, every two in a task of their own,
     which gives only the pairs within bounds; with `closest`, the closest of each document in its block."""
     alike, bound = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)", F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")
@@ -125,12 +125,13 @@ def close_pairs(members: DataFrame, percent: int, closest: bool = False, small:
     near = one.join(two, (one.region == two.region) & window).select("key1", "key2")
 
     many = members.where(F.col("all") > small)
-    width = many.groupBy("region").agg(F.max(widest("n", percent) + 1).alias("width"))
-    many = many.join(width, "region").withColumn("stripe", F.expr("cast(h div width as int)"))
+    many = many.withColumn("stripe", F.expr("cast(h div width as int)"))
     sized = many.groupBy("region", "stripe").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    beside = sized.select("region", (F.col("stripe") - 1).alias("stripe"), F.col("blocks").alias("after")).join(sized, ["region", "stripe"], "right").select("region", "stripe", "blocks", F.coalesce("after", F.lit(0)).alias("after"))
-    beside = beside.join(sized.select("region", (F.col("stripe") + 1).alias("stripe"), F.col("blocks").alias("below")), ["region", "stripe"], "left").fillna(0, ["below"])
-    many = many.join(beside, ["region", "stripe"]).withColumn("part", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    sized = sized.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("stripe", "blocks"))).alias("sized"))  # a few stripes for each region
+    many = many.join(sized, "region")
+    for name, shift in (("blocks", 0), ("after", 1), ("below", -1)):
+        many = many.withColumn(name, F.coalesce(F.try_element_at("sized", F.col("stripe") + shift), F.lit(0)))
+    many = many.withColumn("part", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     # blocks (stripe, part) that a document's own block meets: those of its stripe, the next one's and the last one's; the lower is i
     numbers = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<s:int,i:int,t:int,j:int>>"))
     task = lambda s, i, t, j: F.struct(s.cast("int").alias("s"), i.cast("int").alias("i"), t.cast("int").alias("t"), j.cast("int").alias("j"))
@@ -259,6 +260,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     texts = some.hint("merge").join(wanted, "doc_id").mapInArrow(described, "key long, node long, n long, sketch array<long>, text string")
     texts = scratch.keep(texts, "texts")
     nodes = texts.select("key", "node", "n", "sketch")
+    scratch.tidy()
     alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     seventh = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")  # the largest symmetric difference of linked sets
 
@@ -309,10 +311,11 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         tree = forest(tree.unionByName(linked(pairs, f"links-{name}")), scratch, f"tree-{name}", most=2)
         regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
         state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}")
-        inner = state.join(scratch.keep(still_open(state), f"wide-{name}"), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
+        inner = state.join(scratch.keep(still_open(state, percent), f"wide-{name}"), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
         return tree, scratch.keep(inner, f"open-{name}")
 
     tree, inner = starred(near, tree, "first")
+    scratch.tidy()
     left, size = inner.groupBy("region").agg(F.first("all").alias("all"), F.first("within").alias("within")).agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
     if left and left > easy * size:
 
@@ -339,7 +342,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             break
         rest = inner.where(F.col("all") <= small) if not level else inner.where((F.col("all") <= small) | (F.col("all") >= SHRUNK * F.col("before")))
         cut = scratch.keep(divided(large, percent, level), f"cut-{level}")
-        cut = cut.join(scratch.keep(still_open(cut), f"wide-{level}"), "region")
+        cut = cut.join(scratch.keep(still_open(cut, percent), f"wide-{level}"), "region")
         inner = scratch.keep(cut.unionByName(rest.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
     if not inner.isEmpty():
         if not inner.where(F.col("all") > small).isEmpty():
@@ -350,6 +353,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         others = measured(close_pairs(inner, percent, small=small).distinct(), "rest")
         tree = tree.unionByName(linked(others, "links-rest"))
 
+    scratch.tidy()
     final = labels(forest(tree, scratch, "final"))
     # all that the result doesn't read any more
     scratch.drop("near", "again", "texts", "several", "same", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
