@@ -353,7 +353,7 @@ def components(rows, percent=75):
     return [(i, len(s), None if i is None else find(i)) for i, every in sets.items() for s in every]
 
 
-@pytest.mark.parametrize("options", [{}, {"easy": 0, "small": 2, "frequent": 40, "least_frequent": 2}])
+@pytest.mark.parametrize("options", [{}, {"easy": 0, "small": 2, "whole_region": 2, "frequent": 40, "least_frequent": 2}])
 def test_op5(spark, sf, hard, empty, options):
     from tomehall.llm.jaccard_join import link
 
@@ -366,7 +366,7 @@ def test_op5(spark, sf, hard, empty, options):
         same(link(spark.createDataFrame(several, "doc_id long, text string")).collect(), components(several))
 
 
-@pytest.mark.parametrize("options", [{}, {"easy": 0, "small": 8}, {"small": 8, "frequent": 0}])
+@pytest.mark.parametrize("options", [{}, {"easy": 0, "small": 8, "whole_region": 8}, {"small": 8, "whole_region": 30, "frequent": 0}])
 def test_op5_clouds(spark, monkeypatch, options):
     """A base with many edits: some copies link, some only through others."""
     from tomehall.llm import jaccard_join as J
@@ -398,7 +398,7 @@ def test_op5_boilerplate(spark, monkeypatch):
     rows = [(i, " ".join([f"o{rng.randrange(10**6)}" for _ in range(20)] + shared)) for i in range(400)]
     rows += [(1000 + i, rows[i * 7][1].replace("s40 ", "x ")) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for options in ({}, {"easy": 1}, {"easy": 10**9}):
+    for options in ({}, {"easy": 1, "whole_region": 64}, {"easy": 10**9, "whole_region": 64}):
         rounds.clear()
         same(J.link(df, **options).collect(), components(rows))
         assert len(rounds) <= 5, rounds

@@ -22,8 +22,14 @@ SLICE_BYTES = 400_000
 
 U64 = np.uint64
 
-#: While a scratch table is written: its shuffle files go as soon as it is there, as nothing reads them again, and Python workers get smaller batches.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: While a scratch table is written: its shuffle files go as soon as it is there, as nothing reads them again; Python workers get smaller batches; and
+#: sides of joins whose size Spark only guesses aren't brought to the driver, which has to build what it broadcasts, in a thread of its own for each.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

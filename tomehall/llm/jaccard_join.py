@@ -30,7 +30,7 @@ from .common import U64, Scratch, Words, grams, mix, on_texts, slices
 from .components import forest, labels
 
 SKETCH = 1024
-#: Documents of a region that are compared by a join; larger regions are cut by pivots, then compared in blocks.
+#: Documents of a region that are compared by a join; larger regions are compared in blocks.
 SMALL = 64
 #: Documents for each pivot of a large region, the most pivots of one, the most times that regions are cut, and how much smaller a region must get for another time.
 FOR_EACH, MOST, CUTS, SHRUNK = 256, 64, 3, 0.7
@@ -182,14 +182,14 @@ def cells(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return near
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144, least_frequent: int = 8, easy: int = 64, small: int = SMALL) -> DataFrame:
+def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144, least_frequent: int = 8, easy: int = 64, small: int = SMALL, whole_region: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the
     smallest doc_id that links reach. A null or empty text, or one of white space, has no shingle and links with nothing. Rows of one
     doc_id are one document. A null doc_id links with nothing and has a null component_id. Other columns
     are ignored. The rest changes costs, not results: `frequent` bounds the broadcast list of shingles that come last in prefixes;
-    where open pairs are more than `easy` times their documents, these form new cells; regions of more than `small` documents are cut by pivots."""
+    where open pairs are more than `easy` times their documents, these form new cells; regions of more than `whole_region` documents are cut by pivots; those of more than `small` are compared in blocks."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -297,9 +297,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
 
     # rows of one doc_id with different texts: their classes belong together
     ids = real.groupBy("doc_id").agg(F.min(F.struct("key", "key2", "n")).alias("x"), F.max(F.struct("key", "key2", "n")).alias("y")).where("x <> y").select("doc_id")
-    same = scratch.keep(real.join(ids, "doc_id").join(reps, ["key", "key2", "n"]).select("doc_id", "node"), "several")
-    least = same.groupBy("doc_id").agg(F.min("node").alias("b"))
-    tree = scratch.keep(same.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "same")
+    ids = scratch.keep(ids, "several")
+    tree = spark.createDataFrame([], "a long, b long")
+    if not ids.isEmpty():
+        same = scratch.keep(real.join(ids, "doc_id").join(reps, ["key", "key2", "n"]).select("doc_id", "node"), "same")
+        least = same.groupBy("doc_id").agg(F.min("node").alias("b"))
+        tree = scratch.keep(same.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "tied")
 
     def named(tree: DataFrame) -> DataFrame:
         """Each key's component as far as it is known: its node's, or the node itself."""
@@ -335,12 +338,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         tree, inner = starred(again, tree, "again")
 
     for level in range(CUTS):
-        large = inner.where(F.col("all") > small)
+        large = inner.where(F.col("all") > whole_region)
         if level:
             large = large.where(F.col("all") < SHRUNK * F.col("before"))
         if large.isEmpty():
             break
-        rest = inner.where(F.col("all") <= small) if not level else inner.where((F.col("all") <= small) | (F.col("all") >= SHRUNK * F.col("before")))
+        rest = inner.where(F.col("all") <= whole_region) if not level else inner.where((F.col("all") <= whole_region) | (F.col("all") >= SHRUNK * F.col("before")))
         cut = scratch.keep(divided(large, percent, level), f"cut-{level}")
         cut = cut.join(scratch.keep(still_open(cut, percent), f"wide-{level}"), "region")
         inner = scratch.keep(cut.unionByName(rest.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
@@ -356,7 +359,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     scratch.tidy()
     final = labels(forest(tree, scratch, "final"))
     # all that the result doesn't read any more
-    scratch.drop("near", "again", "texts", "several", "same", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
+    scratch.drop("near", "again", "texts", "several", "same", "tied", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
     out = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id")), "out")
     # rows without shingles or an id meet no others here; other rows of an id still tell its component
