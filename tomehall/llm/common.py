@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import threading
 from collections.abc import Callable, Iterator
@@ -82,8 +83,15 @@ class Scratch:
             remove(self.spark, f"{self.root}/{name}")
 
 
+def rest() -> None:
+    """Gives memory that a worker doesn't use back to the system; workers stay for later tasks, and executors hold several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a C library that can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in pieces of about `limit` bytes of column `text`; a row is never cut."""
+    """The rows in pieces of about `limit` bytes of column `text`; a row is never cut. Ends a task's reading."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -94,6 +102,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         for a, b in zip([0, *cut], [*cut, n], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    rest()
 
 
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

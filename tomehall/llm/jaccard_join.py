@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, grams, mix, on_texts, slices
+from .common import U64, Scratch, Words, grams, mix, on_texts, rest, slices
 from .components import forest, labels
 
 SKETCH = 1024
@@ -291,6 +291,8 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
                         if 100 * both >= percent * (len(s1) + len(s2) - both):
                             yes.append((x, y))
                     yield rows(a=pa.array([x for x, _ in yes], pa.int64()), b=pa.array([y for _, y in yes], pa.int64()))
+            held.clear()
+            rest()
 
         checked = close.join(text(2), ["node2", "key2"]).join(text(1), ["node1", "key1"])
         return scratch.keep(checked.mapInArrow(exact, "a long, b long"), name)
@@ -343,10 +345,10 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             large = large.where(F.col("all") < SHRUNK * F.col("before"))
         if large.isEmpty():
             break
-        rest = inner.where(F.col("all") <= whole_region) if not level else inner.where((F.col("all") <= whole_region) | (F.col("all") >= SHRUNK * F.col("before")))
+        aside = inner.where(F.col("all") <= whole_region) if not level else inner.where((F.col("all") <= whole_region) | (F.col("all") >= SHRUNK * F.col("before")))
         cut = scratch.keep(divided(large, percent, level), f"cut-{level}")
         cut = cut.join(scratch.keep(still_open(cut, percent), f"wide-{level}"), "region")
-        inner = scratch.keep(cut.unionByName(rest.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
+        inner = scratch.keep(cut.unionByName(aside.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
     if not inner.isEmpty():
         if not inner.where(F.col("all") > small).isEmpty():
             # large regions first give each document's closest partners alone: what these connect needs no other pair

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, by_text_rule, mix, released, slices, squeezed
+from .common import U64, Scratch, Words, by_text_rule, mix, released, rest, slices, squeezed
 
 #: Bits that tell the bytes before apart, from the last one on; a context and the next byte fill 64.
 BITS = (8,) * 7
@@ -361,6 +361,7 @@ def merged(batches):
             counted.put(released_keys(r["a"]), released(r["b"], np.int32).astype(np.int64))
     if counted.held:
         yield from out()
+    rest()
 
 
 EDGES = "level int, node long, weight double, times long"
@@ -399,6 +400,8 @@ def answered(shallow):
                     if len(pairs) > 1:
                         pairs, bits = [np.concatenate(pairs)], [np.concatenate(bits)]
                     yield packed_rows([(ASKED, r["sheet"], part, squeezed(bits[0][np.searchsorted(pairs[0], p)]), None)])
+        pairs, bits = [], []
+        rest()
 
     return run
 
@@ -451,6 +454,8 @@ def gathered(parts: int):
                     answers[r["part"]] = released(r["a"], np.float32)
         if heads:
             yield from out()
+        heads, found, answers = [], [], {}
+        rest()
 
     return run
 
