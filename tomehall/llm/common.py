@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import threading
 from collections.abc import Callable, Iterator
 
@@ -25,8 +24,9 @@ U64 = np.uint64
 
 #: While a scratch table is written: its shuffle files go as soon as it is there, as nothing reads them again; Python workers get smaller batches; and
 #: sides of joins whose size Spark only guesses aren't brought to the driver, which has to build what it broadcasts, in a thread of its own for each.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    CLEANUP: "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -41,14 +41,15 @@ _lock, _writers, _before = threading.Lock(), 0, {}
 
 
 @contextlib.contextmanager
-def writing(spark: SparkSession):
-    """WRITING while any scratch table is written; the last writer puts back what was set before the first."""
+def writing(spark: SparkSession, small: bool):
+    """WRITING while any scratch table is written; the last writer puts back what was set before the first. A small table's shuffle files wait for the driver's
+    garbage collection, as each that goes at once takes threads of the driver."""
     global _writers
     with _lock:
         if not _writers:
             _before.update({k: spark.conf.get(k, None) for k in WRITING})
         _writers += 1
-        for k, v in WRITING.items():
+        for k, v in (WRITING | ({CLEANUP: "false"} if small else {})).items():
             spark.conf.set(k, v)
     try:
         yield
@@ -65,19 +66,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, scratch(spark, label)
 
-    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Writes the table, in a folder for each value of `by`, and reads it back; frees the shuffle files that it needed."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None, small: bool = False) -> DataFrame:
+        """Writes the table, in a folder for each value of `by`, and reads it back; frees the shuffle files that it needed, at once unless `small` says that they hold a few numbers a row."""
         path = f"{self.root}/{name}"
         out = df.write.option("compression", "zstd")
-        with writing(self.spark):
+        with writing(self.spark, small):
             (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def tidy(self) -> None:
-        """Lets the driver forget what its earlier plans held; Spark frees broadcasts and shuffle files only when the driver's garbage is collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, f"{self.root}/{name}")

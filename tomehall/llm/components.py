@@ -21,7 +21,7 @@ def forest(edges: DataFrame, scratch: Scratch, name: str, most: int | None = Non
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = scratch.keep(small.where("a <> b").distinct(), f"{name}-{k}")
+        now = scratch.keep(small.where("a <> b").distinct(), f"{name}-{k}", small=True)
         if k:
             scratch.drop(f"{name}-{k - 1}")
         k += 1
@@ -35,7 +35,5 @@ def forest(edges: DataFrame, scratch: Scratch, name: str, most: int | None = Non
 
 
 def labels(edges: DataFrame) -> DataFrame:
-    """node, label of a forest's nodes: one label each, of their component; after too few rounds perhaps not the smallest, or not one for all."""
-    down = edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
-    top = edges.select(F.col("b").alias("node")).distinct().join(down.select("node"), "node", "left_anti")
-    return down.unionByName(top.withColumn("label", F.col("node")))
+    """node, label of a forest's nodes: one label each, of their component; after too few rounds perhaps not the smallest, or not one for all. A node that isn't named is its own label."""
+    return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")

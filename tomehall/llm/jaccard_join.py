@@ -238,7 +238,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     near = cells(on_texts(some, prefixes, "cell long, key long, early boolean"), scratch, "near")
 
     real = members.where("n > 0 and doc_id is not null")
-    reps = scratch.keep(real.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node")), "reps")
+    reps = scratch.keep(real.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node")), "reps", small=True)
     inside = near.select("key").unionByName(near.select(F.col("pivot").alias("key"))).distinct()
     wanted = reps.join(inside, "key", "left_semi").select("key", "key2", F.col("node").alias("doc_id"))
 
@@ -260,7 +260,6 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     texts = some.hint("merge").join(wanted, "doc_id").mapInArrow(described, "key long, node long, n long, sketch array<long>, text string")
     texts = scratch.keep(texts, "texts")
     nodes = texts.select("key", "node", "n", "sketch")
-    scratch.tidy()
     alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     seventh = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")  # the largest symmetric difference of linked sets
 
@@ -299,12 +298,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
 
     # rows of one doc_id with different texts: their classes belong together
     ids = real.groupBy("doc_id").agg(F.min(F.struct("key", "key2", "n")).alias("x"), F.max(F.struct("key", "key2", "n")).alias("y")).where("x <> y").select("doc_id")
-    ids = scratch.keep(ids, "several")
+    ids = scratch.keep(ids, "several", small=True)
     tree = spark.createDataFrame([], "a long, b long")
     if not ids.isEmpty():
-        same = scratch.keep(real.join(ids, "doc_id").join(reps, ["key", "key2", "n"]).select("doc_id", "node"), "same")
+        same = scratch.keep(real.join(ids, "doc_id").join(reps, ["key", "key2", "n"]).select("doc_id", "node"), "same", small=True)
         least = same.groupBy("doc_id").agg(F.min("node").alias("b"))
-        tree = scratch.keep(same.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "tied")
+        tree = scratch.keep(same.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b"), "tied", small=True)
 
     def named(tree: DataFrame) -> DataFrame:
         """Each key's component as far as it is known: its node's, or the node itself."""
@@ -315,12 +314,11 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         pairs = measured(near.select(F.col("pivot").alias("key1"), F.col("key").alias("key2")), f"pairs-{name}")
         tree = forest(tree.unionByName(linked(pairs, f"links-{name}")), scratch, f"tree-{name}", most=2)
         regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
-        state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}")
-        inner = state.join(scratch.keep(still_open(state, percent), f"wide-{name}"), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
+        state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}", small=True)
+        inner = state.join(scratch.keep(still_open(state, percent), f"wide-{name}", small=True), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
         return tree, scratch.keep(inner, f"open-{name}")
 
     tree, inner = starred(near, tree, "first")
-    scratch.tidy()
     left, size = inner.groupBy("region").agg(F.first("all").alias("all"), F.first("within").alias("within")).agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
     if left and left > easy * size:
 
@@ -347,7 +345,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             break
         aside = inner.where(F.col("all") <= whole_region) if not level else inner.where((F.col("all") <= whole_region) | (F.col("all") >= SHRUNK * F.col("before")))
         cut = scratch.keep(divided(large, percent, level), f"cut-{level}")
-        cut = cut.join(scratch.keep(still_open(cut, percent), f"wide-{level}"), "region")
+        cut = cut.join(scratch.keep(still_open(cut, percent), f"wide-{level}", small=True), "region")
         inner = scratch.keep(cut.unionByName(aside.withColumn("before", F.lit(0).cast("long")).select(*cut.columns)), f"inner-{level}")
     if not inner.isEmpty():
         if not inner.where(F.col("all") > small).isEmpty():
@@ -358,12 +356,11 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         others = measured(close_pairs(inner, percent, small=small).distinct(), "rest")
         tree = tree.unionByName(linked(others, "links-rest"))
 
-    scratch.tidy()
     final = labels(forest(tree, scratch, "final"))
     # all that the result doesn't read any more
     scratch.drop("near", "again", "texts", "several", "same", "tied", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
     out = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
-    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id")), "out")
+    out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id")), "out", small=True)
     # rows without shingles or an id meet no others here; other rows of an id still tell its component
     alone = members.where("doc_id is not null and n = 0").select("doc_id", F.col("n").alias("n_shingles"))
     alone = alone.join(out.groupBy("doc_id").agg(F.min("component_id").alias("c")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

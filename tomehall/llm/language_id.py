@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_text_rule, mix, on_texts
+from .common import U64, by_text_rule, mix, on_texts, released, squeezed
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 15
@@ -65,8 +65,16 @@ class Model:
         return e / e.sum(axis=-1, keepdims=True)
 
 
+def packed(at: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
+    return squeezed(np.diff(at, prepend=0).astype(np.uint16)), squeezed(count.astype(np.uint32))
+
+
+def unpacked(row: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(released(row[0], np.uint16), dtype=np.int64), released(row[1], np.uint32)
+
+
 def follow_leader(model: Model, rows: list, classes: np.ndarray, epochs: int = 6, alpha: float = 0.5, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> None:
-    """Weights by follow-the-regularised-leader: z and n are the leader's sums of gradients and of their squares."""
+    """Weights by follow-the-regularised-leader over packed rows: z and n are the leader's sums of gradients and of their squares."""
     k = len(model.languages)
     z, n = np.zeros((len(model.weight) + 1, k), np.float32), np.zeros((len(model.weight) + 1, k), np.float32)
 
@@ -75,10 +83,10 @@ def follow_leader(model: Model, rows: list, classes: np.ndarray, epochs: int = 6
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((1 + np.sqrt(n[at])) / alpha + l2))
 
     rng = np.random.default_rng(seed)
-    vectors = [(np.append(at, len(model.weight)), np.append(model.vector(at, c), 1.0).astype(np.float32)) for at, c in rows]  # the last coordinate is the bias
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            at, v = vectors[i]
+            at, c = unpacked(rows[i])
+            at, v = np.append(at, len(model.weight)), np.append(model.vector(at, c), 1.0).astype(np.float32)  # the last coordinate is the bias
             w = leader(at)
             s = v @ w
             p = np.exp(s - s.max())
@@ -144,11 +152,11 @@ def train(docs: DataFrame, sample: int = 3000, least: int = 20) -> Model | None:
     spare = int(sum(min(n, each + 8 * each**0.5 + 8) for n in rows.values()))
 
     def described(b):
-        f = list(features(b.column("text")))
-        return pa.RecordBatch.from_arrays([b.column("lang"), pa.array([at for at, _ in f], pa.list_(pa.int32())), pa.array([c for _, c in f], pa.list_(pa.int32()))], names=["lang", "at", "times"])
+        f = [packed(*x) for x in features(b.column("text"))]
+        return pa.RecordBatch.from_arrays([b.column("lang"), pa.array([at for at, _ in f], pa.binary()), pa.array([c for _, c in f], pa.binary())], names=["lang", "at", "times"])
 
     picked = known.select("text", "lang", order.alias("h")).join(edges, "lang").where("h <= edge").groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("h", "lang").limit(spare)
-    picked = on_texts(picked, described, "lang string, at array<int>, times array<int>").toArrow()
+    picked = on_texts(picked, described, "lang string, at binary, times binary").toArrow()
     taken: dict[str, int] = dict.fromkeys(languages, 0)
     number = {x: k for k, x in enumerate(languages)}
     chosen = []
@@ -156,13 +164,13 @@ def train(docs: DataFrame, sample: int = 3000, least: int = 20) -> Model | None:
         x = x.as_py()
         if taken[x] < each:
             taken[x] += 1
-            chosen.append((np.asarray(at.values), np.asarray(c.values), number[x]))
+            chosen.append((at.as_py(), c.as_py(), number[x]))
     apart = [i for i in range(len(chosen)) if i % 5 == 4]
     fit = [i for i in range(len(chosen)) if i % 5 != 4]
     classes = np.array([c for _, _, c in chosen])
     follow_leader(model, [chosen[i][:2] for i in fit], classes[fit])
     if apart and len(languages) > 1:
-        model.temperature = temperature(model, np.array([model.scores(*chosen[i][:2]) for i in apart]), classes[apart])
+        model.temperature = temperature(model, np.array([model.scores(*unpacked(chosen[i][:2])) for i in apart]), classes[apart])
     return model
 
 
