@@ -356,7 +356,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         others = measured(close_pairs(inner, percent, small=small).distinct(), "rest")
         tree = tree.unionByName(linked(others, "links-rest"))
 
-    final = labels(forest(tree, scratch, "final"))
+    final = scratch.keep(labels(forest(tree, scratch, "final")), "labels", small=True)  # written, so that a side with many copies can be split
     # all that the result doesn't read any more
     scratch.drop("near", "again", "texts", "several", "same", "tied", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
     out = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
