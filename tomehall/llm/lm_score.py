@@ -30,7 +30,7 @@ CUT = 3
 #: Bytes of text for each part that contexts are dealt to, the most parts, and pairs that are weighed at once.
 PART_BYTES, MOST_PARTS, CHUNK = 8_000_000, 1024, 200_000
 #: Bytes of text that are spelled at once, and of a sheet; distinct pairs of so many make a sheet too.
-SPELL_BYTES, SHEET_BYTES, SHEET_PAIRS = 3_000_000, 32_000_000, 8_000_000
+SPELL_BYTES, SHEET_BYTES, SHEET_PAIRS = 2_000_000, 32_000_000, 8_000_000
 #: Ends a text; stands nowhere else in a text as it is read here.
 END = 10
 
@@ -98,7 +98,8 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:
-    keys = np.sort(keys)
+    """Distinct keys in order; sorts the array that it is given, which its caller made for that."""
+    keys.sort()
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
@@ -319,8 +320,9 @@ class Counted:
 
     def add(self, pairs: np.ndarray, learnt: np.ndarray) -> None:
         """learnt: which pairs are from training texts."""
+        some = pairs[learnt]
+        some.sort()
         every = distinct(pairs)
-        some = np.sort(pairs[learnt]) if not learnt.all() else np.sort(pairs)
         new = np.flatnonzero(np.append(True, some[1:] != some[:-1])) if len(some) else np.empty(0, np.int64)
         times = np.zeros(len(every), np.int32)  # of one sheet
         times[np.searchsorted(every, some[new])] = np.diff(np.append(new, len(some)))
