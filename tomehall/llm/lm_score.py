@@ -445,6 +445,8 @@ def gathered(parts: int):
                 if r["sheet"] != number:
                     if heads:
                         yield from out()
+                        heads, found, answers = [], [], {}
+                        rest()
                     number, heads, found, answers = r["sheet"], [], [], {}
                 if r["kind"] == HEAD:
                     heads.append((r["a"], r["b"]))
