@@ -404,6 +404,34 @@ def test_op5_boilerplate(spark, monkeypatch):
         assert len(rounds) <= 5, rounds
 
 
+def test_op5_deals_out_what_it_needs(spark, monkeypatch):
+    """One crowded region and small ones beside it: new cells are formed of the crowd alone, and texts are dealt out for close pairs only."""
+    from tomehall.llm import jaccard_join as J
+
+    dealt, found = [], J.on_texts
+    monkeypatch.setattr(J, "on_texts", lambda df, f, schema: (schema.startswith("key long, n long, shingle") and dealt.append(df.select("key").distinct().count()), found(df, f, schema))[1])
+    rng = random.Random(4)
+    own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [f"s{k}" for k in range(84)]
+    rows = [(i, " ".join(own(20) + shared)) for i in range(150)]
+    for i in range(40):
+        half = own(60)
+        rows += [(1000 + 3 * i + k, " ".join(half + own(40))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(J.link(df, easy=20).collect(), components(rows))
+    assert dealt and max(dealt) <= 150, dealt
+
+
+def test_op5_rows_that_a_join_needs(spark):
+    from tomehall.llm.jaccard_join import among
+
+    df = spark.range(50_000).selectExpr("id as node", "cast(id as string) as text")
+    for step, most in ((1, 50_000), (7, 12_000), (1000, 700), (50_000, 100)):
+        got = {r.node for r in among(df, "node", spark.range(0, 50_000, step).selectExpr("id as node")).collect()}
+        assert set(range(0, 50_000, step)) <= got and len(got) <= most
+    assert among(df, "node", spark.range(0).selectExpr("id as node")).count() == 0
+
+
 def test_components(spark, tmp_path):
     from tomehall.llm.common import Scratch
     from tomehall.llm.components import forest, labels

@@ -36,6 +36,8 @@ SMALL = 64
 FOR_EACH, MOST, CUTS, SHRUNK = 256, 64, 3, 0.7
 #: Documents of a large region that meet its pivots in one task, and documents of a block.
 SALTED, BLOCK = 4096, 2048
+#: Bits of a table that tells which rows a join can need: for each wanted row, and at most (8 MB); those of one row of the table.
+BITS, MOST_BITS, ROW_BITS = 16, 1 << 26, 1 << 15
 
 
 def sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -173,6 +175,15 @@ def close_pairs(members: DataFrame, percent: int, closest: bool = False, small:
     return near.select(F.least("key1", "key2").alias("key1"), F.greatest("key1", "key2").alias("key2")).unionByName(many.groupBy("region", "s", "i", "t", "j").applyInArrow(compare, "key1 long, key2 long"))
 
 
+def among(df: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose `name` wanted(name) has, and few others, told by a broadcast table of bits: what a join doesn't need isn't dealt out for it."""
+    bits = max(ROW_BITS, min(MOST_BITS, 1 << (BITS * wanted.count()).bit_length()))
+    place, row = F.pmod(F.xxhash64(name), F.lit(bits)), F.floor(F.col("place") / ROW_BITS).alias("row")
+    table = wanted.select(place.alias("place")).groupBy(row).agg(F.bitmap_construct_agg(F.col("place") % ROW_BITS).alias("bits"))
+    told = F.expr(f"(shiftright(cast(conv(hex(substring(bits, cast((place % {ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1) = 1")
+    return df.withColumn("place", place).withColumn("row", row).join(F.broadcast(table), "row").where(told).select(*df.columns)
+
+
 def cells(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """pivot, key of placed(cell, key, early): each document but the pivot with the pivots of its cells; only cells with an early place link anything."""
     shared = placed.groupBy("cell").agg(F.min("key").alias("pivot"), F.max("key").alias("z"), F.max("early").alias("early")).where("pivot < z and early").select("cell", "pivot")
@@ -211,7 +222,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         return rows(shingle=values.view(np.int64), times=times)
 
     counted = on_texts(some, first_ones, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    often = counted.where(F.col("times") >= least_frequent).orderBy(F.desc("times"), "shingle").limit(frequent).toArrow()
+    counted = scratch.keep(counted.where(F.col("times") >= least_frequent), "counted")  # written, so that its shuffle files go before the next ones come
+    often = counted.orderBy(F.desc("times"), "shingle").limit(frequent).toArrow()
+    scratch.drop("counted")
     listed, rank = np.asarray(often.column("shingle"), np.int64), np.arange(often.num_rows, 0, -1)  # rank: the most frequent last
     by_hash = np.argsort(listed, kind="stable")
     late = spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
@@ -240,7 +253,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     real = members.where("n > 0 and doc_id is not null")
     reps = scratch.keep(real.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node")), "reps", small=True)
     inside = near.select("key").unionByName(near.select(F.col("pivot").alias("key"))).distinct()
-    wanted = reps.join(inside, "key", "left_semi").select("key", "key2", F.col("node").alias("doc_id"))
+    wanted = scratch.keep(reps.join(inside, "key", "left_semi").select("key", "key2", F.col("node").alias("doc_id")), "wanted", small=True)
 
     def described(batches):
         """Texts whose set is the one that was asked for; rows come in order of doc_id, and a row given twice is given once."""
@@ -257,9 +270,11 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             c = lambda name: b.column(name).take(pa.array(kept, pa.int64()))  # noqa: E731, B023
             yield rows(key=c("key"), node=c("doc_id"), n=pa.array([m for _, m in sketches], pa.int64()), sketch=pa.array([x for x, _ in sketches], pa.list_(pa.int64())), text=c("text"))
 
-    texts = some.hint("merge").join(wanted, "doc_id").mapInArrow(described, "key long, node long, n long, sketch array<long>, text string")
+    texts = among(some, "doc_id", wanted).hint("merge").join(wanted, "doc_id").mapInArrow(described, "key long, node long, n long, sketch array<long>, text string")
     texts = scratch.keep(texts, "texts")
+    scratch.drop("wanted")
     nodes = texts.select("key", "node", "n", "sketch")
+    length = texts.agg(F.sum("n")).first()[0] or 1
     alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     seventh = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")  # the largest symmetric difference of linked sets
 
@@ -269,10 +284,12 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         got = pairs.join(of(1), "key1").join(of(2), "key2").where("node1 <> node2")
         return scratch.keep(got.select("key1", "key2", "node1", "node2", "n1", "n2", distance("s1", "s2").alias("h")), name)
 
+    written: dict[str, list[str]] = {}  # the tables of each linked()
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Of measured pairs those that link, as edges (a, b) between nodes."""
-        close = pairs.where(alike).where(F.col("h") <= seventh).select("node1", "node2", "key1", "key2")
-        text = lambda k: texts.select(F.col("node").alias(f"node{k}"), F.col("key").alias(f"key{k}"), F.col("text").alias(f"text{k}"))
+        """Of measured pairs those that link, as edges (a, b) between nodes. Only texts of close pairs are dealt out, and in several rounds if the pairs' texts are more than all texts once."""
+        close = scratch.keep(pairs.where(alike).where(F.col("h") <= seventh).select("node1", "node2", "key1", "key2", "n2"), f"close-{name}", small=True)
+        rounds = -(-(close.agg(F.sum("n2")).first()[0] or 0) // length)
 
         def exact(batches):
             held: dict[int, np.ndarray] = {}
@@ -293,8 +310,14 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             held.clear()
             rest()
 
-        checked = close.join(text(2), ["node2", "key2"]).join(text(1), ["node1", "key1"])
-        return scratch.keep(checked.mapInArrow(exact, "a long, b long"), name)
+        found = spark.createDataFrame([], "a long, b long")
+        for i in range(rounds):
+            now = close.where(F.pmod(F.xxhash64("node1", "node2"), F.lit(rounds)) == i)
+            text = lambda k: among(texts.select(F.col("node").alias(f"node{k}"), F.col("key").alias(f"key{k}"), F.col("text").alias(f"text{k}")), f"node{k}", now.select(f"node{k}"))  # noqa: E731, B023
+            checked = now.select("node1", "node2", "key1", "key2").join(text(2), ["node2", "key2"]).join(text(1), ["node1", "key1"])
+            found = found.unionByName(scratch.keep(checked.mapInArrow(exact, "a long, b long"), f"{name}-{i}"))
+        written[name] = [f"close-{name}", *(f"{name}-{i}" for i in range(rounds))]
+        return found
 
     # rows of one doc_id with different texts: their classes belong together
     ids = real.groupBy("doc_id").agg(F.min(F.struct("key", "key2", "n")).alias("x"), F.max(F.struct("key", "key2", "n")).alias("y")).where("x <> y").select("doc_id")
@@ -309,14 +332,18 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         """Each key's component as far as it is known: its node's, or the node itself."""
         return nodes.select("key", "node").join(labels(tree), "node", "left").groupBy("key").agg(F.min(F.coalesce("label", "node")).alias("label"))
 
+    def opened(regions: DataFrame, tree: DataFrame, name: str) -> DataFrame:
+        """members(region, key, n, h, label, sketch, all, within, width, home) of regions(region, key, n, h) that the tree leaves open."""
+        state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}", small=True)
+        inner = state.join(scratch.keep(still_open(state, percent), f"wide-{name}", small=True), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
+        return scratch.keep(inner, f"open-{name}")
+
     def starred(near: DataFrame, tree: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """The tree with what pivots link, and the open regions' members(region, key, n, h, label, sketch, all, within, home)."""
+        """The tree with what pivots link, and the members of the open regions."""
         pairs = measured(near.select(F.col("pivot").alias("key1"), F.col("key").alias("key2")), f"pairs-{name}")
         tree = forest(tree.unionByName(linked(pairs, f"links-{name}")), scratch, f"tree-{name}", most=2)
         regions = pairs.select(F.col("key1").alias("region"), F.col("key2").alias("key"), F.col("n2").alias("n"), "h").dropDuplicates(["region", "key"])
-        state = scratch.keep(regions.join(named(tree), "key").withColumn("home", F.lit(True)), f"state-{name}", small=True)
-        inner = state.join(scratch.keep(still_open(state, percent), f"wide-{name}", small=True), "region").join(nodes.groupBy("key").agg(F.first("sketch").alias("sketch")), "key")
-        return tree, scratch.keep(inner, f"open-{name}")
+        return tree, opened(regions, tree, name)
 
     tree, inner = starred(near, tree, "first")
     left, size = inner.groupBy("region").agg(F.first("all").alias("all"), F.first("within").alias("within")).agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
@@ -326,16 +353,22 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
             found = sets(b.column("text"), n)
             return rows(key=np.repeat(np.asarray(b.column("key"), np.int64), list(map(len, found))), n=np.repeat(np.array(list(map(len, found))), list(map(len, found))), shingle=np.concatenate(found).view(np.int64))
 
-        every = on_texts(texts.join(inner.select("key").distinct(), "key", "left_semi").select("key", "text"), shingles, "key long, n long, shingle long").dropDuplicates(["key", "shingle"])
-        shared = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        # only regions with many open pairs: the others' documents meet where they are
+        crowded = F.expr(f"(all * all - within) / 2 > {easy} * all")
+        crowd = scratch.keep(inner.where(crowded).select("key").distinct(), "crowd", small=True)
+        every = on_texts(among(texts, "key", crowd).join(crowd, "key", "left_semi").select("key", "text"), shingles, "key long, n long, shingle long")
+        shared = scratch.keep(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared")
         # rarest first; shingles of one document alone come before all others
-        ordered = every.join(shared, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("order"))
+        ordered = among(every, "shingle", shared).join(shared, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("order"))
         alone = F.col("n") - F.size("order")
         placed = ordered.select("key", "n", alone.alias("alone"), F.posexplode("order").alias("pos", "s")).withColumn("pos", F.col("pos") + F.col("alone"))
         longest, early = (F.expr(e) for e in (f"n - (n * {percent} + 99) div 100 + 1", f"n - (2 * n * {percent} + 99 + {percent}) div {100 + percent} + 1"))
         placed = placed.where(F.col("pos") < longest).select(F.col("s.shingle").alias("cell"), "key", (F.col("pos") < early).alias("early"))
-        again = cells(placed, scratch, "again")
+        again = cells(scratch.keep(placed, "placed"), scratch, "again")
+        scratch.drop("placed", "shared", "crowd")
+        calm = inner.where(~crowded).select("region", "key", "n", "h")
         tree, inner = starred(again, tree, "again")
+        inner = inner.unionByName(opened(calm, tree, "calm"))
 
     for level in range(CUTS):
         large = inner.where(F.col("all") > whole_region)
@@ -358,7 +391,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
 
     final = scratch.keep(labels(forest(tree, scratch, "final")), "labels", small=True)  # written, so that a side with many copies can be split
     # all that the result doesn't read any more
-    scratch.drop("near", "again", "texts", "several", "same", "tied", *(f"{t}-{i}" for t in ("links", "state", "open", "wide", "pairs") for i in ("first", "again", "some")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", "links-rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
+    scratch.drop("near", "again", "texts", "several", "same", "tied", *(x for names in written.values() for x in names), *(f"{t}-{i}" for t in ("state", "open", "wide", "pairs") for i in ("first", "again", "calm")), "tree-first-1", "tree-again-1", "tree-some-1", "some", "rest", *(f"{t}-{i}" for t in ("cut", "inner", "wide") for i in range(CUTS)))
     out = members.where("n > 0 and doc_id is not null").join(reps, ["key", "key2", "n"], "left").join(final, "node", "left")
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id")), "out", small=True)
     # rows without shingles or an id meet no others here; other rows of an id still tell its component
