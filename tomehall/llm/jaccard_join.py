@@ -7,7 +7,7 @@ shingles, frequent ones last). A cell's pivot is the document of the smallest ke
 regions of all its pivots, boundary documents in several. First every document is compared with its
 pivots. What these link becomes one component; a region whose documents are in one component is done.
 
-The others join again, recursively. If pairs are many, their documents alone form new cells, in the exact order of how
+The others join again, recursively. If pairs are many, the documents of crowded regions alone form new cells, in the exact order of how
 rare each shingle is among them. Then each large region gets many pivots and is cut into their Voronoi regions: a document goes to the
 nearest pivot, and also to each other that is no farther than a window which the triangle inequality gives; a linked pair meets where one of the two is
 at home. Regions that shrink are cut again. Last, documents of a region that stand in different components are compared directly.
@@ -200,7 +200,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     smallest doc_id that links reach. A null or empty text, or one of white space, has no shingle and links with nothing. Rows of one
     doc_id are one document. A null doc_id links with nothing and has a null component_id. Other columns
     are ignored. The rest changes costs, not results: `frequent` bounds the broadcast list of shingles that come last in prefixes;
-    where open pairs are more than `easy` times their documents, these form new cells; regions of more than `whole_region` documents are cut by pivots; those of more than `small` are compared in blocks."""
+    where open pairs are more than `easy` times their documents, those of the regions in which they are so form new cells; regions of more than `whole_region` documents are cut by pivots; those of more than `small` are compared in blocks."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
