@@ -422,6 +422,32 @@ def test_op5_deals_out_what_it_needs(spark, monkeypatch):
     assert dealt and max(dealt) <= 150, dealt
 
 
+@pytest.mark.parametrize("frequent", [262_144, 60])
+def test_op5_frequent_shingles_stay(spark, monkeypatch, frequent):
+    """A group of near copies in new cells: the shingles that most of them share aren't dealt out, by a join or for it, but those of prefixes."""
+    from tomehall.llm import jaccard_join as J
+
+    dealt, asked, found, needed = [], [], J.on_texts, J.among
+
+    def on_texts(df, f, schema):
+        out = found(df, f, schema)
+        if schema.startswith("key long, n long, shingle"):
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "on_texts", on_texts)
+    monkeypatch.setattr(J, "among", lambda df, name, wanted: (out := needed(df, name, wanted), asked.append((name, out.count())))[0])
+    rng = random.Random(6)
+    shared = [f"s{k}" for k in range(84)]
+    rows = [(i, " ".join([f"o{rng.randrange(10**6)}" for _ in range(20)] + shared)) for i in range(150)]
+    rows += [(1000 + i, rows[i * 7][1].replace("s40 ", "x ")) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(J.link(df, easy=20, frequent=frequent).collect(), components(rows))
+    most = 26 * len(rows) if frequent > 60 else (26 + 100 - 60) * len(rows)  # a prefix has 26 shingles of 100; and those that aren't listed
+    assert dealt and sum(dealt) <= most, dealt
+    assert [k for name, k in asked if name == "shingle"] == [] or frequent == 60
+
+
 def test_op5_rows_that_a_join_needs(spark):
     from tomehall.llm.jaccard_join import among
 

@@ -74,6 +74,14 @@ def early_length(n, percent: int):
     return n - (2 * n * percent + 99 + percent) // (100 + percent) + 1
 
 
+def places(s: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The rank of each shingle that is listed (sorted), 0 of others."""
+    if not len(listed):
+        return np.zeros(len(s), np.int64)
+    k = np.minimum(np.searchsorted(listed, s.view(np.int64)), len(listed) - 1)
+    return np.where(listed[k] == s.view(np.int64), rank[k], 0)
+
+
 def widest(n: str, percent: int):
     """The largest symmetric difference that a set of `n` shingles has from one that it links with."""
     return F.expr(f"({100 - percent} * ({n} + ({n} * 100) div {percent})) div {100 + percent}")
@@ -213,34 +221,36 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     members = scratch.keep(on_texts(whole, summary, "doc_id long, key long, key2 long, n long"), "members")
     some = whole.where("doc_id is not null and text is not null")
 
+    def times(found: list[np.ndarray]) -> pa.RecordBatch:
+        values, times = np.unique(np.concatenate(found), return_counts=True)
+        return rows(shingle=values.view(np.int64), times=times)
+
     def first_ones(b: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for s in sets(b.column("text"), n):
             k = min(len(s), prefix_length(len(s), percent))
             found.append(np.partition(s, k - 1)[:k] if len(s) else s)
-        values, times = np.unique(np.concatenate(found), return_counts=True)
-        return rows(shingle=values.view(np.int64), times=times)
+        return times(found)
+
+    def latest(counted: DataFrame):
+        """The `frequent` most frequent shingles of counted(shingle, times), broadcast in order of their hashes with their ranks: the most frequent last."""
+        often = counted.orderBy(F.desc("times"), "shingle").limit(frequent).toArrow()
+        listed, rank = np.asarray(often.column("shingle"), np.int64), np.arange(often.num_rows, 0, -1)
+        by_hash = np.argsort(listed, kind="stable")
+        return spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
 
     counted = on_texts(some, first_ones, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     counted = scratch.keep(counted.where(F.col("times") >= least_frequent), "counted")  # written, so that its shuffle files go before the next ones come
-    often = counted.orderBy(F.desc("times"), "shingle").limit(frequent).toArrow()
+    late = latest(counted)
     scratch.drop("counted")
-    listed, rank = np.asarray(often.column("shingle"), np.int64), np.arange(often.num_rows, 0, -1)  # rank: the most frequent last
-    by_hash = np.argsort(listed, kind="stable")
-    late = spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
 
     def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
-        listed, rank = late.value
         out = {}
         for s in sets(b.column("text"), n):
             if len(s):
                 key = fingerprint(s)[0]
                 if key not in out:
-                    place = np.zeros(len(s), np.int64)
-                    if len(listed):
-                        k = np.minimum(np.searchsorted(listed, s.view(np.int64)), len(listed) - 1)
-                        place = np.where(listed[k] == s.view(np.int64), rank[k], 0)
-                    p = s[np.lexsort((s, place))][: prefix_length(len(s), percent)].view(np.int64)
+                    p = s[np.lexsort((s, places(s, *late.value)))][: prefix_length(len(s), percent)].view(np.int64)
                     out[key] = (p, np.arange(len(p)) < early_length(len(s), percent))
         if not out:
             return None
@@ -349,21 +359,40 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
     left, size = inner.groupBy("region").agg(F.first("all").alias("all"), F.first("within").alias("within")).agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
     if left and left > easy * size:
 
-        def shingles(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = sets(b.column("text"), n)
-            return rows(key=np.repeat(np.asarray(b.column("key"), np.int64), list(map(len, found))), n=np.repeat(np.array(list(map(len, found))), list(map(len, found))), shingle=np.concatenate(found).view(np.int64))
-
         # only regions with many open pairs: the others' documents meet where they are
         crowded = F.expr(f"(all * all - within) / 2 > {easy} * all")
         crowd = scratch.keep(inner.where(crowded).select("key").distinct(), "crowd", small=True)
-        every = on_texts(among(texts, "key", crowd).join(crowd, "key", "left_semi").select("key", "text"), shingles, "key long, n long, shingle long")
-        shared = scratch.keep(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared")
-        # rarest first; shingles of one document alone come before all others
-        ordered = among(every, "shingle", shared).join(shared, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("order"))
-        alone = F.col("n") - F.size("order")
-        placed = ordered.select("key", "n", alone.alias("alone"), F.posexplode("order").alias("pos", "s")).withColumn("pos", F.col("pos") + F.col("alone"))
+        crowds = among(texts, "key", crowd).join(crowd, "key", "left_semi").select("key", "text")
+        counted = on_texts(crowds, lambda b: times(sets(b.column("text"), n)), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+        shared = scratch.keep(counted.where("times > 1"), "shared")
+        last = latest(shared)
+
+        def shingles(listed: bool):
+            """Of each text, the listed shingles of its prefix, which come last, with their places in the order; or the others, with their number."""
+
+            def found(b: pa.RecordBatch) -> pa.RecordBatch:
+                out = []
+                for key, s in zip(b.column("key").to_pylist(), sets(b.column("text"), n), strict=True):
+                    place = places(s, *last.value)
+                    others = np.count_nonzero(place == 0)
+                    some = s[np.argsort(place)][others : prefix_length(len(s), percent)] if listed else s[place == 0]
+                    out.append((key, len(s), some.view(np.int64), others + np.arange(len(some)) if listed else np.full(len(some), others)))
+                keys, sizes, some, at = zip(*out, strict=True)
+                many = list(map(len, some))
+                return rows(key=np.repeat(np.array(keys, np.int64), many), n=np.repeat(np.array(sizes, np.int64), many), shingle=np.concatenate(some), at=np.concatenate(at))
+
+            return on_texts(crowds, found, "key long, n long, shingle long, at long")
+
+        # rarest first; shingles of one document alone come before all others. Those that many documents share are listed, and aren't dealt out but for prefixes
+        placed = shingles(listed=True).select("key", "n", "shingle", F.col("at").alias("pos"))
+        if shared.count() > frequent:
+            others = shingles(listed=False)
+            ordered = among(others, "shingle", shared).join(shared, "shingle").groupBy("key", "n", "at").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("order"))
+            alone = F.col("at") - F.size("order")
+            ordered = ordered.select("key", "n", alone.alias("alone"), F.posexplode("order").alias("pos", "s"))
+            placed = placed.unionByName(ordered.select("key", "n", F.col("s.shingle").alias("shingle"), (F.col("pos") + F.col("alone")).alias("pos")))
         longest, early = (F.expr(e) for e in (f"n - (n * {percent} + 99) div 100 + 1", f"n - (2 * n * {percent} + 99 + {percent}) div {100 + percent} + 1"))
-        placed = placed.where(F.col("pos") < longest).select(F.col("s.shingle").alias("cell"), "key", (F.col("pos") < early).alias("early"))
+        placed = placed.where(F.col("pos") < longest).select(F.col("shingle").alias("cell"), "key", (F.col("pos") < early).alias("early"))
         again = cells(scratch.keep(placed, "placed"), scratch, "again")
         scratch.drop("placed", "shared", "crowd")
         calm = inner.where(~crowded).select("region", "key", "n", "h")
