@@ -7,6 +7,8 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +460,49 @@ def test_op5_rows_that_a_join_needs(spark):
     assert among(df, "node", spark.range(0).selectExpr("id as node")).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 19, 50])
+def test_op5_lone_shingles_stay(spark, monkeypatch, held):
+    """Shingles that no other document has aren't dealt out one by one, neither to be counted nor with their documents."""
+    from tomehall.llm import jaccard_join as J
+
+    dealt, found = [], J.on_texts
+
+    def on_texts(df, f, schema):
+        out = found(df, f, schema)
+        if schema.startswith(("shingle", "cell")):
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "on_texts", on_texts)
+    monkeypatch.setattr(J, "PACKED", held)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"o{rng.randrange(10**9)}" for _ in range(200))) for i in range(100)]
+    rows += [(1000 + i, rows[i * 7][1] + " x" * (i % 3)) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(J.link(df).collect(), components(rows))
+    assert sum(dealt) <= 0.4 * 50 * len(rows), dealt  # a prefix has 50 shingles of 196; those of the ten pairs, and few others
+
+
+def test_op5_packed(spark, monkeypatch):
+    from tomehall.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "PACKED", 7)
+    rng = random.Random(9)
+    rows = [(" ".join(str(rng.randrange(-30, 30)) for _ in range(rng.randrange(1, 9))),) for _ in range(60)]
+    df = spark.createDataFrame(rows, "text string").repartition(5)
+
+    def numbers(b):
+        x = np.array([int(w) for t in b.column("text").to_pylist() for w in t.split()], np.int64)
+        return [x, np.ones(len(x), np.int64), x * 2]
+
+    kept = lambda cell, times, most: pa.table({"cell": cell, "times": times, "most": most})
+    got = {(r.cell, r.times, r.most) for r in J.packed(df, numbers, [np.add, np.maximum], 3, kept, "cell long, times long, most long").collect()}
+    every = [int(w) for (t,) in rows for w in t.split()]
+    assert got == {(x, every.count(x), 2 * x) for x in every}
+    table = J.told(spark.createDataFrame([(x * 2654435761,) for x in every], "cell long"), "cell", len(every))
+    assert J.maybe(table, np.array(every) * 2654435761).all() and J.maybe(table, np.arange(10_000) * 40503 + 7).mean() < 0.1
+
+
 def test_components(spark, tmp_path):
     from tomehall.llm.common import Scratch
     from tomehall.llm.components import forest, labels

@@ -20,6 +20,8 @@ lie in one window of distances to any pivot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,18 +40,22 @@ FOR_EACH, MOST, CUTS, SHRUNK = 256, 64, 3, 0.7
 SALTED, BLOCK = 4096, 2048
 #: Bits of a table that tells which rows a join can need: for each wanted row, and at most (8 MB); those of one row of the table.
 BITS, MOST_BITS, ROW_BITS = 16, 1 << 26, 1 << 15
+#: Shingles that a task packs before it sends them on, the least number of parts that they are dealt to, and shingles of a part, about.
+PACKED, PARTS, PART = 1 << 19, 256, 1 << 20
 
 
 def sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n consecutive words, ASCII capitals lowered; of the whole sequence if it is shorter."""
     words = Words(texts, lower=True)
+    whole = grams(words.names, n, 77)  # of all texts in one pass; those that reach into the next text aren't taken
+    ends = np.cumsum(words.count)
     out = []
-    for h in np.split(words.names, np.cumsum(words.count)[:-1]):
-        if len(h) < n:
+    for begin, end in zip((ends - words.count).tolist(), ends.tolist(), strict=True):
+        if end - begin < n:
+            h = words.names[begin:end]
             h = mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], U64)) if len(h) else h
         else:
-            h = grams(h, n, 77)
-            h.sort()
+            h = np.sort(whole[begin : end - n + 1])
             h = h[np.append(True, h[1:] != h[:-1])]
         out.append(h)
     return out
@@ -192,10 +198,78 @@ def among(df: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("place", place).withColumn("row", row).join(F.broadcast(table), "row").where(told).select(*df.columns)
 
 
+def runs(cell: np.ndarray, *columns: tuple[np.ndarray, np.ufunc]) -> tuple[np.ndarray, ...]:
+    """Each different cell once, in order, with what its entries of each column add up to."""
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+    return cell[at], *(f.reduceat(c[order], at) if len(at) else c for c, f in columns)
+
+
+def packed(df: DataFrame, found: Callable[[pa.RecordBatch], list[np.ndarray]], adds: list[np.ufunc], parts: int, kept: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """kept(cell, *columns) of all cells of texts, added up.
+
+    found gives cells and columns of 64-bit numbers. A task adds up PACKED of them at once and sends each part its cells as one row, by a hash of the cell, so what is
+    exchanged is a row for each part and not for each shingle, and a frequent one goes on once; a part, of PART cells about, adds up what all tasks sent."""
+
+    def blobs(entries: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cell, *columns = (np.concatenate(c) for c in zip(*entries, strict=True))
+        cell, *columns = runs(cell, *zip(columns, adds, strict=True))
+        part = (mix(cell.view(U64)) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        there, begins = np.unique(part[order], return_index=True)
+        ends = (np.append(begins, len(cell)) * 8).astype(np.int32)
+        blob = lambda c: pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(c[order], np.int64))])
+        return rows(part=there.astype(np.int32), **{f"c{i}": blob(c) for i, c in enumerate((cell.view(np.int64), *columns))})
+
+    def pack(batches):
+        entries, held = [], 0
+        for b in slices(batches):
+            got = found(b)
+            if len(got[0]):
+                entries.append(got)
+                held += len(got[0])
+            if held >= PACKED:
+                yield blobs(entries)
+                entries, held = [], 0
+        if entries:
+            yield blobs(entries)
+
+    names = [f"c{i}" for i in range(1 + len(adds))]
+
+    def add(t: pa.Table) -> pa.Table:
+        cell, *columns = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in names)
+        return kept(*runs(cell, *zip(columns, adds, strict=True)))
+
+    sent = df.mapInArrow(pack, ", ".join(["part int", *(f"{c} binary" for c in names)]))
+    return sent.groupBy("part").applyInArrow(add, schema)
+
+
+def told(wanted: DataFrame, name: str, rows: int) -> np.ndarray:
+    """A table of bits on the driver (8 MB at most) that has each of wanted(name), for numbers that are hashes; see maybe()."""
+    bits = max(ROW_BITS, min(MOST_BITS, 1 << (BITS * rows).bit_length()))
+    place = wanted.select((F.col(name).bitwiseAND(F.lit(bits - 1))).alias("place"))
+    table = place.groupBy(F.expr(f"place div {ROW_BITS}").alias("row")).agg(F.bitmap_construct_agg(F.col("place") % ROW_BITS).alias("bits")).toArrow()
+    out = np.zeros((bits // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for row, b in zip(table.column("row").to_pylist(), table.column("bits").to_pylist(), strict=True):
+        out[row] = np.frombuffer(b, np.uint8)
+    return out.reshape(-1)
+
+
+def maybe(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x may be one that the table was told: true for all that were, and for few others."""
+    place = x & np.int64(len(table) * 8 - 1)
+    return table[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+
+
 def cells(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """pivot, key of placed(cell, key, early): each document but the pivot with the pivots of its cells; only cells with an early place link anything."""
     shared = placed.groupBy("cell").agg(F.min("key").alias("pivot"), F.max("key").alias("z"), F.max("early").alias("early")).where("pivot < z and early").select("cell", "pivot")
-    shared = scratch.keep(shared, f"{name}-shared")
+    return met(placed, scratch.keep(shared, f"{name}-shared"), scratch, name)
+
+
+def met(placed: DataFrame, shared: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """pivot, key of placed(cell, key), for the cells of the scratch table shared(cell, pivot), which goes."""
     near = scratch.keep(placed.join(shared, "cell").where("key <> pivot").select("pivot", "key").distinct(), name)
     scratch.drop(f"{name}-shared")
     return near
@@ -225,12 +299,9 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         values, times = np.unique(np.concatenate(found), return_counts=True)
         return rows(shingle=values.view(np.int64), times=times)
 
-    def first_ones(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for s in sets(b.column("text"), n):
-            k = min(len(s), prefix_length(len(s), percent))
-            found.append(np.partition(s, k - 1)[:k] if len(s) else s)
-        return times(found)
+    def first_ones(b: pa.RecordBatch) -> list[np.ndarray]:
+        found = np.concatenate([s[: prefix_length(len(s), percent)] if len(s) else s for s in sets(b.column("text"), n)]).view(np.int64)
+        return [found, np.ones(len(found), np.int64)]
 
     def latest(counted: DataFrame):
         """The `frequent` most frequent shingles of counted(shingle, times), broadcast in order of their hashes with their ranks: the most frequent last."""
@@ -239,26 +310,45 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75, frequent: int = 262_144
         by_hash = np.argsort(listed, kind="stable")
         return spark.sparkContext.broadcast((listed[by_hash], rank[by_hash]))
 
-    counted = on_texts(some, first_ones, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    counted = scratch.keep(counted.where(F.col("times") >= least_frequent), "counted")  # written, so that its shuffle files go before the next ones come
+    parts = max(PARTS, -(-(members.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // (100 * PART)))
+
+    def often(shingle: np.ndarray, times: np.ndarray) -> pa.Table:
+        some = times >= least_frequent
+        return pa.table({"shingle": shingle[some], "times": times[some]})
+
+    counted = scratch.keep(packed(some, first_ones, [np.add], parts, often, "shingle long, times long"), "counted")  # written, so that its shuffle files go before the next ones come
     late = latest(counted)
     scratch.drop("counted")
 
-    def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
+    def prefixes(b: pa.RecordBatch) -> list[np.ndarray]:
+        """Cells, keys, keys again and whether the place is an early one."""
         out = {}
         for s in sets(b.column("text"), n):
             if len(s):
                 key = fingerprint(s)[0]
                 if key not in out:
-                    p = s[np.lexsort((s, places(s, *late.value)))][: prefix_length(len(s), percent)].view(np.int64)
+                    place = places(s, *late.value)
+                    p = s[np.argsort(place, kind="stable")] if place.any() else s
+                    p = p[: prefix_length(len(s), percent)].view(np.int64)
                     out[key] = (p, np.arange(len(p)) < early_length(len(s), percent))
-        if not out:
-            return None
-        p, early = zip(*out.values(), strict=True)
-        return rows(cell=np.concatenate(p), key=np.repeat(np.array(list(out), np.int64), list(map(len, p))), early=np.concatenate(early))
+        p, early = zip(*out.values(), strict=True) if out else ([np.empty(0, np.int64)], [np.empty(0, bool)])
+        key = np.repeat(np.array(list(out), np.int64), list(map(len, p)) if out else 0)
+        return [np.concatenate(p), key, key, np.concatenate(early).astype(np.int64)]
+
+    def linking(cell: np.ndarray, pivot: np.ndarray, z: np.ndarray, early: np.ndarray) -> pa.Table:
+        some = (pivot < z) & (early > 0)
+        return pa.table({"cell": cell[some], "pivot": pivot[some]})
+
+    # a document lies in the region of each pivot that it shares a cell with; linked documents share a region. Cells that link nothing aren't dealt out with their documents
+    shared = scratch.keep(packed(some, prefixes, [np.minimum, np.maximum, np.maximum], parts, linking, "cell long, pivot long"), "near-shared")
+    table = spark.sparkContext.broadcast(told(shared, "cell", shared.count()))
+
+    def placed(b: pa.RecordBatch) -> pa.RecordBatch:
+        cell, key, *_ = prefixes(b)
+        some = maybe(table.value, cell)
+        return rows(cell=cell[some], key=key[some])
 
-    # a document lies in the region of each pivot that it shares a cell with; linked documents share a region
-    near = cells(on_texts(some, prefixes, "cell long, key long, early boolean"), scratch, "near")
+    near = met(on_texts(some, placed, "cell long, key long"), shared, scratch, "near")
 
     real = members.where("n > 0 and doc_id is not null")
     reps = scratch.keep(real.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("node")), "reps", small=True)
