@@ -41,3 +41,23 @@ def test_pushdown(spark, sf):
 
     plan = matching_lines(tables.files(spark, sf).where(F.col("category") == "src3"), "thing")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src3)" in plan and "Exchange" not in plan
+
+
+def test_index_cuts_texts_once(spark, sf):
+    """Each field is cut into tokens in one place of the plan, and not where documents are filtered."""
+    from tomehall.operators.index import build
+    from tomehall.sources import tables
+
+    plan = build(tables.documents(spark, sf)).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2, plan
+
+
+def test_index_buckets_have_tasks_of_their_own(spark, sf, tmp_path, monkeypatch):
+    from tomehall.operators import index
+    from tomehall.sources import tables
+
+    monkeypatch.setattr(index, "BUCKET_BYTES", 5000)
+    index.save(index.build(tables.documents(spark, sf)), str(tmp_path))
+    for t in ("postings", "terms"):
+        files = [(f.parent.name, f.name.split("-")[1]) for f in (tmp_path / t).glob("bucket=*/*.parquet")]
+        assert len(files) == len({b for b, _ in files}) == len({task for _, task in files}) > 8, files

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.text import quantised_length, tokens
 FIELDS = ("title", "content")
 #: Bytes of text for each bucket of terms, the most buckets, and documents whose postings of one term a task writes at most.
 BUCKET_BYTES, MOST_BUCKETS, SALTED = 16_000_000, 1024, 2_000_000
+#: Tokens that are gathered at once, about.
+GATHERED = 1_000_000
 SCHEMAS = {
     "docs": "corpus_ord int, doc_ord long, path string, title string, category string, tags array<string>",
     "postings": "corpus_ord int, doc_ord long, field string, term string, length long, tf long, positions array<int>, bucket int",
@@ -41,19 +45,41 @@ def bucket(c: Column, buckets: int) -> Column:
 def postings(documents: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """One row for each term of a field of a document; with `terms`, for these alone.
 
-    A field's tokens are put in order and cut into runs of one term within their row, so nothing is shuffled."""
-    parts = []
-    for field in FIELDS:
-        spread = documents.select("corpus_ord", "doc_ord", F.lit(field).alias("field"), tokens(F.coalesce(F.col(field), F.lit(""))).alias("t"))
-        wanted = F.col("t") if terms is None else F.filter("t", lambda x: x["term"].isin(terms))
-        placed = spread.select("corpus_ord", "doc_ord", "field", F.size("t").cast("long").alias("length"), F.sort_array(F.transform(wanted, lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos")))).alias("s"))
-        placed = placed.where(F.size("s") > 0)
-        begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
-        cut = placed.withColumn("begins", begins)
-        one = lambda b, k: F.struct(F.get("s", b)["term"].alias("term"), F.slice("s", b + 1, F.coalesce(F.get("begins", k + 1), F.size("s")) - b)["pos"].alias("positions"))
-        parts.append(cut.select("corpus_ord", "doc_ord", "field", "length", F.inline(F.transform("begins", one))))
-    flat = parts[0].unionByName(parts[1])
-    return flat.select("corpus_ord", "doc_ord", "field", "term", "length", F.size("positions").cast("long").alias("tf"), "positions")
+    Texts are cut into tokens once, by the session's expressions; a field's tokens are gathered by term within their rows, in Arrow, so nothing is shuffled. No test
+    on tokens stands between, as Spark would work it out, and the tokens with it, on every document that is read and once for each mention."""
+    spread = documents.select(F.col("corpus_ord").cast("int"), F.col("doc_ord").cast("long"), *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS))
+    wanted = lambda f: F.col(f) if terms is None else F.filter(f, lambda x: x["term"].isin(terms))
+    listed = spread.select("corpus_ord", "doc_ord", *(c for f in FIELDS for c in (F.size(f).cast("long").alias(f"{f}_length"), wanted(f)["pos"].alias(f"{f}_pos"), wanted(f)["term"].alias(f"{f}_term"))))
+    fields, at_once = FIELDS, GATHERED
+
+    def gathered(batches):
+        for batch in batches:
+            for f in fields:
+                every = batch.column(f"{f}_pos").value_lengths().to_numpy()
+                piece = (np.cumsum(every, dtype=np.int64) - every) // at_once
+                cut = [0, *np.flatnonzero(np.diff(piece)) + 1, len(every)]
+                for begin, end in zip(cut[:-1], cut[1:], strict=True):
+                    b = batch.slice(begin, end - begin)
+                    place, size = b.column(f"{f}_pos").flatten().to_numpy(), every[begin:end]
+                    if not len(place):
+                        continue
+                    coded = b.column(f"{f}_term").flatten().dictionary_encode()
+                    code = coded.indices.to_numpy().astype(np.int64)
+                    row = np.repeat(np.arange(len(size)), size)
+                    name = row * len(coded.dictionary) + code
+                    order = np.argsort(name, kind="stable")  # places of a term stay in order
+                    first = np.flatnonzero(np.diff(name[order], prepend=-1))
+                    ends = np.append(first, len(order)).astype(np.int32)
+                    one, of = order[first], pa.array(row[order[first]])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column("corpus_ord").take(of), b.column("doc_ord").take(of), pa.array([f]).take(pa.array(np.zeros(len(one), np.int64))), coded.dictionary.take(pa.array(code[one])),
+                            b.column(f"{f}_length").take(of), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order])),
+                        ],
+                        names=["corpus_ord", "doc_ord", "field", "term", "length", "tf", "positions"],
+                    )
+
+    return listed.mapInArrow(gathered, SCHEMAS["postings"].removesuffix(", bucket int"))
 
 
 def build(documents: DataFrame, terms: list[str] | None = None) -> Index:
@@ -76,11 +102,13 @@ def save(index: Index, path: str) -> None:
     buckets = max(8, min(MOST_BUCKETS, -(-(size or 0) // BUCKET_BYTES)))
     salts = -(-max(1, n) // SALTED)
     placed = index.postings.withColumn("bucket", bucket(F.col("term"), buckets))
-    salted = placed.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("doc_ord"), F.lit(salts)))
+    # each bucket's salts have a task of their own: dealt by hash, several buckets would meet in one task and others would have nothing to do
+    task = F.col("bucket") * salts + F.pmod(F.xxhash64("doc_ord"), F.lit(salts))
+    salted = placed.repartitionById(buckets * salts, task.cast("int"))
     salted.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     post = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
     terms = post.groupBy("corpus_ord", "field", "term", "bucket").agg(F.count(F.lit(1)).alias("df")).select("corpus_ord", "field", "term", "df", "bucket")
-    terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    terms.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     sizes = index.docs.groupBy("corpus_ord").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("field", F.explode(F.array(*map(F.lit, FIELDS))))
     totals = post.groupBy("corpus_ord", "field").agg(F.sum("tf").alias("total"))
     stats = sizes.join(totals, ["corpus_ord", "field"], "left").select("corpus_ord", "field", "n_docs", F.coalesce("total", F.lit(0)).alias("total"))
