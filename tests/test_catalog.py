@@ -61,3 +61,11 @@ def test_index_buckets_have_tasks_of_their_own(spark, sf, tmp_path, monkeypatch)
     for t in ("postings", "terms"):
         files = [(f.parent.name, f.name.split("-")[1]) for f in (tmp_path / t).glob("bucket=*/*.parquet")]
         assert len(files) == len({b for b, _ in files}) == len({task for _, task in files}) > 8, files
+
+
+def test_fuzzy_looks_at_lengths_first(spark, sf, tmp_path):
+    from tomehall.catalog import stored
+    from tomehall.operators.ranked import fuzzy
+
+    plan = fuzzy(stored(spark, sf), "oning", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(term" in plan and plan.index("length(term") < plan.index("levenshtein(")
